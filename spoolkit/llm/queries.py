@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spoolkit.llm.harmonic_packing import pack
 from spoolkit.llm.lexicon_bpe import encode_decode
+from spoolkit.llm.partenum_join import jaccard_components
 from spoolkit.llm.token_files import token_files
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -18,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op3_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep=False)
 
@@ -31,7 +36,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_lexicon_bpe, op8_harmonic_packing, op9_token_files)
+    found = (op1_partenum_join, op3_lexicon_bpe, op8_harmonic_packing, op9_token_files)
     return {f.__name__: f for f in found}
 
 
