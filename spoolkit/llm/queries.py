@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spoolkit.llm.embedding_dedup import near_duplicates
 from spoolkit.llm.harmonic_packing import pack
 from spoolkit.llm.lexicon_bpe import encode_decode
 from spoolkit.llm.partenum_join import jaccard_components
+from spoolkit.llm.secret_scan import scan
 from spoolkit.llm.token_files import token_files
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -23,10 +25,18 @@ def op1_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep=False)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -36,7 +46,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op3_lexicon_bpe, op8_harmonic_packing, op9_token_files)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op6_secret_scan, op8_harmonic_packing, op9_token_files)
     return {f.__name__: f for f in found}
 
 
