@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from spoolkit.llm.attention_lm import score_texts
 from spoolkit.llm.embedding_dedup import near_duplicates
 from spoolkit.llm.harmonic_packing import pack
 from spoolkit.llm.lexicon_bpe import encode_decode
@@ -33,6 +34,10 @@ def op3_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep=False)
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op6_secret_scan, op8_harmonic_packing, op9_token_files)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op6_secret_scan, op8_harmonic_packing, op9_token_files)
     return {f.__name__: f for f in found}
 
 
