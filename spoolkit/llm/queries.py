@@ -14,6 +14,7 @@ from spoolkit.llm.lexicon_bpe import encode_decode
 from spoolkit.llm.partenum_join import jaccard_components
 from spoolkit.llm.secret_scan import scan
 from spoolkit.llm.token_files import token_files
+from spoolkit.llm.weak_quality import classify
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -38,6 +39,10 @@ def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op6_secret_scan, op8_harmonic_packing, op9_token_files)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op8_harmonic_packing, op9_token_files)
     return {f.__name__: f for f in found}
 
 
