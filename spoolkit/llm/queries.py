@@ -14,6 +14,8 @@ from spoolkit.llm.lexicon_bpe import encode_decode
 from spoolkit.llm.partenum_join import jaccard_components
 from spoolkit.llm.secret_scan import scan
 from spoolkit.llm.token_files import token_files
+from spoolkit.llm.tool_calls import ORACLE_SQL as TOOL_CALLS_SQL
+from spoolkit.llm.tool_calls import linked_events
 from spoolkit.llm.weak_quality import classify
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -55,10 +57,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_events(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op8_harmonic_packing, op9_token_files)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op8_harmonic_packing, op9_token_files, op10_tool_calls)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_tool_calls": TOOL_CALLS_SQL}
