@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoolkit.llm.attention_lm import score_texts
+from spoolkit.llm.block_max_search import ORACLE_SQL as SEARCH_SQL
+from spoolkit.llm.block_max_search import search
 from spoolkit.llm.embedding_dedup import near_duplicates
 from spoolkit.llm.harmonic_packing import pack
 from spoolkit.llm.lexicon_bpe import encode_decode
@@ -49,6 +52,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op7_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return search(docs, asked, k=10).withColumn("score", F.round("score", 6))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -62,9 +71,9 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op8_harmonic_packing, op9_token_files, op10_tool_calls)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_tool_calls": TOOL_CALLS_SQL}
+    return {"op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL}
