@@ -60,11 +60,9 @@ def bands(percent: int) -> tuple[tuple[int, int, int, int], ...]:
         k = 2 * high * (100 - percent) // (100 + percent)
         s = 0
         if k:
-            while True:
+            for _ in range(8):  # as many as leave few sets with more empty parts than that
                 empty = (k + 1 + s) * math.exp(-low / (k + 1 + s))
-                if s >= empty + 2.5 * math.sqrt(empty) or s > 2 * k:
-                    break
-                s += 1
+                s = min(2 * k, math.ceil(empty + 2.5 * math.sqrt(empty)))
         out.append((low, high, k, s))
         low = high + 1
     return tuple(out)
