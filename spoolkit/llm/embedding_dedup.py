@@ -184,7 +184,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_column: str = "vec_i
         if k < 2:
             continue
         # names are hashes, so a range of them is a sample; its size is bounded whatever the table's
-        span = int(min(1.0, 0.9 * SAMPLE / r["count"]) * ((1 << 63) - 1))
+        span = min((1 << 63) - 1, int(min(1.0, 0.9 * SAMPLE / r["count"]) * float(1 << 63)))
         sample = classes.where((F.col("dims") == r.dims) & (F.col("name") >= -span) & (F.col("name") <= span)).select("name", "vector").limit(SAMPLE).collect()
         sample.sort(key=lambda x: x.name)
         if len(sample) >= k:
