@@ -1 +1 @@
-"""Part of spoolkit."""
+"""Column functions: every one is built from Spark expressions."""

@@ -1 +1 @@
-"""Part of spoolkit."""
+"""Readers and writers of transcripts, episodes and recorded results."""

@@ -1 +1 @@
-"""Part of spoolkit."""
+"""Continuous ingestion with Structured Streaming."""
