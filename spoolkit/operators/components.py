@@ -1,10 +1,10 @@
 """Connected components by contraction.
 
-Every round points each vertex at its smallest neighbour, follows the pointer
-once more, and rewrites the edges between the vertices pointed at.  Each round
-at least halves the vertices that still have edges, so a chain of n vertices
-takes O(log n) rounds, and every round is plain equi-joins and partial
-aggregates whose tables are written out to cut lineage.
+Every round points each vertex at its smallest neighbour, doubles the pointers
+until they end at roots, and rewrites the edges between the roots.  A root takes
+at least one neighbour with it, so each round at least halves the vertices that
+still have edges; rounds and doublings are both logarithmic.  All of it is plain
+equi-joins and partial aggregates whose tables are written out to cut lineage.
 """
 
 from __future__ import annotations
@@ -36,9 +36,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while not live.isEmpty():
         both = live.select(F.col("a").alias("v"), F.col("b").alias("w")).union(live.select("b", "a"))
         low = both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p"))
-        low = stored(low, "parents")
-        up = low.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hop = stored(low.join(up, "p").select("v", F.col("pp").alias("p")), "parents")
+        hop = stored(low, "parents")
+        while True:
+            up = hop.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            further = stored(hop.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "parents")
+            hop = further.select("v", "p")
+            if further.where("moved").isEmpty():
+                break
         steps.append(hop)
         of_a = hop.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         of_b = hop.select(F.col("v").alias("b"), F.col("p").alias("pb"))

@@ -135,23 +135,24 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.agg(F.count_if(F.col("label").isNotNull()).alias("linked"), F.count_if(F.col("label") == "pass").alias("gold_pass"), F.count_if(F.col("label") == "fail").alias("gold_fail"), F.count_if(F.col("label").isNull()).alias("unlinked"))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], seconds: int = CAPTURE_SECONDS, left_id: str = "step_id", right_id: str = "row_id", at: str = "at") -> DataFrame:
+def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], seconds: int = CAPTURE_SECONDS, left_id: str = "step_id", right_id: str = "row_id", at: str = "at", scope: tuple[str, ...] = ()) -> DataFrame:
     """``left_id, right_id, distance`` of pairs that are each other's only nearest within ``seconds``.
 
-    Equal ``keys``, and times in microseconds in ``at``.  Times fall into cells of
+    Equal ``keys``, and times in microseconds in ``at``; rows of ``right`` compete
+    within each ``scope`` (columns of ``left``) alone.  Times fall into cells of
     that length, so a row meets only its own and the two next cells.
     """
     span = seconds * 1_000_000
     cell = F.floor(F.col(at) / span)
-    a = left.select(*keys, left_id, F.col(at).alias("a_at"), cell.alias("cell"))
+    a = left.select(*keys, *scope, left_id, F.col(at).alias("a_at"), cell.alias("cell"))
     b = right.select(*keys, right_id, F.col(at).alias("b_at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    near = a.join(b, [*keys, "cell"]).withColumn("distance", F.abs(F.col("a_at") - F.col("b_at"))).where(F.col("distance") <= span).select(left_id, right_id, "distance")
+    near = a.join(b, [*keys, "cell"]).withColumn("distance", F.abs(F.col("a_at") - F.col("b_at"))).where(F.col("distance") <= span).select(*scope, left_id, right_id, "distance")
 
-    def only(rows: DataFrame, side: str) -> DataFrame:
-        best = rows.groupBy(side).agg(F.min("distance").alias("best"))
-        return rows.join(best, side).withColumn("ties", F.count(F.when(F.col("distance") == F.col("best"), 1)).over(W.partitionBy(side))).withColumn(f"best_{side}", (F.col("distance") == F.col("best")) & (F.col("ties") == 1)).drop("best", "ties")
+    def only(rows: DataFrame, name: str, *side: str) -> DataFrame:
+        best = rows.groupBy(*side).agg(F.min("distance").alias("best"))
+        return rows.join(best, [*side]).withColumn("ties", F.count(F.when(F.col("distance") == F.col("best"), 1)).over(W.partitionBy(*side))).withColumn(name, (F.col("distance") == F.col("best")) & (F.col("ties") == 1)).drop("best", "ties")
 
-    return only(only(near, left_id), right_id).where(F.col(f"best_{left_id}") & F.col(f"best_{right_id}")).select(left_id, right_id, "distance")
+    return only(only(near, "best_l", left_id), "best_r", *scope, right_id).where("best_l and best_r").select(*scope, left_id, right_id, "distance")
 
 
 def captured_cwd(cwd: Column) -> Column:
@@ -164,7 +165,7 @@ def promotions(episodes: DataFrame, captures: DataFrame) -> DataFrame:
 
     micros = lambda c: F.unix_micros(F.try_to_timestamp(c))
     step = episodes.where("outcome.tier <> 'gold'").select("id", "session_id", "started", F.col("cwd").alias("ep_cwd"), F.explode("steps").alias("s"))
-    left = step.select(F.struct("id", "s.i").alias("step_id"), "session_id", captured_cwd(F.col("ep_cwd")).alias("cwd"), F.col("s.head").alias("head"), F.lower("s.tool").alias("tool"), F.coalesce(micros("s.ts"), micros("started")).alias("at")).where("head <> '' and at is not null")
+    left = step.select("id", F.struct("id", "s.i").alias("step_id"), "session_id", captured_cwd(F.col("ep_cwd")).alias("cwd"), F.col("s.head").alias("head"), F.lower("s.tool").alias("tool"), F.coalesce(micros("s.ts"), micros("started")).alias("at")).where("head <> '' and at is not null")
     right = captures.where("exit_code is not null and cmd_head <> ''").select(F.sha2(F.to_json(F.struct(*captures.columns)), 256).alias("row_id"), "session_id", captured_cwd(F.col("cwd")).alias("cwd"), F.col("cmd_head").alias("head"), F.lower("tool").alias("tool"), micros("ts").alias("at"), "exit_code")
-    found = mutual_nearest(left, right, ["session_id", "cwd", "head", "tool"])
-    return found.join(right.select("row_id", "exit_code"), "row_id").select("step_id.id", "step_id.i", "exit_code", "distance")
+    found = mutual_nearest(left, right, ["session_id", "cwd", "head", "tool"], scope=("id",))
+    return found.join(right.select("row_id", "exit_code"), "row_id").select("id", "step_id.i", "exit_code", "distance")

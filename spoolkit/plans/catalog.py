@@ -1,20 +1,496 @@
-"""All queries over the standard tables, with their SQL."""
+"""Queries over the standard tables, each an operator on stand-in data, with the SQL that gives the same rows.
+
+``events`` stands for steps (user = session, type = tool, ``error`` = failure),
+``conversations`` for records, ``documents`` for texts, ``orders`` and
+``lineitem`` for calls and results.  Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spoolkit.functions import errors, stats, text
+from spoolkit.operators import clusters, labels, measure, planning, reports, sessionize
+from spoolkit.operators.ancestors import inherited
+from spoolkit.operators.components import connected_components
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps: session, i (order in the session), tool, k, ok, signature."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.select("event_id", "user_id", "ts", "value", "k", F.col("event_type").alias("tool"), (F.col("event_type") != "error").alias("ok"), F.concat_ws(":", F.lit("bash"), F.concat(F.lit("class"), F.col("k") % 7), F.concat(F.lit("head"), F.col("k") % 3), F.lit("")).alias("signature"))
+
+
+STEPS = """steps AS (
+  SELECT event_id, user_id, ts, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS tool, event_type <> 'error' AS ok,
+    'bash:class' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 7) || ':head' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 3) || ':' AS signature
+  FROM events
+)"""
+
+
+@query(f"WITH {STEPS} SELECT signature, count(*) AS size, count(DISTINCT user_id) AS sessions, min(ts) AS first, max(ts) AS last FROM steps WHERE NOT ok GROUP BY signature")
+def signature_groups(spark, sf_dir):
+    return steps(spark, sf_dir).where("not ok").groupBy("signature").agg(F.count("*").alias("size"), F.countDistinct("user_id").alias("sessions"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(f"""WITH {STEPS}, c AS (
+  SELECT signature, count(*) AS size, count(DISTINCT user_id) AS projects, CAST(sum(k) AS BIGINT) AS wasted_ms,
+    count(*) FILTER (value > 90) AS g, count(*) FILTER (value > 50 AND value <= 90) AS s, count(*) FILTER (value > 10 AND value <= 50) AS w, count(*) FILTER (value <= 10) AS u
+  FROM steps WHERE NOT ok GROUP BY signature
+), p AS (
+  SELECT *, ln(1 + size) + 2.0 + 0.7 * ln(1 + wasted_ms) / 60000 + 1.5 * projects / max(projects) OVER () + (g + 0.7 * s + 0.3 * w + 0.1 * u) / size AS priority FROM c
+)
+SELECT signature, size, projects, wasted_ms, round(priority, 6) AS priority, row_number() OVER (ORDER BY round(priority, 6) DESC, size DESC, signature) AS rank FROM p""")
+def ranked_clusters(spark, sf_dir):
+    """Which failure signatures recur, ranked."""
+    v, tier = F.col("value"), lambda c, n: F.count_if(c).alias(f"tier_{n}")
+    c = steps(spark, sf_dir).where("not ok").groupBy("signature").agg(
+        F.count("*").alias("size"), F.count("*").alias("terminal"), F.countDistinct("user_id").alias("projects"), F.sum("k").alias("wasted_ms"),
+        tier(v > 90, "gold"), tier((v > 50) & (v <= 90), "strong"), tier((v > 10) & (v <= 50), "weak"), tier(v <= 10, "unknown"), F.lit(False).alias("is_long_tail"), F.first("signature").alias("root"),
+    )
+    ranked = clusters.rank_clusters(c).withColumn("priority", F.round("priority", 6))
+    # one row for each signature, so one window is as small as the report
+    return ranked.select("signature", "size", "projects", "wasted_ms", "priority", F.row_number().over(W.orderBy(F.desc("priority"), F.desc("size"), "signature")).cast("long").alias("rank"))
+
+
+@query(f"""WITH {STEPS} SELECT event_id, user_id, NOT ok AND coalesce(max(CASE WHEN ok THEN event_id END) OVER (PARTITION BY user_id, k % 3) > event_id, false) AS recovered
+FROM steps WHERE true QUALIFY NOT ok""")
+def recovery_rule(spark, sf_dir):
+    last = F.max(F.when(F.col("ok"), F.col("event_id"))).over(W.partitionBy("user_id", F.col("k") % 3))
+    return steps(spark, sf_dir).withColumn("recovered", ~F.col("ok") & F.coalesce(last > F.col("event_id"), F.lit(False))).where("not ok").select("event_id", "user_id", "recovered")
+
+
+@query(f"""WITH {STEPS}, c AS (
+  SELECT *, CASE WHEN lag(tool) OVER w = tool THEN 0 ELSE 1 END AS change FROM steps WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+), r AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c),
+n AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL)
+SELECT user_id, max(n) AS longest FROM n GROUP BY user_id""")
+def repeat_run_max(spark, sf_dir):
+    return sessionize.longest_runs(steps(spark, sf_dir), ["user_id"], "event_id", "tool").withColumn("longest", F.col("longest").cast("long"))
+
+
+@query("""WITH r AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) = 1)
+SELECT o_orderkey, l_linenumber, l_quantity, l_linenumber IS NOT NULL AS paired FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
+def step_pairing(spark, sf_dir):
+    first = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_quantity")).alias("r"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "r.l_linenumber", "r.l_quantity", F.col("r").isNotNull().alias("paired"))
+
+
+@query("""WITH c AS (SELECT * FROM orders WHERE o_orderstatus <> 'F') SELECT l_orderkey, l_linenumber, 'unknown' AS tool FROM lineitem ANTI JOIN c ON o_orderkey = l_orderkey
+UNION ALL SELECT o_orderkey, 0, o_orderpriority FROM c""")
+def orphan_results(spark, sf_dir):
+    calls = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.col("o_orderpriority").alias("tool"))
+    lone = table(spark, sf_dir, "lineitem").join(calls, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", F.lit("unknown").alias("tool"))
+    return lone.unionByName(calls)
+
+
+@query("""WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)
+SELECT conv_id, count(*) FILTER (nth <= 3) AS records, max(nth) > 3 AS truncated, bool_or(role = 'assistant') AS useful FROM n GROUP BY conv_id HAVING bool_or(role = 'assistant')""")
+def group_cap(spark, sf_dir):
+    n = table(spark, sf_dir, "conversations").withColumn("nth", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
+    return n.groupBy("conv_id").agg(F.count_if(F.col("nth") <= 3).alias("records"), (F.max("nth") > 3).alias("truncated"), F.bool_or(F.col("role") == "assistant").alias("useful")).where("useful")
+
+
+@query(r"""SELECT conv_id, min(turn) FILTER (role = 'user' AND NOT regexp_matches(trim(text), '^/[\w-]+(?:\s+.*)?$')) AS first_turn, min_by(text, turn) FILTER (role = 'user' AND NOT regexp_matches(trim(text), '^/[\w-]+(?:\s+.*)?$')) AS request,
+  count(*) FILTER (role = 'system') AS system_records FROM conversations GROUP BY conv_id""")
+def prompt_requests(spark, sf_dir):
+    real = (F.col("role") == "user") & ~sessionize.is_noise(F.col("role"), F.col("text"), F.lit(False))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(F.when(real, F.col("turn"))).alias("first_turn"), F.min_by("text", F.when(real, F.col("turn"))).alias("request"), F.count_if(F.col("role") == "system").alias("system_records"))
+
+
+@query("""SELECT conv_id, turn, coalesce(lead(role) OVER w = 'user' AND regexp_matches(lead(text) OVER w, '(?i)^\\s*(no[,.]|that|the|is)'), false) AS rebuked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""".replace("\\\\", "\\"))
+def request_and_rebuke(spark, sf_dir):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce((F.lead("role").over(w) == "user") & F.lead("text").over(w).rlike(r"(?i)^\s*(no[,.]|that|the|is)"), F.lit(False)).alias("rebuked"))
+
+
+@query(f"""WITH {STEPS} SELECT user_id, count(*) AS tool_calls, count(*) FILTER (NOT ok) AS errored, bool_or(tool = 'signup') AS interrupted, min(ts) AS started, max(ts) AS ended,
+  greatest(0, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) AS duration_ms, array_to_string(list_sort(list_distinct(list(signature) FILTER (NOT ok))), ',') AS signatures FROM steps GROUP BY user_id""")
+def episode_rollup(spark, sf_dir):
+    ms = lambda c: F.unix_millis(F.to_timestamp(c.cast("string")))
+    return steps(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("tool_calls"), F.count_if(~F.col("ok")).alias("errored"), F.bool_or(F.col("tool") == "signup").alias("interrupted"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.greatest(F.lit(0), ms(F.max("ts")) - ms(F.min("ts"))).alias("duration_ms"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("signature")))), ",").alias("signatures"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY source <> 'src0', n_chars DESC, doc_id) = 1")
+def dedupe_preferred(spark, sf_dir):
+    best = table(spark, sf_dir, "documents").groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s")).agg(F.min(F.struct((F.col("source") != "src0").alias("a"), (-F.col("n_chars")).alias("b"), "doc_id", "source", "n_chars")).alias("x"))
+    return best.select("x.doc_id", "x.source", "x.n_chars")
+
+
+def _sql_rewrites(column: str, rules) -> str:
+    for pattern, to in rules:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
+    return column
+
+
+@query(f"SELECT doc_id, trim({_sql_rewrites('text', errors.NORMAL_FORM)}) AS normal FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", errors.normalize_error_text(F.col("text")).alias("normal"))
+
+
+_case = " ".join(f"WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, ps in errors.ERROR_RULES for p in ps)
+
+
+@query(f"SELECT doc_id, CASE {_case} ELSE 'other' END AS error_class FROM documents")
+def classify_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", errors.classify_error(F.col("text"))["error_class"].alias("error_class"))
+
+
+@query(f"SELECT doc_id, {_sql_rewrites('text', text.REDACTIONS[:-1])} AS redacted FROM documents")
+def redact_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", errors.rewritten(F.col("text"), text.REDACTIONS[:-1]).alias("redacted"))
+
+
+TOKENS = f"""toks AS (
+  SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(trim({_sql_rewrites('text', errors.NORMAL_FORM)}), '<[A-Z]+>', ' ', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS ws FROM documents
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM toks a JOIN toks b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws)) AND len(a.ws) > 0
+  WHERE len(list_intersect(a.ws, b.ws)) >= 0.8 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))
+)"""
+
+
+def _token_pairs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("words"))
+    return clusters.similar_pairs(d, ["lang"], "doc_id", "words", 0.8)
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, len(ws) AS n_tokens, array_to_string(ws, ' ') AS words FROM toks")
+def token_sets(spark, sf_dir):
+    w = F.array_sort(text.tokens(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.array_join(w, " ").alias("words"))
+
+
+@query(f"WITH {TOKENS} SELECT a, b FROM pairs")
+def token_jaccard_pairs(spark, sf_dir):
+    return _token_pairs(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {TOKENS}, sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS v, a AS r FROM sym UNION SELECT reach.v, sym.b FROM reach JOIN sym ON sym.a = reach.r)
+SELECT v AS vertex, min(r) AS component FROM reach GROUP BY v""")
+def components(spark, sf_dir):
+    return connected_components(_token_pairs(spark, sf_dir), "a", "b")
+
+
+@query("""SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS label_pass, count(*) FILTER (quality = 0) AS label_fail, count(*) FILTER (quality = 1 AND toxic = 1) AS label_unknown,
+  count(*) FILTER (doc_id % 4 = 0) AS tier_gold, count(*) FILTER (doc_id % 4 = 1) AS tier_strong, count(*) FILTER (doc_id % 4 = 2) AS tier_weak, count(*) FILTER (doc_id % 4 = 3) AS tier_unknown FROM labels""")
+def tier_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 0, "fail").when(F.col("toxic") == 0, "pass").otherwise("?").alias("l"), F.element_at(F.array(*map(F.lit, labels.TIERS)), (F.col("doc_id") % 4).cast("int") + 1).alias("t"))
+    return labels.tier_counts(rows, "l", "t")
+
+
+USERS = f"""{STEPS}, users AS (
+  SELECT user_id, count(*) FILTER (NOT ok) AS errored, max(k) FILTER (NOT ok) > 95 AS failed, bool_or(tool = 'purchase' AND value > 98) AS green, count(*) FILTER (tool = 'signup') > 10 AS edited,
+    count(*) FILTER (tool = 'click' AND value < 1) AS api_errors, bool_or(tool = 'view' AND value < 0.5) AS interrupted FROM steps GROUP BY user_id
+)"""
+
+
+def _users(spark, sf_dir):
+    c = F.count_if
+    return steps(spark, sf_dir).groupBy("user_id").agg(
+        c(~F.col("ok")).alias("errored"), F.coalesce(F.max(F.when(~F.col("ok"), F.col("k"))) > 95, F.lit(False)).alias("failed"), F.bool_or((F.col("tool") == "purchase") & (F.col("value") > 98)).alias("green"),
+        (c(F.col("tool") == "signup") > 10).alias("edited"), c((F.col("tool") == "click") & (F.col("value") < 1)).alias("api_errors"), F.bool_or((F.col("tool") == "view") & (F.col("value") < 0.5)).alias("interrupted"),
+    )
+
+
+def _user_outcomes(spark, sf_dir):
+    o = labels.label_rules(F.col("failed"), F.col("green"), F.col("edited"), F.col("api_errors"), F.col("interrupted"), F.lit(0), F.col("errored"))
+    return _users(spark, sf_dir).withColumn("o", o)
+
+
+LABELLED = f"""{USERS}, labelled AS (
+  SELECT *, CASE WHEN failed THEN 'fail' WHEN green AND edited THEN 'pass' WHEN api_errors > 0 OR interrupted THEN 'fail' WHEN edited AND errored = 0 THEN 'pass' ELSE 'unknown' END AS label,
+    CASE WHEN failed OR (green AND edited) THEN 'strong' WHEN api_errors > 0 OR interrupted OR (edited AND errored = 0) THEN 'weak' ELSE 'unknown' END AS tier FROM (SELECT * REPLACE (coalesce(failed, false) AS failed) FROM users)
+)"""
+
+
+@query(f"WITH {LABELLED} SELECT user_id, label, tier FROM labelled")
+def label_rules(spark, sf_dir):
+    return _user_outcomes(spark, sf_dir).select("user_id", "o.label", "o.tier")
+
+
+@query(f"""WITH {LABELLED} SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'pass' ELSE label END AS label, CASE WHEN user_id % 5 = 0 THEN 'gold' ELSE tier END AS tier FROM labelled""")
+def merged_outcomes(spark, sf_dir):
+    gold = F.when(F.col("user_id") % 5 == 0, labels.outcome("pass", "gold", 1, "merge"))
+    return _user_outcomes(spark, sf_dir).withColumn("m", labels.merge_outcomes(F.array("o", gold))).select("user_id", "m.label", "m.tier")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'fail' WHEN o_orderstatus = 'F' THEN 'pass' ELSE 'unknown' END AS label,
+  CASE WHEN o_orderstatus NOT IN ('P', 'F') THEN 'unknown' WHEN o_orderpriority LIKE '1%' OR o_custkey % 3 = 0 THEN 'weak' ELSE 'gold' END AS tier FROM orders""")
+def factory_labels(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    row = {"rework_attempt": F.lit(0), "terminal_state": F.when(s == "P", "needs-human").when(s == "F", "shipped").otherwise("open"), "tests_ok": F.lit(True), "override_applied": F.when(F.col("o_orderpriority").startswith("1"), "yes").otherwise("none"), "tests_source": F.when(F.col("o_custkey") % 3 == 0, "prose").otherwise("run"), "review_parse_ok": F.lit(True)}
+    o = labels.factory_outcome(row)
+    return table(spark, sf_dir, "orders").select("o_orderkey", o["label"].alias("label"), o["tier"].alias("tier"))
+
+
+@query("""WITH prs AS (SELECT 'org/r' || (c_custkey % 3) AS repo, c_custkey AS number, 'b' || (c_custkey % 1000) AS ref, c_acctbal > 0 AS merged FROM customer),
+ep AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'b' || (o_custkey % 1200) ELSE '' END AS branch, 'r' || (o_orderkey % 3) AS project, o_custkey % 1700 AS issue FROM orders),
+bm AS (SELECT id, count(*) AS n, min(repo) AS repo, min(number) AS number, bool_and(merged) AS merged FROM ep JOIN prs ON branch = ref GROUP BY id),
+im AS (SELECT id, count(*) AS n, min(repo) AS repo, min(number) AS number, bool_and(merged) AS merged FROM ep JOIN prs ON number = issue AND repo = 'org/' || project GROUP BY id)
+SELECT ep.id, CASE WHEN bm.n = 1 THEN 'branch' WHEN bm.n IS NULL AND im.n = 1 THEN 'issue_repo' END AS rule, CASE WHEN bm.n = 1 THEN bm.number WHEN bm.n IS NULL AND im.n = 1 THEN im.number END AS number,
+  CASE WHEN bm.n = 1 THEN CASE WHEN bm.merged THEN 'pass' ELSE 'fail' END WHEN bm.n IS NULL AND im.n = 1 THEN CASE WHEN im.merged THEN 'pass' ELSE 'fail' END END AS label,
+  CASE WHEN bm.n > 1 THEN 'ambiguous_branch' WHEN bm.n IS NULL AND im.n > 1 THEN 'ambiguous_issue_repo' END AS reason FROM ep LEFT JOIN bm USING (id) LEFT JOIN im USING (id)""")
+def pr_link_unique(spark, sf_dir):
+    key = F.col("c_custkey")
+    prs = table(spark, sf_dir, "customer").select(F.concat(F.lit("org/r"), key % 3).alias("repo"), key.alias("number"), F.concat(F.lit("b"), key % 1000).alias("headRefName"), (F.col("c_acctbal") > 0).alias("merged"), (F.col("c_acctbal") <= 0).alias("closedUnmerged"))
+    ep = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("b"), F.col("o_custkey") % 1200)).otherwise("").alias("git_branch"), F.concat(F.lit("r"), F.col("o_orderkey") % 3).alias("project"), F.lit("/w").alias("cwd"), F.concat(F.lit("fix #"), F.col("o_custkey") % 1700, F.lit(" now")).alias("haystack"))
+    return labels.link_pull_requests(ep, prs).select("id", "rule", "number", "label", "reason")
+
+
+@query("""WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), b AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'view'),
+c AS (SELECT a.event_id AS step_id, b.event_id AS row_id, abs(a.t - b.t) AS distance FROM a JOIN b USING (user_id) WHERE abs(a.t - b.t) <= 21600000000),
+d AS (SELECT *, min(distance) OVER (PARTITION BY step_id) AS ms, min(distance) OVER (PARTITION BY row_id) AS mr FROM c),
+e AS (SELECT *, count(*) FILTER (distance = ms) OVER (PARTITION BY step_id) AS ns, count(*) FILTER (distance = mr) OVER (PARTITION BY row_id) AS nr FROM d)
+SELECT step_id, row_id, distance FROM e WHERE distance = ms AND distance = mr AND ns = 1 AND nr = 1""")
+def nearest_capture(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.to_timestamp(F.col("ts").cast("string"))))
+    a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("step_id"), "at")
+    b = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("row_id"), "at")
+    return labels.mutual_nearest(a, b, ["user_id"], 21_600)
+
+
+@query("SELECT item_id, CAST(('0x' || substr(sha256('s1' || item_id), 1, 4))::INTEGER % 100 AS INTEGER) AS bucket, CASE WHEN ('0x' || substr(sha256('s1' || item_id), 1, 4))::INTEGER % 100 < 40 THEN 'heldout' ELSE 'dev' END AS split FROM benchmark")
+def heldout_split(spark, sf_dir):
+    return measure.heldout_split(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "s1")
+
+
+ARMS = "arms AS (SELECT user_id AS task, avg(CASE WHEN event_id % 2 = 0 THEN CAST(value > 50 AS INTEGER) END) AS before, avg(CASE WHEN event_id % 2 = 1 THEN CAST(value > 45 AS INTEGER) END) AS after, count(*) FILTER (event_id % 2 = 0) AS n_before, count(*) FILTER (event_id % 2 = 1) AS n_after FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 = 1) > 0)"
+
+
+def _arms(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("trial_id"), F.when(even, "before").otherwise("after").alias("arm"), (F.col("value") > F.when(even, 50).otherwise(45)).cast("int").alias("passed"))
+    return measure.arm_means(rows)
+
+
+@query(f"WITH {ARMS} SELECT task, n_before, n_after, round(before, 9) AS before, round(after, 9) AS after, round(after - before, 9) AS delta FROM arms")
+def arm_means(spark, sf_dir):
+    return _arms(spark, sf_dir).select("task", "n_before", "n_after", *(F.round(c, 9).alias(c) for c in ("before", "after", "delta")))
+
+
+@query(f"WITH {ARMS} SELECT count(*) FILTER (before >= 0.5 AND after < 0.5) AS regressions, count(*) FILTER (before < 0.5 AND after >= 0.5) AS fixes FROM arms")
+def hard_regressions(spark, sf_dir):
+    half = _arms(spark, sf_dir).select((F.col("before") >= 0.5).cast("int").alias("before"), (F.col("after") >= 0.5).cast("int").alias("after"))
+    return measure.hard_regressions(half)
+
+
+_MIXED = "xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296) % 4294967296)"
+_DRAW = f"(xor({_MIXED}, {_MIXED} >> 14) / 4294967296.0)"
+
+
+@query(f"""WITH {ARMS}, xs AS (SELECT round(after - before, 9) AS d, row_number() OVER (ORDER BY task) - 1 AS j, count(*) OVER () AS n FROM arms),
+draws AS (SELECT i, i * n + j AS q, n FROM range(200) r(i), (SELECT j, n FROM xs)),
+s AS (SELECT i, n, (42 + (CAST(1831565813 AS HUGEINT) * (q + 1)) % 4294967296) % 4294967296 AS a FROM draws),
+t AS (SELECT i, n, (xor(a, a >> 15) * (a | 1)) % 4294967296 AS t FROM s),
+m AS (SELECT i, sum(xs.d) / max(t.n) AS m FROM (SELECT i, n, CAST(floor({_DRAW} * n) AS BIGINT) AS p FROM t) t JOIN xs ON xs.j = t.p GROUP BY i)
+SELECT (SELECT max(n) FROM xs) AS n, round((SELECT avg(d) FROM xs), 9) AS point, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM m""")
+def bootstrap_ci(spark, sf_dir):
+    deltas = _arms(spark, sf_dir).select("task", F.round("delta", 9).alias("delta"))
+    return stats.bootstrap_mean(deltas, iters=200).select("n", *(F.round(c, 9).alias(c) for c in ("point", "lo", "hi")))
+
+
+@query("")
+def verdict(spark, sf_dir):
+    return measure.judge(_arms(spark, sf_dir), band=0.02, iters=500)
+
+
+@query("""SELECT lang, n, round(greatest(0.0, c - h), 9) AS lo, round(least(1.0, c + h), 9) AS hi FROM (
+  SELECT lang, n, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS c, 1.96 / (1 + 3.8416 / n) * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) AS h FROM (
+    SELECT lang, count(*) AS n, avg(quality) AS p FROM labels JOIN documents USING (doc_id) GROUP BY lang))""")
+def wilson_by_group(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("quality").alias("s"), F.count("*").alias("n"))
+    w = stats.wilson(F.col("s"), F.col("n"))
+    return d.select("lang", "n", F.round(w["lo"], 9).alias("lo"), F.round(w["hi"], 9).alias("hi"))
+
+
+@query("""SELECT round(pb - pa, 9) AS diff, round(sqrt(p * (1 - p) * (1.0 / na + 1.0 / nb)), 9) AS se, round((pb - pa) / sqrt(p * (1 - p) * (1.0 / na + 1.0 / nb)), 7) AS z FROM (
+  SELECT na, nb, sa / na AS pa, sb / nb AS pb, (sa + sb) / (na + nb) AS p FROM (
+    SELECT count(*) FILTER (toxic = 0) AS na, count(*) FILTER (toxic = 1) AS nb, count(*) FILTER (toxic = 0 AND doc_id % 3 = 0) AS sa, count(*) FILTER (toxic = 1 AND doc_id % 3 = 0) AS sb FROM labels))""")
+def two_proportion(spark, sf_dir):
+    third = F.col("doc_id") % 3 == 0
+    c = table(spark, sf_dir, "labels").agg(F.count_if((F.col("toxic") == 0) & third).alias("a"), F.count_if(F.col("toxic") == 0).alias("an"), F.count_if((F.col("toxic") == 1) & third).alias("b"), F.count_if(F.col("toxic") == 1).alias("bn"))
+    t = stats.two_proportion(F.col("a"), F.col("an"), F.col("b"), F.col("bn"))
+    return c.select(F.round(t["diff"], 9).alias("diff"), F.round(t["se"], 9).alias("se"), F.round(t["z"], 7).alias("z"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(1.96 * stddev_samp(value), 6) AS band95,
+  round(quantile_cont(value, 0.95), 6) AS p95, round(list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS INTEGER)], 6) AS nearest95 FROM events GROUP BY event_type""")
+def noise_band(spark, sf_dir):
+    b = table(spark, sf_dir, "events").groupBy("event_type").agg(stats.noise_band(F.col("value")).alias("b"), F.percentile("value", F.lit(0.95)).alias("p95"), stats.nearest_rank(F.collect_list("value"), 0.95).alias("nearest95"))
+    return b.select("event_type", "b.n", *(F.round(f"b.{c}", 6).alias(c) for c in ("mean", "sd", "band95")), F.round("p95", 6).alias("p95"), F.round("nearest95", 6).alias("nearest95"))
+
+
+DAYS = "history AS (SELECT date_trunc('hour', ts) AS ts, 100 + CAST(sum(count(*)) OVER (ORDER BY date_trunc('hour', ts)) AS BIGINT) - 40 * (row_number() OVER (ORDER BY date_trunc('hour', ts)) % 2) AS episodes, count(*) FILTER (event_type = 'error') AS fails FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {DAYS}, n AS (SELECT *, coalesce(greatest(0, episodes - lag(episodes) OVER (ORDER BY ts)), 0) AS new FROM history)
+SELECT strftime(ts, '%Y-%m-%d') AS date, max(ts) AS ts, max_by(episodes, ts) AS episodes, max_by(fails, ts) AS fails, round(max_by(fails, ts) / max_by(episodes, ts), 9) AS fail_rate, CAST(sum(new) AS BIGINT) AS new_episodes FROM n GROUP BY 1""")
+def trend_daily(spark, sf_dir):
+    hour = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("fail_labels"))
+    w = W.orderBy("ts")  # one row for each hour
+    history = hour.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "fail_labels", (100 + F.sum("n").over(w) - 40 * (F.row_number().over(w) % 2)).alias("episodes"))
+    return reports.trend(history).withColumn("fail_rate", F.round("fail_rate", 9))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS episodes, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
+def timeline(spark, sf_dir):
+    return reports.timeline(table(spark, sf_dir, "events").select(F.col("ts").cast("string").alias("started"), F.when(F.col("event_type") == "error", "fail").alias("label")))
+
+
+@query("SELECT source, count(*) AS episodes, count(*) FILTER (quality = 0) AS failures, round(count(*) FILTER (quality = 0) / count(*), 9) AS rate FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def by_project(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").withColumn("label", F.when(F.col("quality") == 0, "fail").otherwise("pass"))
+    return reports.by_group(d, "source").withColumn("rate", F.round("rate", 9))
+
+
+@query("SELECT event_type, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS pct FROM events GROUP BY event_type")
+def share_rows(spark, sf_dir):
+    return reports.share_rows(table(spark, sf_dir, "events"), "event_type").withColumn("pct", F.round("pct", 9))
+
+
+@query(f"""WITH {LABELLED} SELECT count(*) AS episodes, count(*) FILTER (failed OR label = 'fail') AS failures, count(*) FILTER (failed) AS witnessed_failures, count(*) FILTER (NOT failed AND label = 'fail') AS weak_signal_failures,
+  count(*) FILTER (label = 'pass') AS passes, count(DISTINCT user_id % 10) AS projects, count(DISTINCT user_id) AS sessions, count(*) FILTER (failed AND green) AS replayable_witnesses,
+  count(*) FILTER (NOT failed AND label = 'fail' AND api_errors > 0) AS weak_api_error, count(*) FILTER (NOT failed AND label = 'fail' AND api_errors = 0 AND interrupted) AS weak_interrupted, CAST(0 AS BIGINT) AS weak_stuck_retry, CAST(0 AS BIGINT) AS weak_other,
+  round(coalesce(count(*) FILTER (label = 'fail') / nullif(count(*) FILTER (label IN ('fail', 'pass')), 0), 0), 9) AS failure_rate FROM labelled""")
+def atlas_totals(spark, sf_dir):
+    u = _user_outcomes(spark, sf_dir).select((F.col("user_id") % 10).alias("project"), F.col("user_id").alias("session_id"), "o.label", F.col("failed").alias("witnessed"), F.col("green").alias("replayable"), "api_errors", "interrupted", F.lit(0).alias("repeats"))
+    return reports.totals(u).withColumn("failure_rate", F.round("failure_rate", 9))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey) AS spent, row_number() OVER (ORDER BY p_partkey) AS n FROM part)
+SELECT p_partkey, p_size, CAST(spent AS BIGINT) AS spent FROM c WHERE spent <= 2000 AND n <= 60""")
+def budget_cutoff(spark, sf_dir):
+    return measure.budgeted(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"], "p_size", 60, 2000)
+
+
+@query("""WITH r AS (SELECT user_id, event_id // 1000 AS checkpoint, round(avg(value), 6) AS rate FROM events GROUP BY ALL), d AS (SELECT *, lag(rate) OVER (PARTITION BY user_id ORDER BY checkpoint) - rate AS drop FROM r)
+SELECT user_id, checkpoint AS pivot, round(drop, 6) AS drop FROM d WHERE drop IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY drop DESC, checkpoint) = 1""")
+def pivot_drop(spark, sf_dir):
+    r = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 1000).cast("long").alias("checkpoint")).agg(F.round(F.avg("value"), 6).alias("rate"))
+    return measure.pivot_drop(r, ["user_id"]).withColumn("drop", F.round("drop", 6))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') IS NOT NULL AS is_object FROM events")
+def props_json(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), F.schema_of_variant(v).startswith("OBJECT").alias("is_object"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("escaped"))
+
+
+@query("""SELECT conv_id, turn, 'ep_sha256:' || substr(sha256('{"agent_id":"main","prompt_id":"' || turn || '","session_id":"' || conv_id || '"}'), 1, 16) AS id FROM conversations""")
+def content_id(spark, sf_dir):
+    s = lambda c: F.col(c).cast("string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_id("ep", {"session_id": s("conv_id"), "prompt_id": s("turn"), "agent_id": F.lit("main")}).alias("id"))
+
+
+_CLASSES = errors.ERROR_CLASSES
+
+
+@query(f"""WITH c AS (SELECT p_partkey, ({list(_CLASSES)!r})[1 + p_partkey % {len(_CLASSES)}] AS cls, p_brand FROM part)
+SELECT p_partkey, CASE WHEN cls IN ('user_rejected', 'tool_unavailable', 'stale_reference') THEN NULL WHEN cls IN {planning.SKILL!r} THEN 'skill' WHEN cls IN {planning.SCAFFOLDING!r} THEN 'scaffolding' ELSE 'context' END AS layer,
+  CASE WHEN cls IN ('user_rejected', 'tool_unavailable', 'stale_reference') THEN NULL WHEN cls IN {planning.CONTEXT + planning.SKILL!r} THEN 'auto' ELSE 'human-gate' END AS requires,
+  CASE WHEN cls IN {planning.SKILL!r} THEN '.claude/skills/' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') || '/SKILL.md' END AS skill FROM c""")
+def route_clusters(spark, sf_dir):
+    cls = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("p_partkey") % len(_CLASSES)).cast("int") + 1)
+    r = planning.route(cls, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", r["layer"].alias("layer"), r["requires"].alias("requires"), F.when(r["layer"] == "skill", r["surface"]).alias("skill"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 OR p_size > 20 THEN 'block' WHEN p_partkey % 3 = 0 THEN 'approve' ELSE 'human-gate' END AS decision FROM part""")
+def gate_patches(spark, sf_dir):
+    key = F.col("p_partkey")
+    target = F.when(key % 4 == 0, "a/.ssh/id_rsa").otherwise(F.lit("docs/CLAUDE.md"))
+    return table(spark, sf_dir, "part").select("p_partkey", planning.gate(target, F.lit(1), F.lit(1), F.col("p_size"), F.when(key % 3 == 0, "auto").otherwise("human-gate"), F.lit("skill")).alias("decision"))
+
+
+@query("SELECT user_id AS witness_id, count(*) AS n, count(DISTINCT event_type) = 1 AS stable, round(coalesce(stddev_samp(CAST(event_type = 'error' AS INTEGER)), 0), 9) AS sd FROM events GROUP BY user_id")
+def witness_stability(spark, sf_dir):
+    code = F.when(F.col("event_type") == "error", 0).otherwise(F.ascii(F.substring("event_type", 2, 1)) + F.length("event_type") * 1000)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("witness_id"), code.alias("exit_code"))
+    return measure.witness_stability(rows).withColumn("sd", F.round("sd", 9))
+
+
+@query("""WITH p AS (SELECT avg(CAST(o_totalprice > 100000 AS INTEGER)) AS mean, count(*) AS n FROM orders WHERE o_orderpriority NOT LIKE '5%'), t AS (SELECT o_custkey, avg(CAST(o_totalprice > 100000 AS INTEGER)) AS r FROM orders WHERE o_orderpriority NOT LIKE '5%' GROUP BY 1)
+SELECT round(mean, 9) AS mean, n, (SELECT count(*) FROM t) AS tasks, round(greatest(0, mean - 1.96 * sqrt(greatest(mean * (1 - mean), 1e-4) / n)), 9) AS lo, round(least(1, mean + 1.96 * sqrt(greatest(mean * (1 - mean), 1e-4) / n)), 9) AS hi FROM p""")
+def rollout_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), F.lit("m").alias("mode"), (F.col("o_totalprice") > 100000).alias("passed"), F.col("o_orderpriority").startswith("5").alias("excluded"))
+    return measure.rollout_summary(rows).select(F.round("mean", 9).alias("mean"), "n", "tasks", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+@query("""SELECT o_orderpriority AS mode, count(*) FILTER (o_orderstatus = 'F') AS kept, count(*) AS tried, round(avg(o_totalprice), 2) AS avg_gain,
+  CASE WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'reliable' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'never' ELSE 'flaky' END AS reliability FROM orders GROUP BY 1""")
+def lesson_reliability(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("mode"), (F.col("o_orderstatus") == "F").alias("kept"), F.col("o_totalprice").alias("gain"))
+    return measure.lesson_reliability(rows).withColumn("avg_gain", F.round("avg_gain", 2))
+
+
+@query("SELECT t.item_id, r.repeat, a.arm FROM benchmark t, range(1, 6) r(repeat), (VALUES ('before'), ('after')) a(arm)".replace("range(1, 6) r(repeat)", "(SELECT CAST(range AS INTEGER) AS repeat FROM range(1, 6)) r"))
+def trial_plan(spark, sf_dir):
+    return measure.plan_trials(table(spark, sf_dir, "benchmark").select("item_id"), repeats=3)
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 2048 THEN text ELSE substr(text, 1, 1017) || ' …[truncated]… ' || right(text, 1016) END AS capped, substr(text, 1, 2048) AS request FROM documents""")
+def capped_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.cap_middle(F.col("text")).alias("capped"), text.cap_head(F.col("text")).alias("request"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS node, c_custkey // 2 AS parent, CASE WHEN c_custkey < 20 THEN c_mktsegment END AS value FROM customer),
+up AS (SELECT node, parent, value FROM n UNION ALL SELECT up.node, n.parent, n.value FROM up JOIN n ON up.value IS NULL AND n.node = up.parent)
+SELECT node, max(value) AS value FROM up GROUP BY node""")
+def parent_chains(spark, sf_dir):
+    key = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(F.lit("f").alias("file"), key.cast("string").alias("uuid"), F.floor(key / 2).cast("string").alias("parent"), F.when(key < 20, F.col("c_mktsegment")).alias("prompt"))
+    return inherited(nodes, "file", "uuid", "parent", "prompt").select(F.col("uuid").cast("long").alias("node"), "value")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5")
+def top_witnesses(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("o_custkey", "o_orderkey")
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, o_orderstatus AS dominant FROM n QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) = 1""")
+def dominant_value(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    return n.groupBy("o_custkey").agg(F.min(F.struct((-F.col("n")).alias("n"), "o_orderstatus"))["o_orderstatus"].alias("dominant"))
+
 
-def ranked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("size"))
+@query("""SELECT n_name, r_name, count(*) AS orders, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
+def volume_by_nation(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"ranked_clusters": ranked_clusters}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
