@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolkit.llm.batches import bounded_batches, texts_of
+from spoolkit.llm.batches import bounded_batches, runs_of, texts_of
 from spoolkit.storage import stored
 
 #: Words of the lexicon: a bound on what is compiled and sent to the workers.
@@ -38,7 +38,13 @@ LEXICON_WORDS = 65_536
 #: Bytes of the longest word of the lexicon.
 LEXICON_WORD_BYTES = 64
 #: Pieces that a worker keeps; at the bound it starts anew.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
+#: Characters of texts whose pieces are looked up and learnt together.
+RUN_CHARS = 500_000
+#: Pieces seen of late, in a dictionary small enough for the processor's caches.
+NEAR_PIECES = 60_000
+#: Longest word in bytes that is merged together with others of its length.
+MERGED_TOGETHER = 40
 
 #: Fixed value: the published pattern that splits texts for this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,12 +83,18 @@ class Vocabulary:
         self.lengths = np.array([len(b) for b in spelt], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.decimal = [str(i) for i in range(len(spelt))]
         ids = model["vocab"]
         self.of_byte = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = pairs[order]
+        self.ranks, self.merged = np.array([*self.merges.values()], np.int64)[order].T
+        self.byte_ids = np.array(self.of_byte, np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: the lowest-ranked adjacent pair, leftmost first, until none is left."""
@@ -106,6 +118,46 @@ class Vocabulary:
             ids = out
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers; words of one length are merged in step."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for length, rows in by_length.items():
+            if length > MERGED_TOGETHER:
+                for i in rows:
+                    out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+                continue
+            ids = self.byte_ids[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8).reshape(len(rows), length)]
+            rows = np.array(rows)
+            while len(rows):
+                if ids.shape[1] > 1:
+                    keys = ids[:, :-1] << 32 | ids[:, 1:]
+                    at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+                    rank = np.where(self.pairs[at] == keys, self.ranks[at], len(self.pairs))
+                    best = rank.argmin(axis=1)
+                    each = np.arange(len(rows))
+                    more = rank[each, best] < len(self.pairs)
+                else:
+                    more = np.zeros(len(rows), bool)
+                for i, x in zip(rows[~more].tolist(), ids[~more].astype("<u4"), strict=True):
+                    out[i] = x.tobytes()
+                if not more.any():
+                    break
+                rows, ids, best, at = rows[more], ids[more], best[more], at[more]
+                each = np.arange(len(rows))
+                new = self.merged[at[each, best]]
+                keep = np.ones(ids.shape, bool)
+                keep[each, best + 1] = False
+                ids[each, best] = new
+                ids = ids[keep].reshape(len(rows), -1)
+        return out
+
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """The decimal ids joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist())).encode()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, special tokens kept."""
         n = self.lengths[ids]
@@ -225,8 +277,9 @@ class Transducer:
             live = live[~done]
         return out
 
-    def ids_at(self, rank: int) -> list[int]:
-        return self.ids[self.ends[rank] : self.ends[rank + 1]].tolist()
+    def ids_at(self, rank: int) -> bytes:
+        """The ids of a word as little-endian 32-bit integers."""
+        return self.ids[self.ends[rank] : self.ends[rank + 1]].tobytes()
 
 
 class LexiconEncoder:
@@ -235,26 +288,41 @@ class LexiconEncoder:
     def __init__(self, file_text: str, lexicon: bytes, cached: int = CACHED_PIECES):
         self.vocabulary, self.lexicon, self.cached = Vocabulary(file_text), Transducer.mapped(lexicon), cached
         self.known: dict[str, bytes] = {}
+        self.near: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces: from the automaton, or merged."""
         words = [p.encode() for p in pieces]
-        for piece, word, rank in zip(pieces, words, self.lexicon.ranks(words).tolist(), strict=True):
-            self.known[piece] = np.array(self.lexicon.ids_at(rank) if rank >= 0 else self.vocabulary.merge(word), "<u4").tobytes()
-
-    def ordinary(self, text: str) -> bytes:
-        pieces = pieces_of(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > self.cached:
-                self.known.clear()
-            self.learn([p for p in set(pieces) if p not in self.known])
-            return b"".join(map(self.known.__getitem__, pieces))
-
-    def encode(self, text: str) -> np.ndarray:
-        special = self.vocabulary.special
-        parts = self.vocabulary.special_split.split(text) if any(s in text for s in special) else [text]
-        return np.frombuffer(b"".join(np.array([special[p]], "<u4").tobytes() if p in special else self.ordinary(p) for p in parts), "<u4")
+        ranks = self.lexicon.ranks(words).tolist()
+        found = {p: self.lexicon.ids_at(r) for p, r in zip(pieces, ranks, strict=True) if r >= 0}
+        unseen = [i for i, r in enumerate(ranks) if r < 0]
+        merged = self.vocabulary.merge_many([words[i] for i in unseen])
+        return found | {pieces[i]: ids for i, ids in zip(unseen, merged, strict=True)}
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; a special token in a text is its own id."""
+        special, known, near = self.vocabulary.special, self.known, self.near
+        for a, b in runs_of(texts, RUN_CHARS):
+            parts: list[list] = []  # of a text: lists of pieces and ids of special tokens
+            for text in texts[a:b]:
+                if any(s in text for s in special):
+                    parts.append([np.array([special[p]], "<u4").tobytes() if p in special else pieces_of(p) for p in self.vocabulary.special_split.split(text)])
+                else:
+                    parts.append([pieces_of(text)])
+            if len(known) > self.cached:
+                known.clear()
+            here = set().union(*(pieces for text in parts for pieces in text if isinstance(pieces, list)))
+            if len(near) > NEAR_PIECES:
+                near.clear()
+            far = here.difference(near)
+            found = dict(zip(far, map(known.get, far), strict=True))
+            if new := [p for p, ids in found.items() if ids is None]:
+                learnt = self.learn(new)
+                found |= learnt
+                known |= learnt
+            near |= found
+            for text in parts:
+                yield np.frombuffer(b"".join([x if isinstance(x, bytes) else b"".join(map(near.__getitem__, x)) for x in text]), "<u4")
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
@@ -326,11 +394,10 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, words: int = LEXICON_WOR
         encoder = _encoder(*held.value)
         for batch in batches:
             sizes, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
-            for text in texts_of(batch.column(1)):
-                ids = encoder.encode(text)
+            for ids in encoder.encode(texts_of(batch.column(1))):
                 back = encoder.vocabulary.decode(ids)
                 sizes.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(encoder.vocabulary.spelt(ids)).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 if keep:
                     all_ids.append(ids)
