@@ -86,12 +86,17 @@ def levels(nodes: DataFrame) -> DataFrame:
     ids = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("real"))
     at = stored(nodes.join(ids, "parent", "left").select("node", F.when(F.col("real"), F.col("parent")).alias("up"), F.when(F.col("real"), 1).otherwise(0).cast("long").alias("level")), "levels")
     rounds = max(1, at.count()).bit_length()
+    settled = at.where("up is null")
+    rising = at.where("up is not null")
     for _ in range(rounds):
-        if at.where("up is not null").isEmpty():
+        if rising.isEmpty():
             break
-        above = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        at = stored(at.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
-    return at.select("node", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+        # only what still rises is joined; what it meets may have settled long ago
+        above = settled.unionByName(rising).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        at = stored(rising.join(above, "up", "left").select("node", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+        settled = settled.unionByName(at.where("up is null"))
+        rising = at.where("up is not null")
+    return settled.select("node", "level").unionByName(rising.select("node", F.lit(None).cast("long").alias("level")))
 
 
 def canonical_json(event: dict[str, Column]) -> Column:
