@@ -21,9 +21,9 @@ from spoolkit.llm.batches import runs_of
 from spoolkit.llm.shingles import mix
 
 #: Pieces that a worker keeps; at the bound the table starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 700_000
 #: Characters of texts that are split together.
-RUN_CHARS = 1_000_000
+RUN_CHARS = 300_000
 
 #: Characters for which case, normal form, white space, letter and digit mean the same here and in the library.
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
@@ -41,7 +41,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) <= n:
-        size = 1 << max(20, n.bit_length())
+        size = 1 << max(19, n.bit_length())
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             _powers[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64)
     return _powers
