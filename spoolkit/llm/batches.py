@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 #: Rows of one Arrow batch.  A batch holds whole texts, so this bounds memory.
 BATCH_ROWS = 512
+#: Bytes of one Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = "8m"
 #: Characters of the texts that are worked on together.
 BATCH_CHARS = 2_000_000
 
@@ -17,6 +19,7 @@ BATCH_CHARS = 2_000_000
 def bounded_batches(spark: SparkSession) -> None:
     """Make Spark hand texts to Python in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -15,7 +15,7 @@ are compared in rounds so that large groups of near copies cost no pairs:
 
 1. each set with the smallest name of each signature's group;
 2. between sets that round 1 left in different components, the pair of each
-   two components that looks closest;
+   two components that looks closest (one for each tile of a group);
 3. all remaining pairs between different components.
 
 Rounds 2 and 3 take a group in square tiles of bounded size.  Before texts are
@@ -97,7 +97,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 def sketch_of(elements: np.ndarray, percent: int) -> bytes:
     """One parity bit for each of a power of two of hash classes."""
     k = bands(percent)[band_of(len(elements), percent)][2]
-    bits = 64 << max(0, (6 * k // 64).bit_length())
+    bits = 64 << max(0, (8 * k // 64).bit_length())
     odd = np.bincount((mix(elements + _U(991)) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -204,59 +204,78 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, pe
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "e_a", "e_b").mapInArrow(compare, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs ``a, b`` of one group and of different components that their sketches allow.
 
-    ``rows``: sig, name, n, sketch, component.  With ``best``, a tile returns
-    one pair for each two components, the one whose sketches differ least.
+    ``rows``: sig, low, name, component.  With ``best``, a tile returns one pair
+    for each two components, the one whose sketches differ least.  Near copies
+    share many groups; most of these have the same smallest name, so tiles are
+    dealt out by it and a pair is handed on once for each.
     """
-    group = W.partitionBy("sig")
-    placed = rows.withColumn("block", F.floor((F.row_number().over(group.orderBy("name")) - 1) / TILE)).withColumn("blocks", F.floor((F.count("*").over(group) - 1) / TILE) + 1)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
-    tiles = placed.select("*", other).select("sig", F.least("block", "other").cast("int").alias("x"), F.greatest("block", "other").cast("int").alias("y"), "block", "name", "n", "component", "sketch")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def found(key: tuple, held: list) -> list[tuple[int, int]]:
-            block, name, n, component = (np.array([r[i] for r in held], np.int64) for i in range(4))
-            size = min(len(r[4]) for r in held) // 8
-            bits = np.stack([_folded(r[4], size) for r in held])
-            left = np.flatnonzero(block == key[1])
-            right = np.flatnonzero(block == key[2])
-            out: dict = {}
+    blocks = F.when(F.col("size") <= TILE, 1).otherwise(F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / TILE)))).cast("int")
+    placed = rows.withColumn("size", F.count("*").over(W.partitionBy("sig"))).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    narrow = placed.select("*", other).select("low", "sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "name", "component")
+    # near copies share many groups, so a sketch travels once for all groups of one smallest name
+    gathered = narrow.groupBy("low", "x", "y", "block", "name", "component").agg(F.collect_list("sig").alias("sigs"))
+    tiles = gathered.join(sets.select("name", "n", "sketch"), "name").select("low", "x", "y", "block", "name", "n", "component", "sketch", "sigs")
+
+    def found(x: int, y: int, held: list[tuple]) -> list[tuple[int, int]]:
+        """The pairs of a tile: ``held`` has block, name, n, component, sketch and sigs of its members."""
+        block, name, n, component = (np.array([r[i] for r in held], np.int64) for i in range(4))
+        words = np.array([len(r[4]) // 8 for r in held])
+        stacked: dict[int, np.ndarray] = {}
+        members: dict[int, list[int]] = {}
+        for i, r in enumerate(held):
+            for sig in r[5]:
+                members.setdefault(sig, []).append(i)
+        out: dict[tuple, tuple] = {}
+        done: set[tuple] = set()
+        for at in members.values():
+            if len(at) < 2 or tuple(at) in done:
+                continue
+            done.add(tuple(at))
+            at = np.array(at)
+            size = int(words[at].min())
+            if size not in stacked:
+                stacked[size] = np.stack([_folded(r[4], size) if len(r[4]) // 8 >= size else np.zeros(size, np.uint64) for r in held])
+            bits = stacked[size]
+            left, right = at[block[at] == x], at[block[at] == y]
             for i in left:
-                js = right[right > i] if key[1] == key[2] else right
+                js = right[right > i] if x == y else right
                 js = js[component[js] != component[i]]
                 js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
                 if not len(js):
                     continue
                 apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
                 ok = apart <= most_apart(n[js], n[i], percent)
-                for j, d in zip(js[ok], apart[ok], strict=True):
-                    pair = tuple(sorted((int(name[i]), int(name[j]))))
-                    of = tuple(sorted((int(component[i]), int(component[j])))) if best else pair
-                    out[of] = min(out.get(of, (1 << 30, pair)), (int(d), pair))
-            return [pair for _, pair in out.values()]
+                for j, d in zip(js[ok].tolist(), apart[ok].tolist(), strict=True):
+                    pair = (min(int(name[i]), int(name[j])), max(int(name[i]), int(name[j])))
+                    of = (min(int(component[i]), int(component[j])), max(int(component[i]), int(component[j]))) if best else pair
+                    out[of] = min(out.get(of, (1 << 30, pair)), (d, pair))
+        return sorted({pair for _, pair in out.values()})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
         def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            sigs, xs, ys, *rest = (c.to_pylist() for c in batch.columns)
+            lows, xs, ys, *rest = (c.to_pylist() for c in batch.columns)
             pairs = []
-            for k, row in zip(zip(sigs, xs, ys, strict=True), zip(*rest, strict=True), strict=True):
+            for k, row in zip(zip(lows, xs, ys, strict=True), zip(*rest, strict=True), strict=True):
                 if k != key:
                     if len(held) > 1:
-                        pairs += found(key, held)
+                        pairs += found(key[1], key[2], held)
                     key, held = k, []
                 held.append(row)
             if pairs:
                 yield batch_of(pairs)
-        if len(held) > 1 and (pairs := found(key, held)):
+        if len(held) > 1 and (pairs := found(key[1], key[2], held)):
             yield batch_of(pairs)
 
-    return tiles.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(work, "a long, b long").distinct()
+    return tiles.repartition("low", "x", "y").sortWithinPartitions("low", "x", "y", "name").mapInArrow(work, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -282,12 +301,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     candidates = stored(_sieved(shared.where("name <> low").select(F.col("low").alias("a"), F.col("name").alias("b")).distinct(), sets, percent), "pairs")
     links = stored(_verified(candidates, docs, sets, width, percent), "links")
     labels = stored(connected_components(links, "a", "b").withColumnRenamed("vertex", "name"), "labels")
-    rest = shared.where("name <> low").select("sig", "name")  # the pairs with the smallest name are done
+    rest = shared.where("name <> low")  # the pairs with the smallest name are done
     for best in (True, False):
-        named = rest.join(labels, "name", "left").select("sig", "name", F.coalesce("component", "name").alias("component"))
+        named = rest.join(labels, "name", "left").select("low", "sig", "name", F.coalesce("component", "name").alias("component"))
         split = named.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig")
-        open_rows = stored(named.join(split, "sig", "left_semi").join(sets.select("name", "n", "sketch"), "name"), "open")
-        candidates = stored(_across(open_rows, percent, best), "pairs")
+        candidates = stored(_across(named.join(split, "sig", "left_semi"), sets, percent, best), "pairs")
         if candidates.isEmpty():
             break
         new = stored(_verified(candidates, docs, sets, width, percent), "links")
