@@ -26,17 +26,17 @@ from pyspark.sql import functions as F
 
 from spoolkit.llm.batches import bounded_batches, texts_of
 from spoolkit.llm.shingles import word_hashes
-from spoolkit.storage import stored
+from spoolkit.storage import shared_dir, stored
 
 K1, B = 1.2, 0.75
-#: Documents of a block; postings at which a shard is closed.
-BLOCK, SHARD_POSTINGS = 32, 1_500_000
+#: Documents of a block; postings and documents at which a shard is closed (numbers of documents fit 16 bits).
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 300_000, 60_000
 #: Distinct words of the queries that run together, and queries of one block.
 QUERY_WORDS, QUERIES = 400_000, 2_048
 #: Blocks that are scored first.
 FIRST_BLOCKS = 8
 
-_FIELDS = (("docs", "<i8"), ("lengths", "<f8"), ("words", "<i8"), ("first_block", "<i8"), ("block", "<i4"), ("first_posting", "<i8"), ("doc", "<i4"), ("times", "<f4"))
+_FIELDS = (("docs", "<i8"), ("lengths", "<f8"), ("words", "<i8"), ("first_block", "<i4"), ("block", "<u2"), ("first_posting", "<i4"), ("doc", "<u2"), ("times", "<f4"))
 
 
 class Shard:
@@ -74,6 +74,8 @@ class Shard:
         sizes, at, arrays = np.frombuffer(data, "<i8", len(_FIELDS)), 8 * len(_FIELDS), {}
         for (name, kind), n in zip(_FIELDS, sizes.tolist(), strict=True):
             arrays[name] = np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at)
+            if name.startswith("first") or name in ("block", "doc"):
+                arrays[name] = arrays[name].astype(np.int64)
             at += n + -n % 8
         return cls(arrays)
 
@@ -143,7 +145,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 words.append(found)
                 times.append(n)
                 size += len(found)
-                if size >= SHARD_POSTINGS:
+                if size >= SHARD_POSTINGS or len(docs) >= SHARD_DOCS:
                     yield out()
                     docs, lengths, words, times, size = [], [], [], [], 0
         if docs:
@@ -193,7 +195,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    index = stored(build_index(docs), "index")
+    shared_dir(spark)  # names the folder that checkpoint() writes to, if nothing has yet
+    index = build_index(docs).checkpoint()  # read back row by row: a columnar reader would hold all shards of a file at once
     total = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     mean = total.words / total.n if total.n else 0.0
     asked = stored(_query_words(queries).where(F.size("words") > 0), "queries")
