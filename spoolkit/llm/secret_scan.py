@@ -17,7 +17,14 @@ chi-squared statistic mustn't be too large for its alphabet, and the serial
 correlation of neighbouring symbols must be near zero, which rules out
 counters, alphabets and repetitions.
 
-All runs of the corpus are tested together.  A histogram of the p-values for
+A run often holds more than the secret, as in ``NAME=value`` and ``/path/value``,
+and is then neither written nor random as a whole.  So its parts between signs
+are tested as well: split at ``=`` (padding at the end stays), these at ``/``,
+and these at ``_`` and ``-``; as random values may hold such signs themselves, up
+to ``JOINED`` neighbouring parts are also tested together.  Finds that overlap
+are one find.
+
+All runs and parts of the corpus are tested together.  A histogram of the p-values for
 each band of lengths (bounded, whatever the corpus) gives the Benjamini-Hochberg
 threshold of that band, so long runs, which have more power, don't pay for short
 ones.
@@ -46,6 +53,8 @@ ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Least length of what is tested, and neighbouring parts of a run that are tested together, at most.
+LEAST, JOINED = 20, 4
 #: Expected share of wrong finds among the added ones of each band.
 FALSE_DISCOVERY = 0.01
 #: Lengths that begin a new band.
@@ -100,14 +109,31 @@ def written_p(run: str) -> float:
     return min(1.0, joint * (1 - math.log(joint)))
 
 
+def parts_of(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the run and of those of its parts, single and joined, that are long enough."""
+    body = len(run.rstrip("="))
+    level, found = [(0, len(run))], {(0, len(run))}
+    for signs in ("=", "/", "_-"):
+        below = []
+        for start, end in level:
+            cuts = [i for i in range(start, min(end, body)) if run[i] in signs]
+            pieces = [(a + 1, b) for a, b in zip([start - 1, *cuts], [*cuts, end], strict=True)]
+            below += pieces
+            for n in range(1, JOINED + 1):
+                found.update((a, b) for (a, _), (_, b) in zip(pieces, pieces[n - 1 :], strict=False) if b - a >= LEAST)
+        level = [(a, b) for a, b in below if b - a >= LEAST]
+    return sorted(found)
+
+
 def tested(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, band, step) of every run that the battery tests."""
+    """(start, end, band, step) of every run, and part of one, that the battery tests."""
     out = []
     for m in RUN.finditer(text):
         run = m.group()
-        band = sum(len(run) >= b for b in BANDS) - 1
-        step = min(STEPS - 1, int(-math.log10(max(written_p(run), 1e-300)) * STEPS_PER_DECADE))
-        out.append((m.start(), m.end(), band, step))
+        for a, b in parts_of(run):
+            band = sum(b - a >= x for x in BANDS) - 1
+            step = min(STEPS - 1, int(-math.log10(max(written_p(run[a:b]), 1e-300)) * STEPS_PER_DECADE))
+            out.append((m.start() + a, m.start() + b, band, step))
     return out
 
 
@@ -120,9 +146,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def all_spans(text: str, thresholds: list[int]) -> tuple[list, list]:
-    """The base spans, and these with the runs that the battery adds; an added one overlaps no base span."""
+    """The base spans, and these with what the battery adds; an added one overlaps no base span and no other added one."""
     base = base_spans(text)
-    added = [(a, b, "random") for a, b, band, step in tested(text) if step >= thresholds[band] and not any(x < b and a < y for x, y, _ in base)]
+    added: list[tuple[int, int, str]] = []
+    for a, b, band, step in tested(text):  # by start
+        if step >= thresholds[band] and not any(x < b and a < y for x, y, _ in base):
+            if added and a < added[-1][1]:
+                a, b = added[-1][0], max(b, added.pop()[1])
+            added.append((a, b, "random"))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
 

@@ -308,6 +308,19 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_within_runs(spark):
+    rng = random.Random(11)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = [("AWS_SECRET_ACCESS_KEY=", 40, signs, ""), ("STRIPE_LIVE_SIGNING_KEY=", 32, signs[:62], "=="), ("/webhooks/incoming/service/", 24, signs[:62], ""), ("/api/v1/integrations/callback/", 40, signs, "/status")]
+    values = [(a, "".join(rng.choices(c, k=n)), b) for a, n, c, b in kinds for _ in range(150)]
+    names = ["/usr/share/documentation/packages/readme", "internationalization_of_everything"]
+    docs = spark.createDataFrame([(i, f"see {a}{v}{b} end") for i, (a, v, b) in enumerate(values)] + [(1000 + i, f"see {t} end") for i, t in enumerate(names)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for k in range(len(kinds)):
+        assert sum(values[i][1] not in clean[i] and "removed" in clean[i] for i in range(150 * k, 150 * k + 150)) >= 145
+    assert [clean[1000 + i] for i in range(len(names))] == [f"see {t} end" for t in names]
+
+
 # --- search, packing, files, chats ---------------------------------------
 
 
