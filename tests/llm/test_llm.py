@@ -231,6 +231,25 @@ def tiny_lm(steps=60):
     return attention_lm.fit(texts, counts, np.zeros(300, bool), 299, steps), texts
 
 
+def test_lm_learns_from_all_texts(spark, monkeypatch):
+    seen, fit = [], attention_lm.fit
+    monkeypatch.setattr(attention_lm, "fit", lambda arrays, *rest: seen.append(len(arrays)) or fit(arrays, *rest[:3], 1))
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(2_000)], "doc_id long, text string")
+    assert attention_lm.score_texts(docs, BYTES).count() == 2_000
+    assert seen == [sum(not attention_lm.is_held_out(i) for i in range(2_000))]
+
+
+def test_lm_rounds_learn(spark, monkeypatch):
+    _, texts = tiny_lm(1)
+    training = spark.createDataFrame([(i, bytearray(t.astype("<u2").tobytes())) for i, t in enumerate(texts * 10)], "key long, ids binary").repartition(3)
+    args = (np.bincount(np.concatenate(texts), minlength=300), np.zeros(300, bool), 299)
+    monkeypatch.setattr(attention_lm, "BATCH", 16)
+    windows = sum(-(-(len(t) + 1) // attention_lm.STRIDE) for t in texts * 10)
+    monkeypatch.setattr(attention_lm, "STEPS", windows // 16 // 3)
+    one, two = (attention_lm.fit_all(training, windows, "<u2", *args).scores(texts) for _ in range(2))
+    assert (one == two).all() and one.sum() > tiny_lm(2)[0].scores(texts).sum()
+
+
 def test_lm_gradients_and_learning():
     s, texts = tiny_lm(2)
     x, pad, target, text = attention_lm.windows_of(texts[:3], s.classes)
