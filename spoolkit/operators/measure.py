@@ -148,8 +148,9 @@ def gold_episodes(results: DataFrame) -> DataFrame:
 
 
 def graded(attempts: DataFrame) -> DataFrame:
-    """``passed``: exit code 0 and the marker in the first 800 characters of the output; rate-limited attempts are ``excluded``."""
-    return attempts.withColumn("output", F.substring("output", 1, 800)).withColumn("passed", (F.col("exit_code") == 0) & F.contains("output", "marker")).withColumn("excluded", F.col("output").rlike("(?i)rate.?limit|429|quota"))
+    """``passed``: exit code 0 and the marker in the output; rate-limited attempts are ``excluded``; 800 characters of the output are shown."""
+    tested = attempts.withColumn("passed", (F.col("exit_code") == 0) & F.contains("output", "marker")).withColumn("excluded", F.col("output").rlike("(?i)rate.?limit|429|quota"))
+    return tested.withColumn("output", F.substring("output", 1, 800))
 
 
 def fenced_code(answer: Column) -> Column:

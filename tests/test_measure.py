@@ -78,3 +78,10 @@ def test_streams_equal_batches(spark, tmp_path):
     hook = '{"session_id":"s","tool_name":"Bash","cwd":"/Users/me/x","tool_input":{"command":"ls -la"},"tool_response":{"stdout":"Exit code 2\\nboom"}}'
     row = ingest.capture_rows(spark.createDataFrame([("t", hook)], "ts string, e string").select("ts", F.parse_json("e").alias("event"))).first()
     assert (row.exit_code, row.is_error, row.cmd_head, row.ok) == (2, True, "ls", False)
+
+
+def test_graded_reads_the_whole_output(spark):
+    rows = [(0, "x" * 900 + " DONE", "DONE"), (0, "x" * 900 + " rate limit", "DONE"), (1, "DONE", "DONE"), (0, "DONE", "DONE")]
+    out = measure.graded(spark.createDataFrame(rows, "exit_code int, output string, marker string").coalesce(1)).collect()
+    assert [(r.passed, r.excluded) for r in out] == [(True, False), (False, True), (False, False), (True, False)]
+    assert [len(r.output) for r in out] == [800, 800, 4, 4]
