@@ -150,3 +150,19 @@ def test_components_random(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.vertex: r.component for r in connected_components(df, "a", "b").collect()} == {v: find(v) for v in root}
     assert connected_components(df.limit(0), "a", "b").count() == 0
+
+
+def tail_of(spark, texts):
+    rows = [(f"e{i}", t, "bash", "other", f"2024-01-01 00:00:{i:02}") for i, t in enumerate(texts)]
+    failures = spark.createDataFrame(rows, "id string, error_text string, tool string, error_class string, started string")
+    none = spark.createDataFrame([], "is_long_tail boolean, members array<string>")
+    groups, loners = clusters.mine_long_tail(failures, none)
+    return sorted(r.members for r in groups.collect()), [r["count"] for r in loners.collect()]
+
+
+def test_long_tail_compares_whole_texts(spark):
+    word = lambda n, c: " ".join(f"{c}{chr(97 + i // 26)}{chr(97 + i % 26)}word" for i in range(n))
+    alike = [f"{word(40, c)} {word(200, 'z')}" for c in "abc"]  # alike only after 240 characters
+    assert tail_of(spark, alike)[0] == [["e0", "e1", "e2"]]
+    differ = [f"{word(40, 'q')} {word(200, c)}" for c in "abc"]  # alike only in the first 240
+    assert tail_of(spark, differ)[0] == []
