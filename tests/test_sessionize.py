@@ -166,3 +166,8 @@ def test_long_tail_compares_whole_texts(spark):
     assert tail_of(spark, alike)[0] == [["e0", "e1", "e2"]]
     differ = [f"{word(40, 'q')} {word(200, c)}" for c in "abc"]  # alike only in the first 240
     assert tail_of(spark, differ)[0] == []
+
+
+def test_long_tail_keeps_groups_of_two(spark):
+    groups, loners = tail_of(spark, ["disk full while writing", "disk full while writing", "other thing entirely"])
+    assert groups == [["e0", "e1"]] and loners == [1]
