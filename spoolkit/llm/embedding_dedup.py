@@ -1,12 +1,18 @@
-"""Near-duplicate vectors by spherical k-means and blocked cosine products.
+"""Near-duplicate vectors by spherical k-means and blocked cosine products; exact.
 
 Equal vectors form one class from the start.  Centroids are fitted on a sample
-of at most ``SAMPLE`` classes; every class is then placed in its nearest cell
-and visits the next ``PROBES`` - 1 cells.  Two classes meet in a cell that is
-home to at least one of them, and their link counts in one cell only, however
-often they meet.  A cell is worked through in square tiles of bounded size, so
-its size bounds no task; a tile returns link counts and a spanning forest of
-its links, never all pairs.  Cosines are computed in double precision.
+of at most ``SAMPLE`` classes and every class is at home in its nearest cell.
+Cells are dealt into units of about ``unit`` classes by hash, and units are
+numbered.  A class visits each unit of a smaller number whose cell can't be
+ruled out: a vector within the angle of ``least`` of it can lie nearer to that
+cell's centroid than to its own home's only if its own distance to the plane
+between the two is at most the sine of that angle.  So two linked classes meet
+exactly once, in the unit with the smaller number.  Vectors that form no clusters
+rule out little, and the work is then that of all pairs.
+
+Units meet their visitors in tiles of bounded size; a tile works through its
+visitors in blocks and returns link counts and spanning forests of its links,
+never all pairs.  Cosines are computed in double precision.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ from spoolkit.storage import stored
 
 #: Classes on which centroids are fitted, at most.
 SAMPLE = 16_384
-#: Classes of a cell, about; and cells at most (tiles take what this leaves).
-CELL, MAX_CELLS = 512, 4_096
-#: Cells in which a class is compared.
-PROBES = 3
-#: Members of one side of a tile.
-TILE = 256
+#: Classes of a unit: at least, at most, and about this share of all; cells at most (units take what this leaves).
+LEAST_UNIT, MOST_UNIT, SHARE, MAX_CELLS = 512, 16_384, 12, 4_096
+#: Units whose members visit together, and visitors that are compared together.
+VISITING, BLOCK = 2, 1_024
+#: Slack of the bound, for rounding.
+SLACK = 1e-6
 ROUNDS = 8
 
 
@@ -72,98 +78,145 @@ def _vectors(rows: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v")).mapInArrow(work, "vec_id long, name long, dims int, vector binary")
 
 
-def _placed(classes: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
-    """A row for each class and each cell in which it is compared."""
-    held = classes.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors
+def _homes(classes: DataFrame, held) -> DataFrame:
+    """``classes`` with ``home``, the nearest cell."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, dims, vectors = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            for d in sorted(set(dims)):
+            dims, vectors = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            home = np.zeros(len(dims), np.int32)
+            for d in set(dims) & set(held.value):
                 at = [i for i, x in enumerate(dims) if x == d]
-                near = held.value.get(d)
-                if near is None:
-                    probes = np.zeros((len(at), 1), np.int64)
-                else:
-                    cos = unit(np.frombuffer(b"".join(vectors[i] for i in at)).reshape(len(at), d)) @ near.T
-                    p = min(PROBES, len(near))
-                    probes = np.argpartition(-cos, p - 1, axis=1)[:, :p]
-                    probes = np.take_along_axis(probes, np.argsort(-np.take_along_axis(cos, probes, axis=1), axis=1, kind="stable"), axis=1)
-                for i, cells in zip(at, probes.tolist(), strict=True):
-                    out += [(d, c, names[i], sizes[i], cells, vectors[i]) for c in cells]
+                home[at] = (unit(np.frombuffer(b"".join(vectors[i] for i in at)).reshape(len(at), d)) @ held.value[d].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32())], ["name", "size", "dims", "vector", "home"])
+
+    return classes.select("name", "size", "dims", "vector").mapInArrow(work, "name long, size long, dims int, vector binary, home int")
+
+
+def may_visit(cos: np.ndarray, home: np.ndarray, gaps: np.ndarray, least: float) -> np.ndarray:
+    """Rows by cells: whether a vector at home in the cell may have a cosine of ``least`` or more with the row."""
+    reach = np.sqrt(max(0.0, 1 - least * least)) if least > 0 else 2.0
+    return cos[np.arange(len(home)), home][:, None] - cos <= reach * gaps[home] + SLACK
+
+
+def _placed(homes: DataFrame, centroids, units: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
+    """A row for each class and each tile in which it is compared; ``units``: the first unit of each cell, and how many it has."""
+    held = homes.sparkSession.sparkContext.broadcast((units, VISITING))  # at most MAX_CELLS numbers for each number of dimensions
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, visiting = held.value
+        gaps = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in centroids.value.items()}
+        for batch in batches:
+            names, sizes, dims, vectors, home = (c.to_pylist() for c in batch.columns)
+            may = {}
+            for d in set(dims) & set(gaps):
+                at = [i for i, x in enumerate(dims) if x == d]
+                cos = unit(np.frombuffer(b"".join(vectors[i] for i in at)).reshape(len(at), d)) @ centroids.value[d].T
+                may |= dict(zip(at, may_visit(cos, np.array(home)[at], gaps[d], least), strict=True))
+            out: list[tuple] = []
+            for i, (name, size, d, vector, h) in enumerate(zip(names, sizes, dims, vectors, home, strict=True)):
+                first, count = units.get(d, (np.zeros(1, np.int64), np.ones(1, np.int64)))
+                total = int(first[-1] + count[-1])
+                mine = int(first[h]) + (name * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % int(count[h])
+                for group in range(mine // visiting, (total - 1) // visiting + 1):
+                    out.append((d, mine, group, 0, mine, name, size, vector))
+                cells = np.flatnonzero(may[i]) if i in may else np.zeros(1, np.int64)
+                out += [(d, u, mine // visiting, 1, mine, name, size, vector) for c in cells[first[cells] < mine].tolist() for u in range(int(first[c]), min(mine, int(first[c] + count[c])))]
+                if len(out) >= 20_000:
+                    yield batch_of(out)
+                    out = []
             if out:
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["dims", "cell", "name", "size", "probes", "vector"])
+                yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["dims", "unit", "other", "visits", "mine", "name", "size", "vector"])
 
-    return classes.select("name", "size", "dims", "vector").mapInArrow(work, "dims int, cell int, name long, size long, probes array<int>, vector binary")
+    return homes.mapInArrow(work, "dims int, unit int, other int, visits int, mine int, name long, size long, vector binary")
 
 
-def _tile(cell: int, mine: list[tuple], other: list[tuple] | None, least: float) -> list[tuple]:
-    """(name, null, linked vectors) and (name, name, null) of the links between two blocks, or within one."""
-    rows = mine + (other or [])
-    if len(rows) < 2:
+def _tile(names: np.ndarray, sizes: np.ndarray, link: np.ndarray, n: int) -> list[tuple]:
+    """(name, null, linked vectors) and (name, name, null) of the links ``link`` of the first n rows with all others."""
+    a, b = np.nonzero(link)
+    if not len(a):
         return []
-    names = np.array([r[0] for r in rows], np.int64)
-    sizes = np.array([r[1] for r in rows], np.int64)
-    home = np.array([r[2][0] for r in rows])
-    probes = np.array([r[2] for r in rows])
-    x = unit(np.frombuffer(b"".join(r[3] for r in rows)).reshape(len(rows), -1))
-    n = len(mine)
-    a, b = (slice(0, n), slice(n, None)) if other is not None else (slice(None), slice(None))
-    link = x[a] @ x[b].T >= least
-    here_a, here_b = home[a] == cell, home[b] == cell
-    link &= here_a[:, None] | here_b[None, :]
-    # a pair with another home is left to that cell if it meets there too and its number is smaller
-    visits_b = (probes[a][:, :, None] == home[b][None, None, :]).any(axis=1)
-    visits_a = (probes[b][:, :, None] == home[a][None, None, :]).any(axis=1).T
-    link &= ~(here_a[:, None] & ~here_b[None, :] & visits_b & (home[b][None, :] < cell))
-    link &= ~(here_b[None, :] & ~here_a[:, None] & visits_a & (home[a][:, None] < cell))
-    full = np.zeros((len(rows), len(rows)), bool)
-    full[a, b] = link
-    full |= full.T
-    np.fill_diagonal(full, False)
-    counts = full @ sizes
-    label = np.arange(len(rows))
+    b = b + (len(names) - link.shape[1])
+    counts = np.zeros(len(names), np.int64)
+    np.add.at(counts, a, sizes[b])
+    np.add.at(counts, b, sizes[a])
+    label = np.arange(len(names))
     while True:
-        low = np.minimum(label, np.where(full, label[None, :], len(rows)).min(axis=1))
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
         low = low[low]
         if np.array_equal(low, label):
             break
         label = low
     out = [(int(names[i]), None, int(counts[i])) for i in np.flatnonzero(counts)]
-    return out + [(int(names[i]), int(names[label[i]]), None) for i in np.flatnonzero(label != np.arange(len(rows)))]
+    return out + [(int(names[i]), int(names[label[i]]), None) for i in np.flatnonzero(label != np.arange(len(names)))]
 
 
 def _links(placed: DataFrame, least: float) -> DataFrame:
-    cell = W.partitionBy("dims", "cell")
-    blocks = placed.withColumn("block", F.floor((F.row_number().over(cell.orderBy("name")) - 1) / TILE).cast("int")).withColumn("blocks", F.floor((F.count("*").over(cell) - 1) / TILE).cast("int") + 1)
-    tiles = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("dims", "cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "name", "size", "probes", "vector")
+    block = BLOCK
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, mine, other = None, [], []
+        key, home, names, sizes, waiting = None, np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
-        def done() -> list[tuple]:
-            return _tile(key[1], mine, other if key[2] != key[3] else None, least) if key else []
+        def rows_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), unit(np.frombuffer(b"".join(r[2] for r in rows)).reshape(len(rows), -1))
+
+        def visited() -> list[tuple]:
+            if not waiting or not len(names):
+                return []
+            their_names, their_sizes, theirs = rows_of(waiting)
+            return _tile(np.concatenate([names, their_names]), np.concatenate([sizes, their_sizes]), home @ theirs.T >= least, len(names))
+
+        def within() -> list[tuple]:
+            out = []
+            for i in range(0, len(names), block):
+                link = home[: i + block] @ home[i : i + block].T >= least
+                link &= np.arange(len(link))[:, None] < np.arange(i, i + link.shape[1])[None, :]  # each pair once
+                out += _tile(names[: i + block], sizes[: i + block], link, i)
+            return out
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "n"])
 
+        residents: list[tuple] = []
+
+        def settled(key: tuple) -> list[tuple]:
+            nonlocal home, names, sizes, residents
+            if not residents:
+                return []
+            names, sizes, home = rows_of(residents)
+            own, residents = residents[0][3] == key[2], []
+            return within() if own else []
+
         for batch in batches:
             out: list[tuple] = []
-            *keys, block, name, size, probes, vector = (c.to_pylist() for c in batch.columns)
-            for k, at, *row in zip(zip(*keys, strict=True), block, name, size, probes, vector, strict=True):
-                if k != key:
-                    out += done()
-                    key, mine, other = k, [], []
-                (mine if at == k[2] else other).append(row)
+            for d, u, other, visits, mine, name, size, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (d, u, other) != key:
+                    if key:
+                        out += settled(key) + visited()
+                    key, waiting, residents = (d, u, other), [], []
+                    names = np.zeros(0, np.int64)
+                if visits:
+                    out += settled(key)
+                    waiting.append((name, size, vector))
+                    if len(waiting) == block:
+                        out += visited()
+                        waiting = []
+                else:
+                    residents.append((name, size, vector, mine // visiting))
             if out:
                 yield batch_of(out)
-        if out := done():
+        if key and (out := settled(key) + visited()):
             yield batch_of(out)
 
-    keys = ("dims", "cell", "x", "y")
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long, n long")
+    visiting = VISITING
+    keys = ("dims", "unit", "other")
+    return placed.repartition(*keys).sortWithinPartitions(*keys, "visits", "name").mapInArrow(work, "a long, b long, n long")
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -179,8 +232,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_column: str = "vec_i
     every = stored(_vectors(rows, id_column, vector_column), "vectors")
     classes = stored(every.where("name <> 0").groupBy("name").agg(F.count("*").alias("size"), F.first("dims").alias("dims"), F.first("vector").alias("vector")), "classes")
     centroids: dict[int, np.ndarray] = {}
+    each: dict[int, int] = {}
     for r in classes.groupBy("dims").count().orderBy(F.desc("count")).limit(16).collect():
-        k = min(MAX_CELLS, -(-r["count"] // CELL))
+        each[r.dims] = min(MOST_UNIT, max(LEAST_UNIT, r["count"] // SHARE))
+        k = min(MAX_CELLS, -(-r["count"] // each[r.dims]))
         if k < 2:
             continue
         # names are hashes, so a range of them is a sample; its size is bounded whatever the table's
@@ -189,7 +244,14 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_column: str = "vec_i
         sample.sort(key=lambda x: x.name)
         if len(sample) >= k:
             centroids[r.dims] = spherical_kmeans(unit(np.frombuffer(b"".join(bytes(x.vector) for x in sample)).reshape(len(sample), r.dims)), k)
-    found = stored(_links(_placed(classes, centroids), least), "links")
+    held = rows.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS vectors for each of 16 numbers of dimensions
+    homes = stored(_homes(classes, held), "homes")
+    units: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r in homes.where(F.col("dims").isin(*each) if each else F.lit(False)).groupBy("dims", "home").count().collect():  # a row for each cell
+        cells = len(centroids[r.dims]) if r.dims in centroids else 1
+        units.setdefault(r.dims, (np.zeros(cells, np.int64), np.ones(cells, np.int64)))[1][r.home] = -(-r["count"] // each[r.dims])
+    units = {d: (np.cumsum(n) - n, n) for d, (_, n) in units.items()}
+    found = stored(_links(_placed(homes, held, units, least), least), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n"))
     labels = connected_components(found.where("b is not null"), "a", "b").withColumnRenamed("vertex", "name")
     by_class = stored(classes.select("name", "size").join(counts, "name", "left").join(labels, "name", "left").select("name", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "name").alias("component")), "classes")

@@ -201,6 +201,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAST_UNIT", 16)
+    monkeypatch.setattr(embedding_dedup, "SHARE", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 16))
+    near = x[:500] / np.linalg.norm(x[:500], axis=1, keepdims=True) + 0.42 / 4 * rng.standard_normal((500, 16))
+    x = np.concatenate([x, near])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [found[i] for i in range(len(x))] == link.sum(axis=1).tolist()
+
+
 # --- scoring, quality, secrets -------------------------------------------
 
 
