@@ -1,40 +1,55 @@
-"""Exact BM25 top-k over sharded inverted indexes with block-max pruning.
+"""Exact BM25 top-k over sharded inverted indexes with block-max WAND pruning.
 
 Each task indexes its documents as one or more shards: sorted 64-bit word
-hashes, for each word its blocks of ``BLOCK`` documents with the largest term
-factor in the block, and the postings.  Document frequencies and the mean
-length are global, so scores are comparable between shards and a merge of the
-shards' top k is exact.
-
-Queries run in blocks of bounded size.  In a shard, a query's upper bound of a
-block is the sum of its words' block maxima.  Blocks are visited by falling
-bound, a few at first and then more at a time, and only the postings of the
-visited blocks are touched; the search ends when no bound left reaches the
-k-th best score (as in WAND, a block that can't hold a result is skipped; ties
-are kept, for they go to the smaller document id).
+hashes, for each word its blocks of ``BLOCK`` documents, and the postings.
+Document frequencies and the mean length are global, so scores are comparable
+between shards and a merge of the shards' top k is exact.
+
+Queries run in blocks of bounded size, in two waves.  The first wave takes one
+shard in ``WAVES``; the k-th best score that a query finds there is a lower
+bound of its final one, and is where its search of all other shards begins.
+
+In a shard, a query's words stand by falling bound (the largest contribution
+of any posting).  As in WAND, a document that holds none of the leading words
+can't reach the least score wanted once the bounds of the others sum to less;
+so only postings of leading words are added up, down to where the rest sums to
+``DEPTH`` of the least score.  A block whose best document can't reach the least
+score with the block maxima of the remaining words is skipped, and so is the
+shard if all bounds together don't reach it.  The remaining words' postings are
+touched in the blocks that are left.  Ties are kept, for they go to the smaller
+document id.
+
+Contributions are multiples of 2**-38, so sums below 16,384 are exact whatever
+the order, and equal texts have equal scores in every shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spoolkit.llm.batches import bounded_batches, texts_of
 from spoolkit.llm.shingles import word_hashes
-from spoolkit.storage import shared_dir, stored
+from spoolkit.storage import new_path, shared_dir, stored
 
 K1, B = 1.2, 0.75
 #: Documents of a block; postings and documents at which a shard is closed (numbers of documents fit 16 bits).
-BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 300_000, 60_000
-#: Distinct words of the queries that run together, and queries of one block.
-QUERY_WORDS, QUERIES = 400_000, 2_048
-#: Blocks that are scored first.
-FIRST_BLOCKS = 8
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 3_000_000, 60_000
+#: Words of the queries that run together, and queries of one block.
+QUERY_WORDS, QUERIES = 4_000_000, 32_768
+#: One shard in so many is searched first.
+WAVES = 8
+#: Share of the least score that the words whose postings aren't added up at first may sum to.
+DEPTH = 0.5
+#: The grid of contributions.
+GRID = 2.0**38
 
 _FIELDS = (("docs", "<i8"), ("lengths", "<f8"), ("words", "<i8"), ("first_block", "<i4"), ("block", "<u2"), ("first_posting", "<i4"), ("doc", "<u2"), ("times", "<f4"))
 
@@ -79,63 +94,75 @@ class Shard:
             at += n + -n % 8
         return cls(arrays)
 
-    def ready(self, mean: float) -> None:
-        """Term factors of all postings, and their block maxima."""
+    def ready(self, mean: float, known: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Contributions of all postings, their maxima by block and word, and where each of the ``known`` words (sorted) is, -1 for nowhere."""
+        if not len(self.words):
+            return np.full(len(known), -1)
+        at = np.minimum(np.searchsorted(self.words, known), len(self.words) - 1)
+        at[self.words[at] != known] = -1
+        weight = np.zeros(len(self.words))
+        weight[at[at >= 0]] = weights[at >= 0]
         norm = K1 * (1 - B + B * self.lengths / mean) if mean else np.full(len(self.docs), K1)
         times = self.times.astype(np.float64)
-        self.factor = times * (K1 + 1) / (times + norm[self.doc])
-        self.top = np.maximum.reduceat(self.factor, self.first_posting[:-1]) if len(self.factor) else self.factor
+        self.first = self.first_posting[self.first_block]  # of each word, and the end
+        self.gain = np.rint(np.repeat(weight * (K1 + 1) * GRID, np.diff(self.first)) * (times / (times + norm[self.doc]))) / GRID
+        self.top = np.maximum.reduceat(self.gain, self.first_posting[:-1])
+        self.best = np.maximum.reduceat(self.top, self.first_block[:-1])
         self.blocks = -(-len(self.docs) // BLOCK)
-
-    def search(self, words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best of this shard, best first; ``words`` sorted."""
-        at = np.searchsorted(self.words, words)
-        hit = np.flatnonzero((at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == words)) if len(self.words) else np.zeros(0, int)
-        if not len(hit):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, weights = at[hit], weights[hit]
-        lo, n = self.first_block[at], self.first_block[at + 1] - self.first_block[at]
-        cell = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())  # every (word, block) of the query
-        weight = np.repeat(weights, n)
-        of = self.block[cell]
-        bound = np.bincount(of, weights=weight * self.top[cell], minlength=self.blocks) * (1 + 1e-12)
+        self.opened = self.skipped = 0  # blocks whose remaining postings were, or weren't, touched
+        return at
+
+    def _slices(self, first: np.ndarray, words: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+        spans = list(zip(first[words].tolist(), first[words + 1].tolist(), strict=True))
+        return [np.concatenate([x[a:b] for a, b in spans]) for x in arrays]
+
+    def search(self, words: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best of this shard that score ``least`` or more, best first; ``words``: numbers in this shard."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
+        if not len(words):
+            return nothing
+        bound = self.best[words]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        seen = np.zeros(self.blocks, bool)
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, FIRST_BLOCKS
-        while done < len(order):
-            least = scores[k - 1] if len(scores) >= k else 0.0
-            part = order[done : done + step]
-            part = part[bound[part] >= least]
-            if not len(part):
-                break
-            seen[:] = False
-            seen[part] = True
-            mine = np.flatnonzero(seen[of])
-            first = self.first_posting[cell[mine]]
-            m = self.first_posting[cell[mine] + 1] - first
+        words = words[order]
+        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0) * (1 + 1e-12)  # bound of a word and all after it
+        if rest[0] < least:
+            self.skipped += self.blocks
+            return nothing
+        n = max(1, int(np.count_nonzero(rest[:-1] > DEPTH * least)))
+        total = np.bincount(*self._slices(self.first, words[:n], self.doc, self.gain), minlength=self.blocks * BLOCK)
+        if n < len(words):
+            cell = np.concatenate([np.arange(a, b) for a, b in zip(self.first_block[words[n:]].tolist(), self.first_block[words[n:] + 1].tolist(), strict=True)])
+            of = self.block[cell]
+            more = np.bincount(of, weights=self.top[cell], minlength=self.blocks) * (1 + 1e-12)
+            open_ = total.reshape(self.blocks, BLOCK).max(axis=1) + more >= least
+            self.opened += int(np.count_nonzero(open_))
+            self.skipped += self.blocks - int(np.count_nonzero(open_))
+            cell = cell[open_[of]]
+            first = self.first_posting[cell]
+            m = self.first_posting[cell + 1] - first
             posting = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            total = np.bincount(self.doc[posting], weights=np.repeat(weight[mine], m) * self.factor[posting], minlength=len(self.docs))
-            found = np.flatnonzero(total)
-            docs, scores = np.concatenate([docs, self.docs[found]]), np.concatenate([scores, total[found]])
-            best = np.lexsort((docs, -scores))[:k]
-            docs, scores = docs[best], scores[best]
-            done += len(part)
-            step *= 4
-        return docs, scores
+            total += np.bincount(self.doc[posting], weights=self.gain[posting], minlength=len(total))
+            total = np.where(np.repeat(open_, BLOCK), total, 0)
+        found = np.flatnonzero((total >= least) & (total > 0))
+        if len(found) > k:
+            found = found[total[found] >= np.partition(total[found], len(found) - k)[len(found) - k]]
+        docs, scores = self.docs[found], total[found]
+        best = np.lexsort((docs, -scores))[:k]
+        return docs[best], scores[best]
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """``n_docs, n_words, shard`` over the rows of ``docs`` (doc_id, text) that have an id."""
+    """``wave, n_docs, n_words, shard`` over the rows of ``docs`` (doc_id, text) that have an id; wave 0 is searched first."""
     bounded_batches(docs.sparkSession)
+    waves = WAVES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, lengths, words, times, size = [], [], [], [], 0
+        number = TaskContext.get().partitionId()
 
         def out() -> pa.RecordBatch:
-            row = (len(docs), sum(lengths), Shard.build(docs, lengths, words, times).pack())
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.binary())], ["n_docs", "n_words", "shard"])
+            columns = [pa.array([x], pa.int64()) for x in (min(number % waves, 1), len(docs), sum(lengths))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([Shard.build(docs, lengths, words, times).pack()], pa.binary())], ["wave", "n_docs", "n_words", "shard"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -147,11 +174,12 @@ def build_index(docs: DataFrame) -> DataFrame:
                 size += len(found)
                 if size >= SHARD_POSTINGS or len(docs) >= SHARD_DOCS:
                     yield out()
+                    number += 1
                     docs, lengths, words, times, size = [], [], [], [], 0
         if docs:
             yield out()
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, "n_docs long, n_words long, shard binary")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, "wave long, n_docs long, n_words long, shard binary")
 
 
 def _one_shard_at_a_time(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[Shard]:
@@ -184,6 +212,65 @@ def _query_words(queries: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
 
 
+@dataclass
+class Block:
+    """Queries that run together: their ids, their words as numbers of ``known``, and the least score that each still wants."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+    known: np.ndarray
+    weights: np.ndarray
+    least: np.ndarray
+
+    @classmethod
+    def gather(cls, part: DataFrame, df: DataFrame, n_docs: int) -> Block:
+        """From ``part`` (query_id, words) and ``df`` (word, df); both are bounded by the size of a block."""
+        rows = part.toArrow().combine_chunks()
+        order = np.argsort(rows["query_id"].to_numpy(), kind="stable")
+        lists = rows["words"].combine_chunks().take(pa.array(order))
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        counts = df.toArrow()
+        known, d = counts["word"].to_numpy(), counts["df"].to_numpy().astype(np.float64)
+        by_word = np.argsort(known)
+        known, d = known[by_word], d[by_word]
+        at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+        keep = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        return cls(rows["query_id"].to_numpy()[order], np.append(0, np.cumsum(sizes)), at[keep].astype(np.int32), known, np.log(1 + (n_docs - d + 0.5) / (d + 0.5)), np.zeros(len(order)))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _searched(index: DataFrame, block: Block, mean: float, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: the k best of each shard of ``index`` that may be among the k best of all."""
+    held = index.sparkSession.sparkContext.broadcast(block)  # bounded by QUERY_WORDS and QUERIES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        best = np.zeros((len(block.ids), k))  # the k best scores that this task has seen
+        least = block.least.copy()
+        for shard in _one_shard_at_a_time(batches, 0):
+            at = shard.ready(mean, block.known, block.weights)[block.words]
+            ids, docs, scores = [], [], []
+            for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
+                mine = at[a:b]
+                found, score = shard.search(mine[mine >= 0], k, least[i])
+                if len(found):
+                    best[i] = np.sort(np.concatenate([best[i], score]))[-k:]
+                    least[i] = max(least[i], best[i, 0])
+                    ids.append(np.full(len(found), block.ids[i]))
+                    docs.append(found)
+                    scores.append(score)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(scores).astype(np.float64))], ["query_id", "doc_id", "score"])
+
+    return index.select("shard").mapInArrow(work, "query_id long, doc_id long, score double")
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, doc_id, score``: the k documents of ``docs`` (doc_id, text) with the best BM25 score for each of ``queries`` (query_id, text).
 
@@ -202,37 +289,21 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = stored(_query_words(queries).where(F.size("words") > 0), "queries")
     words = asked.select(F.explode("words").alias("word")).distinct()
     df = stored(_frequencies(index, words), "frequencies")
-    # blocks of queries: by a running count of words over hash buckets of ids, so that each block fits a worker
+    # blocks of queries by hash buckets of ids, so that each fits a worker; one is on the driver at a time
     size = asked.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("w"), F.count("*").alias("q")).first()
     blocks = max(1, -(-size.w // QUERY_WORDS), -(-size.q // QUERIES))
     dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
+    path, schema = new_path(spark, "found"), "query_id long, doc_id long, score double"
+    spark.createDataFrame([], schema).write.parquet(path)
     for b in range(blocks):
         part = dealt.where(F.col("part") == b).drop("part")
-        known = {r.word: r.df for r in part.select(F.explode("words").alias("word")).distinct().join(df, "word").collect()} if blocks > 1 else {r.word: r.df for r in df.collect()}
-        plan = []
-        for r in part.collect():
-            mine = np.array([w for w in r.words if w in known], np.int64)
-            d = np.array([known[w] for w in mine.tolist()], np.float64)
-            plan.append((r.query_id, mine, np.log(1 + (total.n - d + 0.5) / (d + 0.5))))
-        held = spark.sparkContext.broadcast(sorted(plan, key=lambda x: x[0]))  # about QUERY_WORDS words
-
-        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for shard in _one_shard_at_a_time(batches, 0):
-                shard.ready(mean)
-                ids, docs, scores = [], [], []
-                for query, words, weights in held.value:
-                    found, score = shard.search(words, weights, k)
-                    ids.append(np.full(len(found), query))
-                    docs.append(found)
-                    scores.append(score)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(scores).astype(np.float64))], ["query_id", "doc_id", "score"])
-
-        found = index.select("shard").mapInArrow(work, "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+        block = Block.gather(part, df if blocks == 1 else df.join(part.select(F.explode("words").alias("word")).distinct(), "word", "left_semi"), total.n)
+        first = stored(_ranked(_searched(index.where("wave = 0"), block, mean, k), k), "first_wave")
+        for r in first.where(F.col("rank") == k).select("query_id", "score").toLocalIterator():  # at most the queries of the block
+            block.least[np.searchsorted(block.ids, r.query_id)] = r.score
+        both = first.drop("rank").unionByName(_searched(index.where("wave > 0"), block, mean, k))
+        both.write.mode("append").parquet(path)
+    return _ranked(spark.read.schema(schema).parquet(path), k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 #: ``op7_block_max_search`` in SQL; scores are rounded there and here.

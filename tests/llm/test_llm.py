@@ -389,10 +389,35 @@ def test_search_in_many_shards_and_blocks(docs, rows, monkeypatch):
     one = key(block_max_search.search(docs, queries, 5))
     monkeypatch.setattr(block_max_search, "SHARD_POSTINGS", 300)
     monkeypatch.setattr(block_max_search, "QUERIES", 4)
-    monkeypatch.setattr(block_max_search, "FIRST_BLOCKS", 1)
+    monkeypatch.setattr(block_max_search, "WAVES", 2)
     assert key(block_max_search.search(docs, queries, 5)) == one
 
 
+def test_search_skips_blocks():
+    """Over a shard of many blocks, a query with a threshold opens few of them and returns what the open search does."""
+    rng = np.random.default_rng(5)
+    texts = [np.unique(rng.zipf(1.3, 60) % 5_000) for _ in range(4_000)]
+    shard = block_max_search.Shard.build(list(range(4_000)), [60] * 4_000, texts, [np.ones(len(t), np.int64) for t in texts])
+    shard = block_max_search.Shard.view(shard.pack())
+    known, df = np.unique(np.concatenate(texts), return_counts=True)
+    at = shard.ready(60.0, known, np.log(1 + (4_000 - df + 0.5) / (df + 0.5)))
+    opened = skipped = 0
+    for q in range(0, 4_000, 100):
+        words = at[np.searchsorted(known, texts[q])]
+        docs, scores = shard.search(words, 10)
+        gain = Counter()
+        for w in words.tolist():
+            for p in range(shard.first[w], shard.first[w + 1]):
+                gain[int(shard.doc[p])] += float(shard.gain[p])
+        assert list(zip(docs.tolist(), scores.tolist(), strict=True)) == sorted(gain.items(), key=lambda x: (-x[1], x[0]))[:10]
+        shard.opened = shard.skipped = 0
+        again = shard.search(words, 10, scores[-1])
+        assert again[0].tolist() == docs.tolist() and again[1].tolist() == scores.tolist()
+        opened, skipped = opened + shard.opened, skipped + shard.skipped
+    assert 0 < opened < skipped
+    assert not len(shard.search(words, 10, 1e6)[0])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 20_000))
 def test_cuts(n):
