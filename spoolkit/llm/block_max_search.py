@@ -41,9 +41,11 @@ from spoolkit.storage import new_path, shared_dir, stored
 
 K1, B = 1.2, 0.75
 #: Documents of a block; postings and documents at which a shard is closed (numbers of documents fit 16 bits).
-BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 3_000_000, 60_000
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 1_500_000, 60_000
 #: Words of the queries that run together, and queries of one block.
 QUERY_WORDS, QUERIES = 4_000_000, 32_768
+#: Words whose numbers of documents a task adds up before it hands them on.
+COUNTED_WORDS = 2_000_000
 #: One shard in so many is searched first.
 WAVES = 8
 #: Share of the least score that the words whose postings aren't added up at first may sum to.
@@ -89,8 +91,6 @@ class Shard:
         sizes, at, arrays = np.frombuffer(data, "<i8", len(_FIELDS)), 8 * len(_FIELDS), {}
         for (name, kind), n in zip(_FIELDS, sizes.tolist(), strict=True):
             arrays[name] = np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at)
-            if name.startswith("first") or name in ("block", "doc"):
-                arrays[name] = arrays[name].astype(np.int64)
             at += n + -n % 8
         return cls(arrays)
 
@@ -103,9 +103,14 @@ class Shard:
         weight = np.zeros(len(self.words))
         weight[at[at >= 0]] = weights[at >= 0]
         norm = K1 * (1 - B + B * self.lengths / mean) if mean else np.full(len(self.docs), K1)
-        times = self.times.astype(np.float64)
         self.first = self.first_posting[self.first_block]  # of each word, and the end
-        self.gain = np.rint(np.repeat(weight * (K1 + 1) * GRID, np.diff(self.first)) * (times / (times + norm[self.doc]))) / GRID
+        gain = norm[self.doc]
+        gain += self.times
+        np.divide(self.times, gain, out=gain)
+        gain *= np.repeat(weight * (K1 + 1) * GRID, np.diff(self.first))
+        np.rint(gain, out=gain)
+        gain /= GRID
+        self.gain = gain
         self.top = np.maximum.reduceat(self.gain, self.first_posting[:-1])
         self.best = np.maximum.reduceat(self.top, self.first_block[:-1])
         self.blocks = -(-len(self.docs) // BLOCK)
@@ -192,9 +197,19 @@ def _frequencies(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """``word, df`` of the words in ``wanted`` (word), over all shards."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, df = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the shards so far, added up
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(df)], ["word", "df"])
+
         for shard in _one_shard_at_a_time(batches, 0):
-            df = np.bincount(np.repeat(np.arange(len(shard.words)), np.diff(shard.first_posting[shard.first_block])), minlength=len(shard.words))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.words), pa.array(df.astype(np.int64))], ["word", "df"])
+            found, back = np.unique(np.concatenate([words, shard.words]), return_inverse=True)
+            words, df = found, np.bincount(back, weights=np.concatenate([df, np.diff(shard.first_posting[shard.first_block])])).astype(np.int64)
+            if len(words) > COUNTED_WORDS:
+                yield out()
+                words, df = words[:0], df[:0]
+        if len(words):
+            yield out()
 
     counts = index.select("shard").mapInArrow(work, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
     return wanted.join(counts, "word")
