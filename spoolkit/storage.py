@@ -31,13 +31,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     The written files outlive any executor, so later stages never recompute
-    what lies before them.
+    what lies before them.  ``by`` names a column of few values that each get
+    a folder, so that a filter on it reads no other.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        writers = "spark.sql.maxConcurrentOutputFileWriters"
+        before = spark.conf.get(writers, None)
+        spark.conf.set(writers, "16")  # one file for each value at a time, instead of a sort
+        try:
+            df.write.partitionBy(by).parquet(path)
+        finally:
+            if before is None:
+                spark.conf.unset(writers)
+            else:
+                spark.conf.set(writers, before)
     return spark.read.schema(df.schema).parquet(path)
