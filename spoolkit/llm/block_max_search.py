@@ -41,11 +41,11 @@ from spoolkit.storage import new_path, shared_dir, stored
 
 K1, B = 1.2, 0.75
 #: Documents of a block; postings and documents at which a shard is closed (numbers of documents fit 16 bits).
-BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 1_500_000, 60_000
+BLOCK, SHARD_POSTINGS, SHARD_DOCS = 32, 1_000_000, 60_000
 #: Words of the queries that run together, and queries of one block.
-QUERY_WORDS, QUERIES = 4_000_000, 32_768
+QUERY_WORDS, QUERIES = 2_000_000, 16_384
 #: Words whose numbers of documents a task adds up before it hands them on.
-COUNTED_WORDS = 2_000_000
+COUNTED_WORDS = 1_000_000
 #: One shard in so many is searched first.
 WAVES = 8
 #: Share of the least score that the words whose postings aren't added up at first may sum to.
@@ -175,7 +175,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 docs.append(doc)
                 lengths.append(int(n.sum()))
                 words.append(found)
-                times.append(n)
+                times.append(n.astype(np.int32))
                 size += len(found)
                 if size >= SHARD_POSTINGS or len(docs) >= SHARD_DOCS:
                     yield out()

@@ -160,10 +160,14 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, special tokens kept."""
+        return self.raw(ids).decode(errors="replace")
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of ``ids``."""
         n = self.lengths[ids]
         total = int(n.sum())
         first = np.cumsum(n) - n
-        return self.flat[np.repeat(self.starts[ids] - first, n) + np.arange(total)].tobytes().decode(errors="replace")
+        return self.flat[np.repeat(self.starts[ids] - first, n) + np.arange(total)].tobytes()
 
 
 class Transducer:

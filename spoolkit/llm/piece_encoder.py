@@ -26,7 +26,8 @@ KEPT_PIECES = 700_000
 RUN_CHARS = 300_000
 
 #: Characters for which case, normal form, white space, letter and digit mean the same here and in the library.
-_UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]|<\\|")
+_SAFE = np.zeros(0x181, bool)
+_SAFE[[9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x180)]] = True
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
@@ -105,6 +106,48 @@ def split_plain(codes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return first[keep], end[keep]
 
 
+class HashTable:
+    """Open addressing over 64-bit hashes: numbers of keys in the order in which they came.
+
+    A key's place is its leading bits, or the next free one; probes of many keys
+    run in step.
+    """
+
+    def __init__(self, most: int):
+        self.bits = max(10, (2 * most).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)  # 0: free
+        self.numbers = np.zeros(1 << self.bits, np.int32)
+        self.n = 0
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or a free place where it isn't."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[left]]
+            left = left[(there != keys[left]) & (there != 0)]
+        return at
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, whether known) of each key; keys aren't 0."""
+        at = self._places(keys)
+        return self.numbers[at], self.keys[at] == keys
+
+    def add(self, keys: np.ndarray) -> None:
+        """``keys``: distinct, none of them known."""
+        numbers = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
+        while len(keys):
+            at = self._places(keys)
+            first = np.unique(at, return_index=True)[1]  # of keys that meet on one place, one stays
+            self.keys[at[first]], self.numbers[at[first]] = keys[first], numbers[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, numbers = keys[rest], numbers[rest]
+
+
 class PieceEncoder:
     def __init__(self, file_text: str, kept: int = KEPT_PIECES):
         self.tokenizer = Tokenizer.from_str(file_text)
@@ -116,9 +159,9 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of pieces
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.table = HashTable(self.kept)
+        self.start = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 20, "<u4")
         self.used = 0
 
@@ -151,9 +194,11 @@ class PieceEncoder:
         return np.array([i for x in each for i in x], "<u4"), np.array([len(x) for x in each], np.int64)
 
     def remember(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """``keys`` sorted, none of them known."""
-        if len(self.keys) + len(keys) > self.kept and len(self.keys):
+        """``keys`` distinct, none of them known."""
+        if self.table.n + len(keys) > self.kept and self.table.n:
             raise OverflowError
+        if self.table.n + len(keys) > self.kept:  # more pieces in one text than are kept
+            self.table = HashTable(len(keys))
         space = np.array([p.isspace() for p in pieces])
         for group in (np.flatnonzero(~space), np.flatnonzero(space)):
             if not len(group):
@@ -162,10 +207,12 @@ class PieceEncoder:
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             self.pool[self.used : self.used + len(ids)] = ids
-            start = self.used + np.cumsum(sizes) - sizes
+            n, m = self.table.n, len(group)
+            while n + m > len(self.start):
+                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start[n : n + m], self.size[n : n + m] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used += len(ids)
-            at = np.searchsorted(self.keys, keys[group])
-            self.keys, self.start, self.size = (np.insert(old, at, new) for old, new in ((self.keys, keys[group]), (self.start, start), (self.size, sizes)))
+            self.table.add(keys[group])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         joined = "\0".join(texts) + "\0"
@@ -177,30 +224,39 @@ class PieceEncoder:
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(_CODE[codes] * power[: len(codes)], dtype=np.uint64, out=sums[1:])
         hashes = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
-        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new):
-            w = where[new]
-            pieces = [joined[a:b] for a, b in zip(first[w].tolist(), end[w].tolist(), strict=True)]
+        hashes[hashes == 0] = 1
+        at, known = self.table.find(hashes)
+        if not known.all():
+            lost = np.flatnonzero(~known)
+            keys, where = np.unique(hashes[lost], return_index=True)
             try:
-                self.remember(keys[new], pieces)
+                self.remember(keys, [joined[a:b] for a, b in zip(first[lost[where]].tolist(), end[lost[where]].tolist(), strict=True)])
             except OverflowError:
                 self.forget()
+                keys, where = np.unique(hashes, return_index=True)
                 self.remember(keys, [joined[a:b] for a, b in zip(first[where].tolist(), end[where].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, keys)
-        size = self.size[at][back]
+            at, _ = self.table.find(hashes)
+        size = self.size[at]
         ends = np.cumsum(size)
-        shift = self.start[at][back] - (ends - size)
+        shift = self.start[at] - (ends - size)
         ids = self.pool[np.repeat(shift, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         stops = np.flatnonzero(codes == 0)
         bounds = np.append(0, ends)[np.searchsorted(first, stops)]
         return np.split(ids, bounds[:-1])
 
+    def plain(self, texts: list[str]) -> np.ndarray:
+        """Which texts hold safe characters alone, and nothing that begins like a special token."""
+        codes = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        bad = ~_SAFE[np.minimum(codes, 0x180)]
+        bad[:-1] |= (codes[:-1] == 60) & (codes[1:] == 124)  # <|
+        sizes = np.array([len(t) + 1 for t in texts])
+        bad[np.cumsum(sizes) - 1] = False
+        return ~np.logical_or.reduceat(bad, np.cumsum(sizes) - sizes)
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         for a, b in runs_of(texts, RUN_CHARS):
-            plain = [self.kind is not None and not _UNSAFE.search(t) for t in texts[a:b]]
+            plain = self.plain(texts[a:b]) & (self.kind is not None)
             found = iter(self._plain([t for t, p in zip(texts[a:b], plain, strict=True) if p]) if any(plain) else [])
             for text, p in zip(texts[a:b], plain, strict=True):
                 yield next(found) if p else self.whole(text)

@@ -36,9 +36,9 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """The hash of every word of ``text``, in order."""
-    raw = np.frombuffer(text.encode(errors="surrogatepass").translate(_LOWER), np.uint8)
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first bytes, ends) of the words of ``raw``, in order."""
+    raw = np.frombuffer(raw.translate(_LOWER), np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~_SPACE[raw]
     edge = np.diff(inside)
@@ -46,7 +46,20 @@ def word_hashes(text: str) -> np.ndarray:
     power, inverse = _power_tables(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+    return mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)), first, last
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """The hash of every word of ``text``, in order."""
+    return hashed_words(text.encode(errors="surrogatepass"))[0]
+
+
+def sequence_hashes(elements: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each run ``elements[first:end]``, order and all, wherever it stands."""
+    power, inverse = _power_tables(len(elements))
+    sums = np.zeros(len(elements) + 1, np.uint64)
+    np.cumsum(mix(elements) * power[: len(elements)], dtype=np.uint64, out=sums[1:])
+    return mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:

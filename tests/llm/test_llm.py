@@ -241,41 +241,59 @@ def test_scores(spark, docs, rows, monkeypatch):
 
 
 def tiny_lm(steps=60):
+    """(classes, fitted model, closed texts): texts that repeat seven of twenty subwords; every fifth begins a word."""
     rng = np.random.default_rng(0)
-    texts = [np.tile(rng.permutation(20)[:7], 12).astype(np.int32) for _ in range(60)]
-    counts = np.bincount(np.concatenate(texts), minlength=300)
-    return attention_lm.fit(texts, counts, np.zeros(300, bool), 299, steps), texts
+    texts = [attention_lm.closed(np.tile(rng.permutation(20)[:7], 12), 299) for _ in range(60)]
+    classes = attention_lm.Classes.build(np.bincount(np.concatenate(texts), minlength=300), np.arange(300) % 5 == 0, np.ones(300, np.int64), 299)
+    model = attention_lm.fit(texts, classes, steps)
+    model.ready()
+    return classes, model, texts
+
+
+def log_sums(classes, model, texts):
+    logp, _, of = attention_lm.subword_logs(model, classes, texts)
+    return np.bincount(of, weights=logp, minlength=len(texts))
 
 
 def test_lm_learns_from_all_texts(spark, monkeypatch):
     seen, fit = [], attention_lm.fit
-    monkeypatch.setattr(attention_lm, "fit", lambda arrays, *rest: seen.append(len(arrays)) or fit(arrays, *rest[:3], 1))
+    monkeypatch.setattr(attention_lm, "fit", lambda arrays, classes: seen.append(len(arrays)) or fit(arrays, classes, 1))
     docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(2_000)], "doc_id long, text string")
     assert attention_lm.score_texts(docs, BYTES).count() == 2_000
     assert seen == [sum(not attention_lm.is_held_out(i) for i in range(2_000))]
 
 
 def test_lm_rounds_learn(spark, monkeypatch):
-    _, texts = tiny_lm(1)
-    training = spark.createDataFrame([(i, bytearray(t.astype("<u2").tobytes())) for i, t in enumerate(texts * 10)], "key long, ids binary").repartition(3)
-    args = (np.bincount(np.concatenate(texts), minlength=300), np.zeros(300, bool), 299)
-    monkeypatch.setattr(attention_lm, "BATCH", 16)
-    windows = sum(-(-(len(t) + 1) // attention_lm.STRIDE) for t in texts * 10)
-    monkeypatch.setattr(attention_lm, "STEPS", windows // 16 // 3)
-    one, two = (attention_lm.fit_all(training, windows, "<u2", *args).scores(texts) for _ in range(2))
-    assert (one == two).all() and one.sum() > tiny_lm(2)[0].scores(texts).sum()
+    classes, _, texts = tiny_lm(1)
+    training = spark.createDataFrame([(i, bytearray(t[1:-1].astype("<u2").tobytes())) for i, t in enumerate(texts * 10)], "key long, ids binary").repartition(3)
+    windows = sum(-(-(len(t) - 1) // attention_lm.STRIDE) for t in texts * 10)
+    for name, value in (("BATCH", 16), ("LEAST", 1_000), ("TASK_WINDOWS", windows // 4)):
+        monkeypatch.setattr(attention_lm, name, value)
+    models = [attention_lm.fit_all(training, windows, "<u2", classes) for _ in range(2)]
+    for m in models:
+        m.ready()
+    one, two = (log_sums(classes, m, texts) for m in models)
+    assert (one == two).all() and one.sum() > log_sums(*tiny_lm(2)).sum()
+
+
+def test_lm_segments_cover_texts():
+    ids = np.arange(1_000, dtype=np.int32)
+    every = list(attention_lm.segments(5, ids, 1.0))
+    assert np.array_equal(np.concatenate([s[1:] for s in every]), ids[1:]) and all(s[0] == s[1] - 1 for s in every)
+    some = [s for k in range(400) for s in attention_lm.segments(k, ids, 1 / 8)]
+    assert 0.09 < len(some) / (400 * len(every)) < 0.16
 
 
 def test_lm_gradients_and_learning():
-    s, texts = tiny_lm(2)
-    x, pad, target, text = attention_lm.windows_of(texts[:3], s.classes)
-    m = s.model
-    args = (s.classes.of[target].ravel(), (text >= 0).ravel())
+    classes, m, texts = tiny_lm(2)
+    x, pad, target, text = attention_lm.windows_of(texts[:3], classes)
+    args = (classes.of[target].ravel(), (text >= 0).ravel())
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     _, g = m.gradients(m.forward(x, pad), *args)
     rng = np.random.default_rng(1)
     for k, v in m.p.items():
         at = tuple(rng.integers(0, n) for n in v.shape) if k != "e" else (int(x[0, -1]), 3)
+        at = (int(args[0][0]) // attention_lm.MEMBERS, *at[1:]) if k == "m" else at
         old, eps = v[at], 1e-5
         v[at] = old + eps
         up, _ = m.gradients(m.forward(x, pad), *args)
@@ -283,21 +301,79 @@ def test_lm_gradients_and_learning():
         down, _ = m.gradients(m.forward(x, pad), *args)
         v[at] = old
         assert math.isclose((up - down) / (2 * eps), g[k][at], rel_tol=2e-3, abs_tol=1e-6), k
-    better = tiny_lm(150)[0].scores(texts).sum()
-    assert better > tiny_lm(2)[0].scores(texts).sum()
+    assert log_sums(*tiny_lm(150)).sum() > log_sums(*tiny_lm(2)).sum()
 
 
 def test_lm_scores_are_probabilities_and_causal():
-    s, texts = tiny_lm(5)
-    assert math.isclose(np.exp(s.classes.share).sum(), len(set(s.classes.of.tolist())), rel_tol=1e-6)
-    one = s.scores(texts[:4])
-    assert np.allclose(one, [s.scores([t])[0] for t in texts[:4]], rtol=1e-5)  # batching changes nothing
-    x, pad, target, _ = attention_lm.windows_of([texts[0]], s.classes)
-    first = s.model.log_class(x, pad, s.classes.of[target])[0]
+    classes, model, texts = tiny_lm(5)
+    assert math.isclose(np.exp(classes.share).sum(), len(set(classes.of.tolist())), rel_tol=1e-6)
+    assert np.allclose(log_sums(classes, model, texts[:4]), [log_sums(classes, model, [t])[0] for t in texts[:4]], rtol=1e-5)  # batching changes nothing
+    total, begins = 0.0, 0.0
+    for i in range(300):  # every subword after one beginning
+        logp, begin, _ = attention_lm.subword_logs(model, classes, [np.append(texts[0][:9], i)])
+        total += math.exp(logp[-1])
+        begins += math.exp(logp[-1]) * (i % 5 == 0 or i == 299)
+    assert math.isclose(total, 1, rel_tol=1e-4) and math.isclose(begins, math.exp(begin[-1]), rel_tol=1e-4)
+    first = attention_lm.subword_logs(model, classes, [texts[0]])[0]
     changed = texts[0].copy()
-    changed[10:] = 5
-    x2, pad2, _, _ = attention_lm.windows_of([changed], s.classes)
-    assert np.allclose(s.model.log_class(x2, pad2, s.classes.of[target])[0][:10], first[:10], rtol=1e-5)  # what follows doesn't matter
+    changed[11:] = 5
+    assert np.allclose(attention_lm.subword_logs(model, classes, [changed])[0][:10], first[:10], rtol=1e-5)  # what follows doesn't matter
+
+
+def test_lm_score_by_hand(spark):
+    """The score against a slow reckoning, word by word and phrase by phrase, over a small table with copies and shared beginnings."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(60)] + ["über", "x=1;", "don't"]
+    texts = [" ".join(rng.choices(vocab, k=rng.choice([2, 30, 200]))) for _ in range(30)]
+    texts += [texts[1], texts[2], texts[1] + "\n\n " + texts[2], None, "", "  lead  and trail \n", " ".join(texts) * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made = {}
+    fitted = attention_lm.fit_all
+    attention_lm.fit_all = lambda *a: made.setdefault("model", fitted(*a[:3], made.setdefault("classes", a[3])))
+    try:
+        found = {r.doc_id: r.score for r in attention_lm.score_texts(docs, BYTES).collect()}
+    finally:
+        attention_lm.fit_all = fitted
+    classes, model, library = made["classes"], made["model"], Tokenizer.from_file(BYTES)
+    learnt = [i for i in range(len(texts)) if not attention_lm.is_held_out(i)]
+    count = Counter(w for i in learnt for w in [*words_of(texts[i]), None])
+    n = sum(count.values())
+
+    def phrases_of(t):
+        hashes = [int(h) for h in word_hashes(t)]
+        out, now = [], []
+        for i, w in enumerate([*words_of(t), None]):
+            now.append(w)
+            pair = int(attention_lm.mix(np.array([hashes[i - 1] * 31 + hashes[i] & (1 << 64) - 1], np.uint64))[0]) if 0 < i < len(hashes) else 1
+            if w is None or pair % attention_lm.PHRASE == 0:
+                out.append(tuple(now))
+                now = []
+        return out
+
+    said = Counter(p for i in learnt for p in phrases_of(texts[i] or ""))
+    for i, t in enumerate(texts):
+        t = (t or "").translate(LOWER)
+        ids = library.encode(t, add_special_tokens=False)
+        logp, begin, _ = attention_lm.subword_logs(model, classes, [attention_lm.closed(np.array(ids.ids, np.int32), classes.end)])
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        logs, of = [0.0] * (len(spans) + 1), []
+        for j, (a, b) in enumerate(ids.offsets):
+            of.append(next((k for k, (_, end) in enumerate(spans) if end > a), len(spans)))
+        of.append(len(spans))
+        for j, k in enumerate(of):
+            logs[k] += logp[j]
+            if k and (not j or of[j - 1] != k) and (j == len(ids.ids) or t[ids.offsets[j][0]] in " \t\n"):
+                logs[k] -= begin[j]
+                logs[k - 1] += begin[j]
+        a = attention_lm.FROM_WORDS
+        mixed = [np.logaddexp(math.log(a * count[w] / n) if count[w] else -np.inf, x + math.log(1 - a)) for w, x in zip([*words_of(t), None], logs, strict=True)]
+        total, at, mine = 0.0, 0, Counter(phrases_of(t)) if i in learnt else Counter()
+        for p in phrases_of(t):
+            x = sum(mixed[at : at + len(p)]) + math.log(1 - attention_lm.FROM_PHRASES)
+            others = said[p] - mine[p]
+            total += np.logaddexp(x, math.log(attention_lm.FROM_PHRASES * others / sum(said.values()))) if others else x
+            at += len(p)
+        assert math.isclose(found[i], total / math.log(10), rel_tol=1e-5), i
 
 
 def test_quality(spark):
