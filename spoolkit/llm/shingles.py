@@ -54,6 +54,50 @@ def word_hashes(text: str) -> np.ndarray:
     return hashed_words(text.encode(errors="surrogatepass"))[0]
 
 
+class Spelling:
+    """The bytes of each of a list of tokens, laid out for finding the words of texts given as tokens.
+
+    ``sums``: a token's part of the polynomial sum; ``lead``: leading white bytes;
+    ``white``: no other bytes; ``odd``: a white byte after another.
+    """
+
+    def __init__(self, tokens: list[bytes]):
+        low = [t.translate(_LOWER) for t in tokens]
+        self.length = np.array([len(t) for t in low], np.int64)
+        self.lead = np.array([len(t) - len(t.lstrip(b" \t\n\v\f\r")) for t in low], np.int64)
+        self.white = self.lead == self.length
+        flat = np.frombuffer(b"".join(low), np.uint8)
+        token = np.repeat(np.arange(len(low)), self.length)
+        at = np.arange(len(flat)) - (np.cumsum(self.length) - self.length)[token]
+        power, _ = _power_tables(int(self.length.max(initial=0)))
+        value = np.where(_SPACE[flat], _U(0), _BYTE[flat] * power[at])
+        self.sums = np.zeros(len(low), np.uint64)
+        np.add.at(self.sums, token, value)
+        self.odd = np.zeros(len(low), bool)
+        self.odd[token[_SPACE[flat] & (at >= self.lead[token])]] = True
+
+    def words(self, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit of each token, hash of each unit) of texts, the first token of each in ``begins``; no token is odd.
+
+        A unit is a word with the white space before it, or white space at a
+        text's end.
+        """
+        white = self.white[tokens]
+        new = np.zeros(len(tokens), bool)
+        new[1:] = (self.lead[tokens[1:]] > 0) & ~white[:-1]
+        new[begins] = True
+        first = np.flatnonzero(new)
+        size = self.length[tokens]
+        at = np.append(0, np.cumsum(size))
+        power, inverse = _power_tables(int(at[-1]))
+        total = np.add.reduceat(self.sums[tokens] * power[at[:-1]], first)
+        inner = first + np.add.reduceat(white, first, dtype=np.int64)  # the token that a unit's word begins in
+        end = at[np.append(first[1:], len(tokens))]
+        inner = np.minimum(inner, len(tokens) - 1)
+        start = np.minimum(at[inner] + self.lead[tokens[inner]], end)
+        return np.cumsum(new) - 1, mix(total * inverse[start] + (end - start).astype(np.uint64))
+
+
 def sequence_hashes(elements: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The hash of each run ``elements[first:end]``, order and all, wherever it stands."""
     power, inverse = _power_tables(len(elements))

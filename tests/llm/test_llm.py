@@ -244,7 +244,7 @@ def tiny_lm(steps=60):
     """(classes, fitted model, closed texts): texts that repeat seven of twenty subwords; every fifth begins a word."""
     rng = np.random.default_rng(0)
     texts = [attention_lm.closed(np.tile(rng.permutation(20)[:7], 12), 299) for _ in range(60)]
-    classes = attention_lm.Classes.build(np.bincount(np.concatenate(texts), minlength=300), np.arange(300) % 5 == 0, np.ones(300, np.int64), 299)
+    classes = attention_lm.Classes.build(np.bincount(np.concatenate(texts), minlength=300), np.arange(300) % 5 == 0, 299)
     model = attention_lm.fit(texts, classes, steps)
     model.ready()
     return classes, model, texts
@@ -325,7 +325,7 @@ def test_lm_score_by_hand(spark):
     rng = random.Random(3)
     vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(60)] + ["über", "x=1;", "don't"]
     texts = [" ".join(rng.choices(vocab, k=rng.choice([2, 30, 200]))) for _ in range(30)]
-    texts += [texts[1], texts[2], texts[1] + "\n\n " + texts[2], None, "", "  lead  and trail \n", " ".join(texts) * 3]
+    texts += [texts[1], texts[2], texts[1] + "\n\n " + texts[2], None, "", "  lead  and trail \n", "a\u00a0 \u3000\n b\u2003\u2003 c", " ".join(texts) * 3]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     made = {}
     fitted = attention_lm.fit_all
