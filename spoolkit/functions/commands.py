@@ -68,9 +68,9 @@ def cmd_head(tool: Column, command: Column, path: Column) -> Column:
     return F.coalesce(F.when(name == "bash", F.coalesce(bash_head(command), F.lit(""))).when(name.isin("edit", "write", "read"), basename(path)).otherwise(name), F.lit(""))
 
 
-def error_signature(tool: Column, head: Column, text: Column) -> Column:
-    """tool:class:head:salient."""
-    found = classify_error(F.coalesce(text, F.lit("")))
+def error_signature(tool: Column, head: Column, text: Column | None = None, found: Column | None = None) -> Column:
+    """tool:class:head:salient, from the text or from its class as already ``found``."""
+    found = classify_error(F.coalesce(text, F.lit(""))) if found is None else found
     return F.concat_ws(":", F.coalesce(F.lower(tool), F.lit("")), found["error_class"], head, found["salient"])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,16 +73,49 @@ def rewritten(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def literal_of(pattern: str) -> str:
+    """The longest run of plain characters, in lower case, that every match of ``pattern`` holds outside groups and classes."""
+    found, run, depth = [""], "", 0
+    for piece in re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|\(\?[a-z]+\)|\(\?[:=!]|[(){}]|[^\\\[(){}]", pattern):
+        plain = piece if len(piece) == 1 and piece not in "(){}.^$|*+?" else piece[1] if len(piece) == 2 and piece[0] == "\\" and not piece[1].isalnum() else ""
+        if piece.startswith("(") and not re.fullmatch(r"\(\?[a-z]+\)", piece) or piece == "{":
+            depth += 1
+        if piece in ("*", "?"):
+            run = run[:-1]
+        if depth == 0 and plain:
+            run += plain.lower()
+        else:
+            found.append(run)
+            run = ""
+        if piece in (")", "}"):
+            depth -= 1
+    return max([*found, run], key=len)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def classify_error(text: Column) -> Column:
-    """struct(error_class, salient): the first rule that matches; null text is ``other``."""
-    out = None
-    for name, patterns in ERROR_RULES:
-        for p in patterns:
-            group = "(" in p.replace("(?", "").replace(r"\(", "")
-            salient = F.lower(F.regexp_extract(text, p, 1)) if group else F.lit("")
-            value = F.struct(F.lit(name).alias("error_class"), salient.alias("salient"))
-            out = F.when(text.rlike(p), value) if out is None else out.when(text.rlike(p), value)
-    return out.otherwise(F.struct(F.lit("other").alias("error_class"), F.lit("").alias("salient")))
+    """struct(error_class, salient): the first rule that matches; null text is ``other``.
+
+    A pattern is tried only on texts that hold its literal part in some case.
+    """
+
+    def first(x: Column) -> Column:
+        body, low = x["body"], x["low"]
+        out = None
+        for name, patterns in ERROR_RULES:
+            for p in patterns:
+                group = "(" in p.replace("(?", "").replace(r"\(", "")
+                salient = F.lower(F.regexp_extract(body, p, 1)) if group else F.lit("")
+                value = F.struct(F.lit(name).alias("error_class"), salient.alias("salient"))
+                hit = F.contains(low, F.lit(literal_of(p))) & body.rlike(p)
+                out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out.otherwise(F.struct(F.lit("other").alias("error_class"), F.lit("").alias("salient")))
+
+    return bound(F.struct(text.alias("body"), F.lower(text).alias("low")), first)
 
 
 def is_agent_fault(error_class: Column) -> Column:

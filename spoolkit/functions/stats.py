@@ -135,7 +135,7 @@ def random_draw(index: Column, seed: int = 42) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
 
 
-def bootstrap_mean(deltas: DataFrame, value: str = "delta", order: str = "task", iters: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_mean(deltas: DataFrame, value: str = "delta", order: str = "task", iters: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """``n, point, lo, hi`` of the mean of paired differences.
 
     Draw ``i * n + j`` picks the j-th value of resample i, so all resamples run

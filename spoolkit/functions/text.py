@@ -12,15 +12,32 @@ from spoolkit.functions.errors import normalize_error_text, rewritten
 MARKER = " …[truncated]… "
 CAP = 2048
 
-# What is cut out of texts that are shown, in order.
-REDACTIONS = (
-    (r"/Users/[^/\s]+", "~"),
-    (r"(?:/[\w.@%+,:=~-]+){2,}", "<PATH>"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>"),
-    (r"\b(?:sk|pk|ghp|gho|ghs|xox[abp])[-_][A-Za-z0-9_-]{8,}", "<TOKEN>"),
-    (r"(?i)\b(api[_-]?key|token|secret|password)(\s*[=:]\s*)[^\s,;]+", "$1$2<REDACTED>"),
-    (r"(?i)\b[0-9a-f]{16,}\b", "<HASH>"),
-    (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])", "<BLOB>"),
+# What is cut out of texts that are shown, in order: in reports and briefs, in exemplars of the long tail, and in captured calls.
+_HOME = (r"(?i)\$HOME\b", "<HOME>")
+_EMAIL = (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "<EMAIL>")
+_HEX = (r"\b(?=[A-Fa-f0-9]{32,}\b)(?=[A-Fa-f0-9]*[A-Fa-f])(?=[A-Fa-f0-9]*\d)[A-Fa-f0-9]+\b", "<SECRET>")
+_BASE64 = (r"\b(?=[A-Za-z0-9+/]{40,}={0,2}\b)(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*\d)[A-Za-z0-9+/]+={0,2}\b", "<SECRET>")
+REPORT_REDACTIONS = (
+    _HOME,
+    _EMAIL,
+    (r"\b(?:sk-[A-Za-z0-9_-]{8,}|hf_[A-Za-z0-9_-]{8,})\b", "<SECRET>"),
+    _HEX,
+    _BASE64,
+    (r"""(?:^|(?<=\s|["'=(]))/(?:[^\s"'`,;:)]+/?)+""", "<PATH>"),
+)
+EXEMPLAR_REDACTIONS = (
+    _HOME,
+    (r"""~/(?:[^\s"'`,;:)]+/?)+""", "<PATH>"),
+    _EMAIL,
+    (r"\b(?:(?:sk|rk|pk)-[A-Za-z0-9_-]{8,}|hf_[A-Za-z0-9_-]{8,})\b", "<SECRET>"),
+    (r"(?i)\b(api[_-]?key|token|secret|password)\s*[:=]\s*[^\s,;]+", "$1=<SECRET>"),
+    _HEX,
+    _BASE64,
+)
+CAPTURE_REDACTIONS = (
+    (r"\b(?:sk|rk|pk)-[A-Za-z0-9_-]{8,}\b", "<SECRET>"),
+    (r"(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*[^\s,;]+", r"\$1=<SECRET>"),
+    (r"(?:/[A-Za-z0-9_.@%+,:=~-]+)+", "<PATH>"),
 )
 
 
@@ -41,18 +58,18 @@ def shorten(text: Column, size: int = 240) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size - 1), F.lit("…")))
 
 
-def redact(text: Column) -> Column:
-    return rewritten(F.coalesce(text, F.lit("")), REDACTIONS)
+def redact(text: Column, rules: tuple[tuple[str, str], ...] = REPORT_REDACTIONS) -> Column:
+    return rewritten(F.coalesce(text, F.lit("")), rules)
 
 
 def redact_exemplar(text: Column) -> Column:
-    """Normal form and redaction, 240 characters."""
-    return F.substring(normalize_error_text(redact(text)), 1, 240)
+    """Redaction of the normal form, 240 characters."""
+    return F.substring(redact(normalize_error_text(text), EXEMPLAR_REDACTIONS), 1, 240)
 
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case words of three or more letters or digits, placeholders left out."""
-    bare = F.lower(F.regexp_replace(normalize_error_text(text), "<[A-Z]+>", " "))
+    bare = F.lower(F.regexp_replace(normalize_error_text(text), "(?i)<[A-Z][A-Z0-9_]*>", " "))
     return F.array_distinct(F.filter(F.split(bare, "[^a-z0-9]+"), lambda x: F.length(x) >= 3))
 
 

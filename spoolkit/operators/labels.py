@@ -113,13 +113,16 @@ def link_pull_requests(episodes: DataFrame, prs: DataFrame, haystack: str = "hay
     text first, so both are equi-joins.  Two matches are ambiguous.
     """
     pr = prs.withColumn("issue", issue_number(F.col("headRefName"), F.col("number"))).withColumn("short", F.lower(F.element_at(F.split(F.regexp_replace("repo", "/+$", ""), "/"), -1)))
-    packed = F.struct("repo", "number", "merged", "closedUnmerged").alias("pr")
-    by_branch = episodes.where("git_branch <> ''").select("id", F.col("git_branch").alias("headRefName")).join(pr.select("headRefName", packed), "headRefName").groupBy("id").agg(F.array_sort(F.collect_list("pr")).alias("branch_prs"))
+    packed = F.struct("repo", "number", "merged", "closedUnmerged")
+    # pull requests are gathered by key before they meet episodes, so an episode meets one row however common its branch
+    of_branch = pr.where("headRefName <> ''").groupBy("headRefName").agg(F.array_sort(F.collect_list(packed)).alias("branch_prs"))
+    of_issue = pr.groupBy("short", "issue").agg(F.array_sort(F.collect_set(packed)).alias("prs"))
     refs = F.regexp_extract_all(F.lower(haystack), F.lit(r"(?:issue[-_/]?|#)(\d+)(?!\d)"), F.lit(1))
     tail = lambda c: F.lower(F.element_at(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\\/]+$", ""), r"[\\/]"), -1))
     named = episodes.select("id", F.explode(F.array_distinct(F.array(tail(F.col("project")), tail(F.col("cwd"))))).alias("short"), F.array_distinct(refs).alias("refs"))
-    by_issue = named.select("id", "short", F.explode("refs").alias("issue")).select("id", "short", F.col("issue").cast("long").alias("issue")).join(pr.select("short", "issue", packed), ["short", "issue"]).groupBy("id").agg(F.array_sort(F.collect_set("pr")).alias("issue_prs"))
-    both = episodes.select("id").join(by_branch, "id", "left").join(by_issue, "id", "left")
+    asked = named.select("id", "short", F.explode("refs").alias("issue")).select("id", "short", F.col("issue").try_cast("long").alias("issue")).where("issue is not null")
+    by_issue = asked.join(of_issue, ["short", "issue"]).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("prs")))).alias("issue_prs"))
+    both = episodes.select("id", F.nullif("git_branch", F.lit("")).alias("headRefName")).join(of_branch, "headRefName", "left").join(by_issue, "id", "left")
     rule = F.when(F.col("branch_prs").isNotNull(), "branch").when(F.col("issue_prs").isNotNull(), "issue_repo")
     found = both.withColumn("rule", rule).withColumn("prs", F.coalesce("branch_prs", "issue_prs"))
     one = F.when(F.size("prs") == 1, F.element_at("prs", 1))
@@ -131,6 +134,13 @@ def link_pull_requests(episodes: DataFrame, prs: DataFrame, haystack: str = "hay
     )
 
 
+def with_gold(episodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``episodes`` whose linked ones (``link_pull_requests``) have the pull request's outcome: gold, confidence 1."""
+    gold = links.where("label is not null").select("id", F.col("label").alias("gold_label"))
+    found = F.when(F.col("gold_label").isNotNull(), F.struct(F.col("gold_label").alias("label"), F.lit("gold").alias("tier"), F.lit(1.0).alias("confidence"), F.lit("merge").alias("method")))
+    return episodes.join(gold, "id", "left").withColumn("outcome", F.coalesce(found, "outcome")).drop("gold_label")
+
+
 def link_counts(links: DataFrame) -> DataFrame:
     return links.agg(F.count_if(F.col("label").isNotNull()).alias("linked"), F.count_if(F.col("label") == "pass").alias("gold_pass"), F.count_if(F.col("label") == "fail").alias("gold_fail"), F.count_if(F.col("label").isNull()).alias("unlinked"))
 
@@ -160,12 +170,26 @@ def captured_cwd(cwd: Column) -> Column:
 
 
 def promotions(episodes: DataFrame, captures: DataFrame) -> DataFrame:
-    """``id, i, exit_code, distance``: the live captures that settle a step's exit code; gold episodes are left out."""
-    from spoolkit.functions.commands import cmd_head
-
+    """``id, i, exit_code, good, captured, distance``: the live captures that settle a step's exit code; gold episodes are left out."""
     micros = lambda c: F.unix_micros(F.try_to_timestamp(c))
     step = episodes.where("outcome.tier <> 'gold'").select("id", "session_id", "started", F.col("cwd").alias("ep_cwd"), F.explode("steps").alias("s"))
-    left = step.select("id", F.struct("id", "s.i").alias("step_id"), "session_id", captured_cwd(F.col("ep_cwd")).alias("cwd"), F.col("s.head").alias("head"), F.lower("s.tool").alias("tool"), F.coalesce(micros("s.ts"), micros("started")).alias("at")).where("head <> '' and at is not null")
-    right = captures.where("exit_code is not null and cmd_head <> ''").select(F.sha2(F.to_json(F.struct(*captures.columns)), 256).alias("row_id"), "session_id", captured_cwd(F.col("cwd")).alias("cwd"), F.col("cmd_head").alias("head"), F.lower("tool").alias("tool"), micros("ts").alias("at"), "exit_code")
+    left = step.select("id", F.struct("id", "s.i").alias("step_id"), "session_id", captured_cwd(F.coalesce("s.cwd", "ep_cwd") if "cwd" in _fields(episodes, "steps") else F.col("ep_cwd")).alias("cwd"), F.col("s.head").alias("head"), F.lower("s.tool").alias("tool"), F.coalesce(micros("s.ts"), micros("started")).alias("at")).where("head <> '' and at is not null")
+    right = captures.where("exit_code is not null and cmd_head <> ''").select(F.sha2(F.to_json(F.struct(*captures.columns)), 256).alias("row_id"), "session_id", captured_cwd(F.col("cwd")).alias("cwd"), F.col("cmd_head").alias("head"), F.lower("tool").alias("tool"), micros("ts").alias("at"), "exit_code", (F.coalesce("ok", F.col("exit_code") == 0) & (F.col("exit_code") == 0)).alias("good"))
     found = mutual_nearest(left, right, ["session_id", "cwd", "head", "tool"], scope=("id",))
-    return found.join(right.select("row_id", "exit_code"), "row_id").select("id", "step_id.i", "exit_code", "distance")
+    return found.join(right.select("row_id", "exit_code", "good", F.col("at").alias("captured")).dropDuplicates(["row_id"]), "row_id").select("id", "step_id.i", "exit_code", "good", "captured", "distance")
+
+
+def _fields(rows: DataFrame, name: str) -> list[str]:
+    """The fields of an array of structs."""
+    return rows.schema[name].dataType.elementType.fieldNames()
+
+
+def promoted(episodes: DataFrame, captures: DataFrame) -> DataFrame:
+    """``episodes`` whose matched steps have the captured exit code and ``ok``, and whose outcome is that of the latest capture: strong, confidence 0.95."""
+    steps = promotions(episodes, captures).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("exit_code", "good")))).alias("live"), F.max(F.struct("captured", "i", "good"))["good"].alias("live_good"))
+    names = _fields(episodes, "steps")
+    live = lambda s: F.try_element_at("live", s["i"])
+    fixed = lambda s: F.struct(*(F.coalesce(live(s)["exit_code"] if n == "exit_code" else live(s)["good"], s[n]).alias(n) if n in ("exit_code", "ok") else s[n].alias(n) for n in names))
+    label = F.when(F.col("live_good"), outcome("pass", "strong", 0.95, "live_capture")).when(F.col("live_good") == F.lit(False), outcome("fail", "strong", 0.95, "live_capture"))
+    matched = F.col("live").isNotNull()
+    return episodes.join(steps, "id", "left").withColumn("steps", F.when(matched, F.transform("steps", fixed)).otherwise(F.col("steps"))).withColumn("outcome", F.coalesce(label, "outcome")).drop("live", "live_good")

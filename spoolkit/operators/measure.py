@@ -35,18 +35,59 @@ def plan_trials(suite: DataFrame, repeats: int = 12) -> DataFrame:
 def budgeted(plan: DataFrame, order: list[str], cost: str, most: int, budget: float) -> DataFrame:
     """The first cells that stay within a count and a budget; nothing after the first that doesn't fit.
 
-    A plan is one experiment's list, so one window over all of it is bounded by
-    the experiment.
+    Only the first ``most`` cells can be among them, so those are taken first and
+    the window runs over no more.
     """
     w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    fits = (F.row_number().over(W.orderBy(*order)) <= most) & (F.sum(cost).over(w) <= budget)
-    return plan.withColumn("spent", F.sum(cost).over(w)).withColumn("fits", F.min(fits.cast("int")).over(w) == 1).where("fits").drop("fits")
+    fits = F.sum(cost).over(w) <= budget
+    return plan.orderBy(*order).limit(most).withColumn("spent", F.sum(cost).over(w)).withColumn("fits", F.min(fits.cast("int")).over(w) == 1).where("fits").drop("fits")
+
+
+def transcript(results: DataFrame) -> Column:
+    """What a trial wrote: its recorded texts, joined by line breaks."""
+    there = [F.col(c) for c in ("output", "stdout", "stderr", "transcript") if c in results.columns]
+    return F.concat_ws("\n", *there)
 
 
 def scored(results: DataFrame, exclude_incomplete: bool = False) -> DataFrame:
-    """``passed``: completed, and the output lacks the expected signature."""
-    rows = results.where("completed") if exclude_incomplete else results
-    return rows.withColumn("passed", (F.coalesce(F.col("completed"), F.lit(False)) & ~F.coalesce(F.contains("output", "expected_signature"), F.lit(False))).cast("int"))
+    """``passed``: completed, and what it wrote lacks the expected signature, if there is one.
+
+    Where ``completed`` is null, a trial counts as complete unless it timed out
+    or couldn't start (``timed_out``, ``spawn_error``, where recorded).
+    """
+    broken = [F.coalesce(F.col(c), F.lit(False)) for c in ("timed_out", "spawn_error") if c in results.columns]
+    complete = F.coalesce(F.col("completed"), ~(broken[0] | broken[-1]) if broken else F.lit(True))
+    rows = results.where(complete) if exclude_incomplete else results
+    expected = F.coalesce(F.col("expected_signature"), F.lit(""))
+    return rows.withColumn("passed", (complete & ((expected == "") | ~F.contains(transcript(results), expected))).cast("int"))
+
+
+def arm_passes(rows: DataFrame) -> DataFrame:
+    """``arm, passes, n`` of scored trials."""
+    return rows.groupBy("arm").agg(F.sum("passed").alias("passes"), F.count("*").alias("n"))
+
+
+def positional_pairs(rates: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """``task, before, after, delta``: two arrays of rates paired by place, as far as the shorter reaches; values are held to 0 and 1 and non-finite ones left out first."""
+    held = lambda c: F.transform(F.filter(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
+    both = rates.select(held(F.col(before)).alias("b"), held(F.col(after)).alias("a"))
+    n = F.least(F.size("b"), F.size("a"))
+    return both.select(F.posexplode(F.arrays_zip(F.slice("b", F.lit(1), n).alias("b"), F.slice("a", F.lit(1), n).alias("a"))).alias("task", "x")).select("task", F.col("x.b").alias("before"), F.col("x.a").alias("after"), (F.col("x.a") - F.col("x.b")).alias("delta"))
+
+
+def aa_plan(tasks: DataFrame, n: int) -> DataFrame:
+    """``task_id, run, repeat``: two control runs of each task, at most twenty times each."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(min(n, 20) - 1))).alias("repeat")
+    return tasks.select("task_id", cells).withColumn("run", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
+def aa_band(results: DataFrame) -> DataFrame:
+    """``task_id, n, band95`` of recorded control runs (task_id, run, repeat, completed, reproduced): the 95th percentile by nearest rank of differences between runs, 0 without any."""
+    done = results.where("completed")
+    side = lambda r: done.where(F.col("run") == r).select("task_id", "repeat", (~F.col("reproduced")).cast("int").alias(r))
+    delta = side("a").join(side("b"), ["task_id", "repeat"]).select("task_id", F.abs(F.col("b") - F.col("a")).cast("double").alias("delta"))
+    found = delta.groupBy("task_id").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.95) within group (order by delta)").alias("band95"))
+    return results.select("task_id").distinct().join(found, "task_id", "left").select("task_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("band95", F.lit(0.0)).alias("band95"))
 
 
 def arm_means(rows: DataFrame, task: str = "trial_id", arm: str = "arm", passed: str = "passed") -> DataFrame:
@@ -57,15 +98,54 @@ def arm_means(rows: DataFrame, task: str = "trial_id", arm: str = "arm", passed:
 
 
 def hard_regressions(pairs: DataFrame) -> DataFrame:
-    """``regressions, fixes``: tasks that always passed and now never do so fully, and the other way round."""
-    return pairs.agg(F.count_if((F.col("before") >= 1) & (F.col("after") < 1)).alias("regressions"), F.count_if((F.col("before") < 1) & (F.col("after") >= 1)).alias("fixes"))
+    """``regressions, fixes``: tasks that always passed and don't now, and tasks that never passed and do now, at times at least."""
+    return pairs.agg(F.count_if((F.col("before") == 1) & (F.col("after") < 1)).alias("regressions"), F.count_if((F.col("before") == 0) & (F.col("after") > 0)).alias("fixes"))
 
 
 def judge(pairs: DataFrame, band: float = float("inf"), mde: float = 0.05, iters: int = 10_000, seed: int = 42) -> DataFrame:
-    """``verdict, n, delta, lo, hi, regressions, fixes`` of paired tasks."""
+    """``verdict, n, delta, lo, hi, regressions, fixes, powered`` of paired tasks."""
     ci = stats.bootstrap_mean(pairs, "delta", "task", iters, 0.05, seed)
-    both = ci.crossJoin(hard_regressions(pairs))
-    return both.select(stats.verdict(F.col("regressions"), F.col("n"), F.col("lo"), F.col("hi"), F.lit(band), mde).alias("verdict"), "n", F.col("point").alias("delta"), "lo", "hi", "regressions", "fixes")
+    both = ci.crossJoin(hard_regressions(pairs))  # one row each
+    found = stats.verdict(F.col("regressions"), F.col("n"), F.col("lo"), F.col("hi"), F.lit(band), mde)
+    return both.select(found.alias("verdict"), "n", F.col("point").alias("delta"), "lo", "hi", "regressions", "fixes", (F.col("n") >= stats.POWER_FLOOR).alias("powered"))
+
+
+def judge_split(pairs: DataFrame, **design) -> DataFrame:
+    """``judge`` of the held-out tasks; ``overfit`` where only the others (``split`` = dev) are helped."""
+    dev = judge(pairs.where("split = 'dev'"), **design).select(F.col("verdict").alias("dev_verdict"))
+    held = judge(pairs.where("split = 'heldout'"), **design)
+    over = (F.coalesce(F.col("dev_verdict"), F.lit("")) == "helped") & (F.col("verdict") != "helped")
+    return held.crossJoin(dev).withColumn("verdict", F.when(over, "overfit").otherwise(F.col("verdict"))).drop("dev_verdict")  # one row each
+
+
+def score_trials(results: DataFrame, **design) -> DataFrame:
+    """The verdict on recorded trials; inconclusive without the power to tell."""
+    found = judge(arm_means(scored(results)), **design)
+    return found.withColumn("verdict", F.when(F.col("powered"), F.col("verdict")).otherwise("inconclusive"))
+
+
+def benchmark_totals(results: DataFrame) -> DataFrame:
+    """``tasks_total, tasks_helped, gold_episodes, sandboxes, elapsed_s`` of measured tasks (task_id, verdict, n, sandboxes, elapsed_s); each arm of n trials gives n gold episodes."""
+    return results.agg(F.count("*").alias("tasks_total"), F.count_if(F.col("verdict") == "helped").alias("tasks_helped"), F.coalesce(F.sum(F.col("n") * 2), F.lit(0)).alias("gold_episodes"), F.coalesce(F.sum("sandboxes"), F.lit(0)).alias("sandboxes"), F.round(F.coalesce(F.sum("elapsed_s"), F.lit(0.0)), 1).alias("elapsed_s"))
+
+
+def tasks_of(tasks: DataFrame, split: str | None = None, task_id: str | None = None) -> DataFrame:
+    """The registry's tasks of a split (train or holdout), or one by its id."""
+    found = tasks if split is None else tasks.where(F.col("split") == split)
+    return found if task_id is None else found.where(F.col("task_id") == task_id)
+
+
+def scaling_summary(sweep: DataFrame, replications: DataFrame) -> DataFrame:
+    """``climbs, best_k, best_final, mean_final``: whether every run (K, baseline, final) ended above its baseline, the sweep's best, and the replications' mean."""
+    every = sweep.select("baseline", "final").unionByName(replications.select("baseline", "final")).agg(F.coalesce(F.bool_and(F.col("final") > F.col("baseline")), F.lit(True)).alias("climbs"))
+    best = sweep.agg(F.max(F.struct("final", (-F.col("K")).alias("k"))).alias("x")).select((-F.col("x.k")).alias("best_k"), F.col("x.final").alias("best_final"))
+    mean = replications.agg(F.coalesce(F.avg("final"), F.lit(0.0)).alias("mean_final"))
+    return every.crossJoin(best).crossJoin(mean)  # one row each
+
+
+def without_timeouts(witnesses: DataFrame, include: bool = False) -> DataFrame:
+    """Witnesses to replay: those of timeouts (``mode`` or ``error_class``) are left out unless asked for."""
+    return witnesses if include else witnesses.where((F.coalesce("mode", F.lit("")) != "timeout") & (F.coalesce("error_class", F.lit("")) != "timeout"))
 
 
 def calibrate(runs: DataFrame, iters: int = 10_000) -> DataFrame:
@@ -147,10 +227,19 @@ def gold_episodes(results: DataFrame) -> DataFrame:
     return results.select("trial_id", "arm", "repeat", F.when(~F.coalesce(F.col("completed"), F.lit(False)), "unknown").when(F.col("passed") == 1, "pass").otherwise("fail").alias("label"), F.when(F.coalesce(F.col("completed"), F.lit(False)), "gold").otherwise("unknown").alias("tier"))
 
 
+#: Fixed value: what an agent's error says when it is throttled.
+RATE_LIMITED = r"(?i)rate.?limit|quota|429|usage limit|overloaded|too many|capacity|try again"
+
+
 def graded(attempts: DataFrame) -> DataFrame:
-    """``passed``: exit code 0 and the marker in the output; rate-limited attempts are ``excluded``; 800 characters of the output are shown."""
-    tested = attempts.withColumn("passed", (F.col("exit_code") == 0) & F.contains("output", "marker")).withColumn("excluded", F.col("output").rlike("(?i)rate.?limit|429|quota"))
-    return tested.withColumn("output", F.substring("output", 1, 800))
+    """``passed``: exit code 0 and the marker in the whole output, of which 800 characters are shown.
+
+    An attempt whose agent gave no answer (``error``, where recorded) is
+    ``excluded``, not failed; ``retry`` tells whether it was throttled.
+    """
+    error = F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
+    tested = attempts.withColumn("passed", error.isNull() & F.coalesce((F.col("exit_code") == 0) & F.contains("output", "marker"), F.lit(False))).withColumn("excluded", error.isNotNull())
+    return tested.withColumn("retry", F.coalesce(error.rlike(RATE_LIMITED), F.lit(False))).withColumn("output", F.substring("output", 1, 800))
 
 
 def fenced_code(answer: Column) -> Column:

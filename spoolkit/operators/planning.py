@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os.path
+import posixpath
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolkit.functions.text import slug
+from spoolkit.functions.text import REPORT_REDACTIONS, slug
 from spoolkit.operators.clusters import is_proposable, is_reviewable
 
 LINE_BUDGET = 20
@@ -25,7 +27,14 @@ SCAFFOLDING = ("permission", "timeout", "network", "harness_precondition")
 NO_ROUTE = ("user_rejected", "tool_unavailable", "stale_reference", "weights")
 #: Files that no patch may touch.
 PROTECTED = r"(?:^|/)(?:\.env|[^/]*\.key|id_[^/]*|settings\.json|package\.json|credentials[^/]*)\z|/\.ssh/|/\.git/"
-_FORBIDDEN = {"checks", "eval", "eval_contract", "evalContract", "criterion", "success", "verdict"}
+#: Fixed value: keys by which an answer would judge itself.
+CRITERION = re.compile(r"(^|_)(?:eval(?:_contract)?|command|test|check)(_|$)", re.IGNORECASE)
+
+
+def within_budget(spent: Column, lines: Column) -> Column:
+    """Whether ``lines`` more still fit the budget of lines; false for null, negative and non-finite numbers."""
+    good = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (c >= 0)
+    return F.coalesce(good(spent) & good(lines) & (spent + lines <= LINE_BUDGET), F.lit(False))
 
 
 def route(error_class: Column, tool: Column) -> Column:
@@ -42,10 +51,14 @@ def route(error_class: Column, tool: Column) -> Column:
     )
 
 
-def eval_contract(witnesses: Column, size: Column) -> Column:
-    """struct(strategy, strength, requires): the strongest evidence that there is."""
+def eval_contract(witnesses: Column, size: Column, replayable: bool = False) -> Column:
+    """struct(strategy, strength, requires): the strongest evidence that there is.
+
+    A cluster's witnesses are all replayable; of others, with the flag in a field
+    ``replayable``, only those that are count.
+    """
     pack = lambda s, t, r: F.struct(F.lit(s).alias("strategy"), F.lit(t).alias("strength"), F.lit(r).alias("requires"))
-    usable = F.exists(witnesses, lambda w: F.length(w["cmd"]) > 0)
+    usable = F.exists(witnesses, lambda w: (F.length(w["cmd"]) > 0) & (w["replayable"] if replayable else F.lit(True)))
     return F.when(usable, pack("witness_replay", "causal", "auto")).when(size > 0, pack("recurrence_probe", "behavioral", "human-gate")).otherwise(pack("regression_only", "regression_only", "human-gate"))
 
 
@@ -106,8 +119,8 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def chained(decisions: list[dict], entries: int = 0, last: str = "") -> list[dict]:
-    """Ledger rows, each with its number and the hash of the row before.  (Driver-side: a chain has no parallel form.)"""
+def chained(decisions: list[dict], entries: int = 0, last: str | None = None) -> list[dict]:
+    """Ledger rows, each with its number and the hash of the row before, null in the first.  (Driver-side: a chain has no parallel form.)"""
     out = []
     for d in decisions:
         row = d | {"seq": entries, "prev": last}
@@ -117,37 +130,115 @@ def chained(decisions: list[dict], entries: int = 0, last: str = "") -> list[dic
     return out
 
 
-def parse_proposal(answer: str, current: str, budget: int = LINE_BUDGET) -> tuple[dict | None, list[str]]:
-    """(proposal, errors): one fenced JSON object that doesn't judge itself, with an anchor that occurs once."""
-    found = re.findall(r"```(?:json)?\s*\n([\s\S]*?)```", answer or "")
-    if len(found) != 1:
-        return None, ["expected one fenced JSON object"]
+def lines_changed(before: str, after: str) -> int:
+    """Lines left on both sides once a common beginning and end are taken off."""
+    a, b = before.split("\n"), after.split("\n")
+    head = len(os.path.commonprefix([a, b]))
+    tail = len(os.path.commonprefix([a[head:][::-1], b[head:][::-1]]))
+    return len(a) + len(b) - 2 * (head + tail)
+
+
+def _keys(value: object) -> set[str]:
+    """All keys of a JSON value, at any depth."""
+    inner = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
+    return (set(value) if isinstance(value, dict) else set()).union(*map(_keys, inner))
+
+
+def parse_proposal(answer: str | None, brief: dict) -> tuple[dict | None, list[tuple[str, str]]]:
+    """(proposal, errors as (path, code)): an answer that is one fenced JSON object and nothing else, and fits its brief.
+
+    ``brief``: layer, target, target_text, max_lines, creates_file.  The edit's
+    anchor must occur once in the target, be empty for a new file, and differ
+    from what replaces it; changed lines keep to the budget; no key may judge
+    the proposal.
+    """
+    if not isinstance(answer, str):
+        return None, [("", "format")]
+    blocks = list(re.finditer(r"```json\s*\n([\s\S]*?)\n```", answer, re.IGNORECASE))
+    if len(blocks) != 1 or (answer[: blocks[0].start()] + answer[blocks[0].end() :]).strip():
+        return None, [("", "format")]
     try:
-        p = json.loads(found[0])
+        p = json.loads(blocks[0][1])
     except ValueError:
-        return None, ["not JSON"]
+        return None, [("", "invalid_json")]
     if not isinstance(p, dict):
-        return None, ["not an object"]
-
-    def keys(v: object) -> set[str]:
-        if isinstance(v, dict):
-            return set(v) | {k for x in v.values() for k in keys(x)}
-        return {k for x in v for k in keys(x)} if isinstance(v, list) else set()
-
-    errors = [f"forbidden key {k}" for k in sorted(keys(p) & _FORBIDDEN)]
-    errors += [f"missing {k}" for k in ("summary", "layer", "target", "edit", "rationale", "expectedEffect") if not p.get(k)]
-    edit = p.get("edit") if isinstance(p.get("edit"), dict) else {}
+        return None, [("", "type")]
+    full = lambda v: isinstance(v, str) and v != ""
+    found = [(k, "required") for k in ("summary", "layer", "target", "rationale", "expectedEffect") if not full(p.get(k))]
+    edit, new_file = p.get("edit"), bool(brief.get("creates_file"))
+    if not isinstance(edit, dict):
+        found.append(("edit", "required"))
+        edit = {}
     before, after = edit.get("before"), edit.get("after")
-    if not isinstance(before, str) or not isinstance(after, str):
-        errors.append("edit needs before and after")
+    if not isinstance(before, str) or (before == "" and not new_file):
+        found.append(("edit.before", "required"))
+    if not full(after):
+        found.append(("edit.after", "required"))
+    if new_file and before != "":
+        found.append(("edit.before", "new_file_anchor"))
+    if any(CRITERION.search(k) for k in _keys(p)):
+        found.append(("", "criterion_supplied"))
+    found += [(k, "mismatch") for k in ("layer", "target") if p.get(k) != brief.get(k)]
+    if full(before) and (n := (brief.get("target_text") or "").count(before)) != 1:
+        found.append(("edit.before", "anchor_ambiguous" if n else "anchor_not_found"))
+    if isinstance(before, str) and isinstance(after, str):
+        if before == after:
+            found.append(("edit.after", "unchanged"))
+        if brief.get("max_lines") is not None and lines_changed(before, after) > brief["max_lines"]:
+            found.append(("edit", "line_budget_exceeded"))
+    return (None if found else p), found
+
+
+def resolve_target(surface: str, dominant_cwd: str | None, home: str = "", base: str = "/") -> str:
+    """Where a surface lies: below the cluster's usual folder, or else below the home folder (its notes in ``.claude``)."""
+    if dominant_cwd:
+        root = posixpath.join(base, dominant_cwd)
     else:
-        if before and current.count(before) != 1:
-            errors.append("anchor must occur once")
-        if len(after.split("\n")) > budget:
-            errors.append("too many lines")
-    return (None if errors else p), errors
+        root = posixpath.join(base, home, ".claude" if surface == "CLAUDE.md" else "")
+    return posixpath.normpath(posixpath.join(root, surface))
+
+
+def self_patch(proposal: dict, contract: dict, cluster: dict, requires: str, surfaces: list[str], meta: dict | None = None) -> dict:
+    """A proposal as a patch with its blast radius and the stricter of two gates; new files always need a human."""
+    meta = meta or {}
+    before, after = proposal["edit"]["before"], proposal["edit"]["after"]
+    identity = {"after": after, "before": before, "clusterId": cluster.get("id", ""), "layer": proposal["layer"], "target": proposal["target"]}
+    human = bool(meta.get("creates_file")) or "human-gate" in (requires, contract.get("requires"))
+    evidence = {"cluster_id": cluster.get("id", ""), "strategy": contract.get("strategy", ""), "strength": contract.get("strength", ""), "recurrence": cluster.get("recurrence_rate"), "members": list(cluster.get("members") or []), "checks": list(contract.get("checks") or [])}
+    return {
+        "id": meta.get("id") or "sp_sha256:" + hashlib.sha256(canonical(identity).encode()).hexdigest()[:16], "author": meta.get("author") or "spoolkit", "layer": proposal["layer"], "target": proposal["target"],
+        "diff": {"format": "before_after", "before": before, "after": after}, "rationale": proposal.get("rationale", ""), "eval_contract": contract.get("eval_contract"),
+        "blast_radius": {"surfaces": list(surfaces), "files_changed": int(before != after), "lines_changed": lines_changed(before, after)},
+        "requires": "human-gate" if human else "auto", "meta": meta | {"evidence": evidence},
+    }
+
+
+def redacted(value: object) -> object:
+    """Every string of a JSON value with what reports cut out cut out."""
+    if isinstance(value, str):
+        for pattern, to in REPORT_REDACTIONS:
+            value = re.sub(pattern, to, value)
+        return value
+    if isinstance(value, list):
+        return [redacted(v) for v in value]
+    return {k: redacted(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def brief(cluster: dict, exemplars: list[dict], layer: str, target: str, target_text: str = "", must_not_touch: tuple[str, ...] = (), creates_file: bool = False) -> dict:
+    """What a patch is asked for with: the failure, three exemplars, the target as it is (4,000 characters) and the constraints, all but the target redacted."""
+    size = cluster.get("size") or len(exemplars)
+    replayable = [w for w in cluster.get("witnesses") or [] if w.get("replayable", True)]
+    asked = {
+        "cluster_id": str(cluster.get("id", "")), "signature": str(cluster.get("signature", "")), "mode": str(cluster.get("error_class", "other")), "occurrences": size,
+        "terminal_rate": (cluster.get("terminal") or 0) / size if size else 0, "projects": sorted({e["project"] for e in exemplars if isinstance(e.get("project"), str)}),
+        "exemplars": [{k: e.get(k) or "" for k in ("request", "cmd", "error", "next")} for e in exemplars[:3]], "layer": layer, "target_text": target_text[:4000],
+        "constraints": {"max_lines": LINE_BUDGET, "must_not_touch": list(must_not_touch), "style": "imperative, specific, no hedging"}, "witness": replayable[0] if replayable else None,
+    }
+    return redacted(asked) | {"target": target, "creates_file": creates_file}
 
 
-def brief(cluster: dict, exemplars: list[dict]) -> str:
-    """The text that asks for a patch."""
-    return "\n".join([f"Failure: {cluster['signature']} ({cluster['size']} episodes)", *(f"- {e.get('request') or ''} => {e.get('error') or ''}" for e in exemplars[:3]), "Answer with one fenced JSON object: summary, layer, target, edit {before, after}, rationale, expectedEffect."])
+def merge_cursors(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``file, position``: how far each file has been read, of two runs the farther; negative and non-finite positions count as 0."""
+    every = a.select("file", "position").unionByName(b.select("file", "position")).where("file <> ''")
+    sound = F.when(F.isnan(F.col("position").cast("double")) | (F.abs(F.col("position").cast("double")) == float("inf")), 0).otherwise(F.floor("position"))
+    return every.groupBy("file").agg(F.greatest(F.lit(0), F.max(F.coalesce(sound, F.lit(0)))).cast("long").alias("position"))

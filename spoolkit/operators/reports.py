@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spoolkit.functions.text import sparkline
+from spoolkit.functions.text import redact, shorten, sparkline
+from spoolkit.operators.clusters import is_proposable
+from spoolkit.operators.labels import TIERS
 
 
 def share_rows(rows: DataFrame, name: str) -> DataFrame:
@@ -36,6 +38,19 @@ def atlas_rows(episodes: DataFrame) -> DataFrame:
     return episodes.select("id", "project", "session_id", "started", F.col("outcome.label").alias("label"), F.col("outcome.tier").alias("tier"), F.col("failure").isNotNull().alias("witnessed"), F.coalesce("failure.witness.replayable", F.lit(False)).alias("replayable"), F.col("failure.mode").alias("error_class"), F.col("signals.api_errors").alias("api_errors"), F.col("signals.interrupted").alias("interrupted"), F.col("signals.repeat_command_max").alias("repeats"))
 
 
+def status(episodes: DataFrame, clusters: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row: episodes, failures (labelled or witnessed), tiers, proposable clusters, applied and queued patches, last run.
+
+    ``episodes``: label, tier, witnessed; ``ledger``: ts, applied, gate_decision, reason.
+    """
+    known = F.when(F.col("tier").isin(*TIERS), F.col("tier")).otherwise("unknown")
+    e = episodes.agg(F.count("*").alias("episodes"), F.count_if((F.coalesce("label", F.lit("")) == "fail") | F.col("witnessed")).alias("failures"), *(F.count_if(known == t).alias(f"tier_{t}") for t in TIERS))
+    c = clusters.agg(F.count_if(is_proposable()).alias("proposable"))
+    waiting = (F.col("applied") == F.lit(False)) & (F.coalesce("gate_decision", F.lit("")) != "skipped") & (F.coalesce("reason", F.lit("")) != "already_applied")
+    d = ledger.agg(F.count_if("applied").alias("applied"), F.count_if(waiting).alias("queued"), F.coalesce(F.max("ts"), F.lit("never")).alias("last_run"))
+    return e.crossJoin(c).crossJoin(d)  # one row each
+
+
 def by_group(episodes: DataFrame, name: str) -> DataFrame:
     """``name, episodes, failures, rate``."""
     return episodes.groupBy(name).agg(F.count("*").alias("episodes"), F.count_if(F.col("label") == "fail").alias("failures")).withColumn("rate", F.col("failures") / F.col("episodes")).orderBy(F.desc("failures"), F.desc("episodes"), name)
@@ -63,9 +78,12 @@ def trend_summary(points: DataFrame) -> DataFrame:
 
 
 def cluster_exemplars(clusters: DataFrame, episodes: DataFrame, per_cluster: int = 2, top: int = 15) -> DataFrame:
-    """The leading clusters' first members, in order, with request and signature."""
+    """The leading clusters' first members, in order: request, error and signature, redacted and in 240 characters."""
+    shown = lambda c: shorten(redact(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    failing = F.filter("steps", lambda s: s["signature"] == F.col("failure.signature"))
     lead = clusters.orderBy(F.desc("priority"), F.desc("size"), "signature", "root").limit(top).select("root", F.posexplode(F.slice("members", 1, per_cluster)).alias("nth", "id"))
-    return lead.join(episodes.select("id", F.col("request.text").alias("request"), F.col("failure.signature").alias("signature")), "id").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "request", "signature"))).alias("exemplars"))
+    texts = episodes.select("id", shown(F.col("request.text")).alias("request"), shown(F.try_element_at(failing, F.lit(-1))["error_text"]).alias("error"), F.col("failure.signature").alias("signature"))
+    return lead.join(texts, "id").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "request", "error", "signature"))).alias("exemplars"))
 
 
 def render_html(title: str, tables: dict[str, DataFrame], rows: int = 200) -> str:

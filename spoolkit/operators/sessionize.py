@@ -111,14 +111,14 @@ def described(steps: DataFrame) -> DataFrame:
     non-empty head succeeds.
     """
     command, path = _of(F.col("input"), "$.command"), F.coalesce(_of(F.col("input"), "$.file_path"), _of(F.col("input"), "$.path"))
-    out = steps.withColumn("command", command).withColumn("path", path).withColumn("head", commands.cmd_head(F.col("tool"), F.col("command"), F.col("path"))).withColumn("error_class", errors.classify_error(F.col("error_text"))["error_class"])
+    out = steps.withColumn("command", command).withColumn("path", path).withColumn("head", commands.cmd_head(F.col("tool"), F.col("command"), F.col("path"))).withColumn("found", errors.classify_error(F.col("error_text"))).withColumn("error_class", F.col("found.error_class"))
     failed = F.col("ok") == F.lit(False)
     benign = failed & errors.is_benign_nonzero(F.col("exit_code"), F.col("error_text"), F.col("command"))
     out = out.withColumn("benign", F.coalesce(benign, F.lit(False)))
     other = failed & ~F.col("benign") & ~errors.is_agent_fault(F.col("error_class"))
     out = out.withColumn("not_agent", F.coalesce(other, F.lit(False))).withColumn("counts", F.coalesce(failed & ~F.col("benign") & ~F.col("not_agent"), F.lit(False)))
     last_good = F.max(F.when(F.col("ok"), F.col("i"))).over(W.partitionBy("file", "group", "head"))
-    out = out.withColumn("signature", F.when(F.col("counts"), commands.error_signature(F.col("tool"), F.col("head"), F.col("error_text"))))
+    out = out.withColumn("signature", F.when(F.col("counts"), commands.error_signature(F.col("tool"), F.col("head"), found=F.col("found")))).drop("found")
     return out.withColumn("recovered", F.when(F.col("counts"), (F.col("head") != "") & (F.coalesce(last_good, F.lit(-1)) > F.col("i"))))
 
 
@@ -141,7 +141,7 @@ def episodes_of(records: DataFrame, steps: DataFrame) -> DataFrame:
     """One row for each group: ids, times, request, artifacts, signals, failure and witness."""
     key = ["file", "group"]
     d = described(steps)
-    step = F.struct("i", "ts", "tool", "command", "path", "ok", "exit_code", "interrupted", "harness_error", "error_text", "bytes_out", "signature", "head")
+    step = F.struct("i", "ts", "tool", "command", "path", "ok", "exit_code", "interrupted", "harness_error", "error_text", "bytes_out", "signature", "head", _of(F.col("input"), "$.cwd").alias("cwd"))
     failing = F.col("counts") & ~F.col("recovered")
     names = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("signature"))))
     tool = F.lower("tool")

@@ -1,4 +1,4 @@
-"""All schema errors of a row as an array, none of them fatal."""
+"""All schema errors of a document as an array, none of them fatal."""
 
 from __future__ import annotations
 
@@ -7,12 +7,48 @@ from pyspark.sql import functions as F
 
 from spoolkit.operators.labels import LABELS, TIERS
 
+# The fields of an episode and of its outcome.
+ROOT_FIELDS = ("id", "schema", "session_id", "prompt_id", "agent_id", "project", "cwd", "git_branch", "started", "ended", "duration_ms", "is_sidechain", "request", "steps", "artifacts", "signals", "outcome", "failure", "meta")
+OUTCOME_FIELDS = ("label", "tier", "confidence", "reason", "source", "method", "evidence")
+REQUIRED_TEXTS = ("id", "schema", "session_id", "prompt_id", "agent_id", "cwd", "started")
 
-def episode_errors() -> Column:
-    """array of struct(path, code) for a row of the episode table."""
-    checks = [(F.col(p).isNull(), p, "required") for p in ("id", "session_id", "prompt_id", "agent_id", "project", "started")]
-    checks += [(F.try_to_timestamp("started").isNull() & F.col("started").isNotNull(), "started", "format"), (~F.col("id").rlike("^ep_sha256:[0-9a-f]{16}$"), "id", "format"), (~F.col("outcome.label").isin(*LABELS), "outcome.label", "enum"), (~F.col("outcome.tier").isin(*TIERS), "outcome.tier", "enum")]
-    return F.array_compact(F.array(*(F.when(c, F.struct(F.lit(p).alias("path"), F.lit(code).alias("code"))) for c, p, code in checks)))
+
+def episode_errors(document: Column) -> Column:
+    """array of struct(path, code, message) of an episode as VARIANT.
+
+    Codes: not_object, required, type, empty, format, enum, unknown_field.
+    """
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    at = lambda p: F.try_variant_get(document, f"$.{p}", "variant")
+    error = lambda path, code, said: F.struct(F.lit(path).alias("path"), F.lit(code).alias("code"), F.lit(said).alias("message"))
+    checks = []
+
+    def needed(path: str, shape: str, noun: str) -> Column:
+        found = kind(at(path))
+        checks.append(F.when(found == "VOID", error(path, "required", f"`{path}` is required")).when(~found.startswith(shape), error(path, "type", f"`{path}` must be {noun}")))
+        return F.when(found.startswith(shape), at(path))
+
+    for path in REQUIRED_TEXTS:
+        text = F.try_variant_get(needed(path, "STRING", "a string"), "$", "string")
+        checks.append(F.when(F.trim(text) == "", error(path, "empty", f"`{path}` must not be empty")))
+        if path == "started":
+            checks.append(F.when((F.trim(text) != "") & F.try_to_timestamp(text).isNull(), error(path, "format", "`started` must be an ISO-8601 timestamp")))
+    needed("steps", "ARRAY", "an array")
+    needed("signals", "OBJECT", "an object")
+    is_outcome = needed("outcome", "OBJECT", "an object").isNotNull()
+    for name, allowed in (("label", LABELS), ("tier", TIERS)):
+        path = f"outcome.{name}"
+        n = len(checks)
+        text = F.try_variant_get(needed(path, "STRING", "a string"), "$", "string")
+        checks[n] = F.when(is_outcome, checks[n])
+        checks.append(F.when(is_outcome & ~text.isin(*allowed), error(path, "enum", f"`{path}` must be one of: {', '.join(allowed)}")))
+
+    def unknown(v: Column, known: tuple[str, ...], prefix: str) -> Column:
+        path = lambda k: F.concat(F.lit(prefix), k)
+        return F.transform(F.coalesce(unknown_fields(v, list(known)), F.array().cast("array<string>")), lambda k: F.struct(path(k).alias("path"), F.lit("unknown_field").alias("code"), F.concat(F.lit("unknown field `"), path(k), F.lit("`")).alias("message")))
+
+    found = F.concat(F.array_compact(F.array(*checks)), F.when(is_outcome, unknown(at("outcome"), OUTCOME_FIELDS, "outcome.")).otherwise(F.array().cast("array<struct<path:string,code:string,message:string>>")), unknown(document, ROOT_FIELDS, ""))
+    return F.when(kind(document).startswith("OBJECT"), found).otherwise(F.array(error("", "not_object", "episode must be a plain object")))
 
 
 def unknown_fields(document: Column, known: list[str]) -> Column:

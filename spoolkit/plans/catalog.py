@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spoolkit.functions import errors, stats, text
+from spoolkit.functions import commands, errors, stats, text
 from spoolkit.operators import clusters, labels, measure, planning, reports, sessionize
 from spoolkit.operators.ancestors import inherited
 from spoolkit.operators.components import connected_components
@@ -50,9 +50,77 @@ STEPS = """steps AS (
 )"""
 
 
-@query(f"WITH {STEPS} SELECT signature, count(*) AS size, count(DISTINCT user_id) AS sessions, min(ts) AS first, max(ts) AS last FROM steps WHERE NOT ok GROUP BY signature")
-def signature_groups(spark, sf_dir):
-    return steps(spark, sf_dir).where("not ok").groupBy("signature").agg(F.count("*").alias("size"), F.countDistinct("user_id").alias("sessions"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+def failures(spark, sf_dir):
+    """Error events as failures of sessions; signatures of the heads 0 and 1 of a class have like texts, and seldom ones are the long tail."""
+    e = steps(spark, sf_dir).where("not ok")
+    v, k, text = F.col("value"), F.col("k"), lambda c: c.cast("string")
+    rare = (k >= 90) & (F.col("event_id") % 3 == 0)
+    signature = F.when(rare, F.concat(F.lit("bash:rare"), F.col("user_id") % 60, F.lit(":x:"))).otherwise(F.col("signature"))
+    words = F.when(rare, F.concat(F.lit("only here"), F.col("user_id") % 60)).when(k % 3 < 2, F.concat(F.lit("alpha beta gamma delta epsilon class"), k % 7)).otherwise(F.concat(F.lit("another text of class"), k % 7))
+    own = F.when(v > 60, F.array(signature)).when(v > 30, F.array(F.lit("bash:none::"))).otherwise(F.array().cast("array<string>"))
+    return e.select(
+        F.lpad(text(F.col("event_id")), 9, "0").alias("id"), text(F.col("user_id")).alias("session_id"), text(F.col("user_id") % 10).alias("project"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("started"), F.concat(F.lit("/w/"), k % 4).alias("cwd"), (k * 1000).alias("duration_ms"),
+        signature.alias("signature"), F.lit("bash").alias("tool"), F.element_at(F.split(signature, ":"), 2).alias("error_class"), F.struct(F.lit("command").alias("kind"), F.concat(F.lit("run "), k % 8).alias("cmd"), F.lit("/w").alias("cwd"), F.lit(1).alias("observed_exit_code"), (v > 50).alias("replayable")).alias("witness"),
+        F.when(v > 90, "gold").when(v > 50, "strong").when(v > 10, "weak").otherwise("unknown").alias("tier"), words.alias("error_text"), own.alias("recovered_signatures"), (k % 3).cast("int").alias("errored"), F.lit("please").alias("request"),
+    )
+
+
+FAILURES = f"""{STEPS}, f AS (
+  SELECT *, lpad(CAST(event_id AS VARCHAR), 9, '0') AS id, strftime(ts, '%Y-%m-%d %H:%M') AS started, CASE WHEN k >= 90 AND event_id % 3 = 0 THEN 'bash:rare' || (user_id % 60) || ':x:' ELSE signature END AS sig
+  FROM steps WHERE NOT ok
+), g AS (
+  SELECT *, CASE WHEN k >= 90 AND event_id % 3 = 0 THEN sig WHEN k % 3 < 2 THEN 'a' || (k % 7) ELSE 'b' || (k % 7) END AS kin FROM f
+), sized AS (
+  SELECT *, CASE WHEN count(*) OVER (PARTITION BY kin) >= 3 THEN kin ELSE 'tail' END AS c FROM g
+)"""
+
+
+@query(f"""WITH {FAILURES}, w AS (
+  SELECT c, 'run ' || (k % 8) AS cmd, min(started || id) AS first FROM sized WHERE value > 50 GROUP BY ALL
+), w5 AS (
+  SELECT c, string_agg(cmd, ',' ORDER BY first) AS witnesses FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY c ORDER BY first) <= 5) GROUP BY c
+), cwd AS (
+  SELECT c, cwd FROM (SELECT c, '/w/' || (k % 4) AS cwd, count(*) AS n FROM sized GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, cwd) = 1
+), rolled AS (
+  SELECT c, min(sig) AS sig, string_agg(DISTINCT sig, ',' ORDER BY sig) AS merged, string_agg(id, '","' ORDER BY started, id) AS ids, count(*) AS size, count(*) FILTER (value > 90) AS tier_gold, count(*) FILTER (value > 50 AND value <= 90) AS tier_strong,
+    count(*) FILTER (value > 10 AND value <= 50) AS tier_weak, count(*) FILTER (value <= 10) AS tier_unknown, count(DISTINCT user_id) AS sessions, count(DISTINCT user_id % 10) AS projects, min(started) AS first, max(started) AS last,
+    CAST(sum(k * 1000) AS BIGINT) AS wasted_ms, CAST(sum(k % 3) AS BIGINT) AS wasted_steps, count(*) FILTER (value > 60) AS recovered FROM sized GROUP BY c
+), p AS (
+  SELECT *, ln(1 + size) + 2.0 + 0.7 * ln(1 + wasted_ms / 60000) + 1.5 * projects / max(projects) OVER () + (tier_gold + 0.7 * tier_strong + 0.3 * tier_weak + 0.1 * tier_unknown) / size AS priority FROM rolled
+)
+SELECT CASE WHEN c = 'tail' THEN 'cl_longtail' ELSE 'cl_sha256:' || substr(sha256('{{"members":["' || ids || '"],"signature":"' || sig || '"}}'), 1, 16) END AS id,
+  CASE WHEN c = 'tail' THEN 'longtail' ELSE sig END AS signature, merged, CASE WHEN c = 'tail' THEN 'mixed' ELSE split_part(sig, ':', 2) END AS error_class, size, tier_gold, tier_strong, tier_weak, tier_unknown, sessions, projects, first, last, wasted_ms, wasted_steps, recovered,
+  coalesce(witnesses, '') AS witnesses, cwd AS dominant_cwd, round(size / (SELECT count(*) FROM events), 4) AS recurrence_rate, round(priority, 6) AS priority,
+  row_number() OVER (ORDER BY c = 'tail', round(priority, 6) DESC, size DESC, sig) AS rank FROM p LEFT JOIN w5 USING (c) JOIN cwd USING (c)""")
+def failure_clusters(spark, sf_dir):
+    """Clusters of the failures, ranked, with everything that a cluster holds."""
+    found = clusters.rank_clusters(clusters.cluster_failures(failures(spark, sf_dir), table(spark, sf_dir, "events").count())).withColumn("priority", F.round("priority", 6))
+    rank = F.row_number().over(W.orderBy("is_long_tail", F.desc("priority"), F.desc("size"), "signature")).cast("long")  # one row for each cluster
+    return found.select(
+        "id", "signature", F.array_join("merged_signatures", ",").alias("merged"), "error_class", "size", "tier_gold", "tier_strong", "tier_weak", "tier_unknown", "sessions", "projects", "first", "last", "wasted_ms", "wasted_steps", "recovered",
+        F.array_join(F.transform("witnesses", lambda w: w["cmd"]), ",").alias("witnesses"), "dominant_cwd", "recurrence_rate", "priority", rank.alias("rank"),
+    )
+
+
+@query(f"""WITH {FAILURES}, t AS (SELECT * FROM sized WHERE c = 'tail')
+SELECT string_agg(id, ',' ORDER BY started, id) AS members, count(*) AS size, min(split_part(sig, ':', 2)) AS error_class, count(DISTINCT user_id) AS sessions, 'lt_sha256:' || substr(sha256('{{"errorClass":"' || min(split_part(sig, ':', 2)) || '","members":["' || string_agg(id, '","' ORDER BY started, id) || '"],"tool":"bash"}}'), 1, 16) AS key
+FROM t GROUP BY sig HAVING count(*) >= 2""")
+def longtail_groups(spark, sf_dir):
+    """Failures outside every cluster, grouped by like texts."""
+    f = failures(spark, sf_dir)
+    groups, _ = clusters.mine_long_tail(f, clusters.cluster_failures(f, 1))
+    return groups.select(F.array_join("members", ",").alias("members"), "size", "error_class", "sessions", "key")
+
+
+@query(f"""WITH {FAILURES}, c AS (SELECT c, count(*) FILTER (value > 50) AS good, count(*) AS n FROM sized GROUP BY c)
+SELECT count(*) AS episodes, count(*) FILTER (event_type = 'error' OR value > 99) AS failures, count(*) FILTER (value > 90) AS tier_gold, count(*) FILTER (value > 50 AND value <= 90) AS tier_strong, count(*) FILTER (value > 10 AND value <= 50) AS tier_weak, count(*) FILTER (value <= 10) AS tier_unknown,
+  (SELECT count(*) FROM c WHERE c <> 'tail' AND n >= 3 AND good >= 3) AS proposable, count(*) FILTER (event_id % 4 = 0) AS applied, count(*) FILTER (event_id % 4 = 1) AS queued, strftime(max(ts), '%Y-%m-%d') AS last_run FROM events""")
+def status_summary(spark, sf_dir):
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    episodes = e.select(F.when(F.col("event_type") == "error", "fail").alias("label"), F.when(v > 90, "gold").when(v > 50, "strong").when(v > 10, "weak").otherwise("?").alias("tier"), (v > 99).alias("witnessed"))
+    n = F.col("event_id") % 4
+    ledger = e.select(F.date_format("ts", "yyyy-MM-dd").alias("ts"), (n == 0).alias("applied"), F.when(n == 2, "skipped").alias("gate_decision"), F.when(n == 3, "already_applied").alias("reason"))
+    return reports.status(episodes, clusters.cluster_failures(failures(spark, sf_dir), 1), ledger)
 
 
 @query(f"""WITH {STEPS}, c AS (
@@ -60,7 +128,7 @@ def signature_groups(spark, sf_dir):
     count(*) FILTER (value > 90) AS g, count(*) FILTER (value > 50 AND value <= 90) AS s, count(*) FILTER (value > 10 AND value <= 50) AS w, count(*) FILTER (value <= 10) AS u
   FROM steps WHERE NOT ok GROUP BY signature
 ), p AS (
-  SELECT *, ln(1 + size) + 2.0 + 0.7 * ln(1 + wasted_ms) / 60000 + 1.5 * projects / max(projects) OVER () + (g + 0.7 * s + 0.3 * w + 0.1 * u) / size AS priority FROM c
+  SELECT *, ln(1 + size) + 2.0 + 0.7 * ln(1 + wasted_ms / 60000) + 1.5 * projects / max(projects) OVER () + (g + 0.7 * s + 0.3 * w + 0.1 * u) / size AS priority FROM c
 )
 SELECT signature, size, projects, wasted_ms, round(priority, 6) AS priority, row_number() OVER (ORDER BY round(priority, 6) DESC, size DESC, signature) AS rank FROM p""")
 def ranked_clusters(spark, sf_dir):
@@ -75,11 +143,44 @@ def ranked_clusters(spark, sf_dir):
     return ranked.select("signature", "size", "projects", "wasted_ms", "priority", F.row_number().over(W.orderBy(F.desc("priority"), F.desc("size"), "signature")).cast("long").alias("rank"))
 
 
-@query(f"""WITH {STEPS} SELECT event_id, user_id, NOT ok AND coalesce(max(CASE WHEN ok THEN event_id END) OVER (PARTITION BY user_id, k % 3) > event_id, false) AS recovered
-FROM steps WHERE true QUALIFY NOT ok""")
+def call_records(spark, sf_dir):
+    """Events as records of tool calls and results: of each 13th event only the result, of each 11th only the call."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("text", F.col("event_id").cast("string"))
+    bad, no_text = F.col("event_type") == "error", F.lit(None).cast("string")
+    call = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), "text").alias("id"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run"), F.col("k") % 3, F.lit(" go -v x")).alias("command")).alias("input")))
+    body = F.when(bad, F.concat(F.lit("Exit code 1\n"), F.lit("command not found: tool"), F.col("k") % 7)).otherwise("done")
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), "text").alias("tool_use_id"), body.alias("content"), bad.alias("is_error")))
+    kinds = F.array(F.struct(F.lit(0).alias("nth"), F.lit("assistant").alias("kind"), call.alias("block"), (F.col("event_id") % 13 != 0).alias("there")), F.struct(F.lit(1).alias("nth"), F.lit("user").alias("kind"), result.alias("block"), (F.col("event_id") % 11 != 0).alias("there")))
+    each = e.select("*", F.explode(kinds).alias("r")).where("r.there")
+    return each.select(
+        F.concat(F.lit("u"), "user_id").alias("file"), F.lit("g").alias("group"), (F.col("event_id") * 2 + F.col("r.nth")).alias("pos"), F.concat(F.col("r.kind"), "text").alias("uuid"), no_text.alias("parent_uuid"), F.lit("p").alias("prompt_id"), F.col("user_id").cast("string").alias("session_id"), F.col("r.kind").alias("kind"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), F.lit(False).alias("is_sidechain"), F.lit(False).alias("is_meta"), F.lit("/w").alias("cwd"), F.lit("main").alias("git_branch"), no_text.alias("subtype"), F.array(F.parse_json("r.block")).alias("blocks"), F.lit(None).cast("variant").alias("tool_use_result"),
+        no_text.alias("text"), F.lit("proj").alias("project"), F.lit("main").alias("agent_id"), F.lit("session").alias("source_kind"), F.lit(False).alias("truncated"),
+    )
+
+
+CALLS = """calls AS (
+  SELECT event_id, user_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 13 <> 0 AS has_call, event_id % 11 <> 0 AS has_result, event_type = 'error' AS bad FROM events WHERE event_id % 143 <> 0
+), paired AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, CASE WHEN has_call THEN 'Bash' ELSE 'unknown' END AS tool, CASE WHEN has_result THEN NOT bad END AS ok, CASE WHEN has_result THEN CAST(bad AS INTEGER) END AS exit_code,
+    CASE WHEN has_result AND bad THEN 'command not found: tool' || (k % 7) ELSE '' END AS error_text, CASE WHEN NOT has_result THEN 0 WHEN bad THEN 23 + length(CAST(k % 7 AS VARCHAR)) ELSE 4 END AS bytes_out, CASE WHEN has_call THEN 'run' || (k % 3) || ' go' ELSE 'unknown' END AS head FROM calls
+), judged AS (
+  SELECT *, CASE WHEN ok = false THEN lower(tool) || ':command_not_found:' || head || ':tool' || (k % 7) END AS signature, CASE WHEN ok = false THEN coalesce(max(CASE WHEN ok THEN i END) OVER (PARTITION BY user_id, head) > i, false) END AS recovered FROM paired
+)"""
+
+
+@query(f"WITH {CALLS} SELECT event_id, user_id, CAST(i AS INTEGER) AS i, tool, coalesce(CAST(ok AS VARCHAR), 'none') AS ok, coalesce(exit_code, -1) AS exit_code, error_text, CAST(bytes_out AS INTEGER) AS bytes_out FROM paired")
+def step_pairing(spark, sf_dir):
+    """Calls with their results, calls without, and results without."""
+    s = sessionize.steps_of(call_records(spark, sf_dir))
+    return s.select(F.regexp_extract("uuid", "[0-9]+$", 0).cast("long").alias("event_id"), F.substring("file", 2, 20).cast("long").alias("user_id"), "i", "tool", F.coalesce(F.col("ok").cast("string"), F.lit("none")).alias("ok"), F.coalesce("exit_code", F.lit(-1)).alias("exit_code"), "error_text", "bytes_out")
+
+
+@query(f"WITH {CALLS} SELECT event_id, head, signature, coalesce(ok = false, false) AS counts, coalesce(recovered, false) AS recovered FROM judged")
 def recovery_rule(spark, sf_dir):
-    last = F.max(F.when(F.col("ok"), F.col("event_id"))).over(W.partitionBy("user_id", F.col("k") % 3))
-    return steps(spark, sf_dir).withColumn("recovered", ~F.col("ok") & F.coalesce(last > F.col("event_id"), F.lit(False))).where("not ok").select("event_id", "user_id", "recovered")
+    """Heads, signatures, and which failures a later success of the same head makes good."""
+    d = sessionize.described(sessionize.steps_of(call_records(spark, sf_dir)))
+    return d.select(F.regexp_extract("uuid", "[0-9]+$", 0).cast("long").alias("event_id"), "head", "signature", "counts", F.coalesce("recovered", F.lit(False)).alias("recovered"))
 
 
 @query(f"""WITH {STEPS}, c AS (
@@ -91,26 +192,17 @@ def repeat_run_max(spark, sf_dir):
     return sessionize.longest_runs(steps(spark, sf_dir), ["user_id"], "event_id", "tool").withColumn("longest", F.col("longest").cast("long"))
 
 
-@query("""WITH r AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) = 1)
-SELECT o_orderkey, l_linenumber, l_quantity, l_linenumber IS NOT NULL AS paired FROM orders LEFT JOIN r ON o_orderkey = l_orderkey""")
-def step_pairing(spark, sf_dir):
-    first = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_quantity")).alias("r"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "r.l_linenumber", "r.l_quantity", F.col("r").isNotNull().alias("paired"))
-
-
-@query("""WITH c AS (SELECT * FROM orders WHERE o_orderstatus <> 'F') SELECT l_orderkey, l_linenumber, 'unknown' AS tool FROM lineitem ANTI JOIN c ON o_orderkey = l_orderkey
-UNION ALL SELECT o_orderkey, 0, o_orderpriority FROM c""")
-def orphan_results(spark, sf_dir):
-    calls = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.col("o_orderpriority").alias("tool"))
-    lone = table(spark, sf_dir, "lineitem").join(calls, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", F.lit("unknown").alias("tool"))
-    return lone.unionByName(calls)
-
-
-@query("""WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)
-SELECT conv_id, count(*) FILTER (nth <= 3) AS records, max(nth) > 3 AS truncated, bool_or(role = 'assistant') AS useful FROM n GROUP BY conv_id HAVING bool_or(role = 'assistant')""")
+@query("""WITH p AS (SELECT *, max(CASE WHEN role = 'user' AND turn % 4 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS start FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, start ORDER BY turn) AS nth FROM p)
+SELECT conv_id, coalesce('p' || start, '_orphan:' || conv_id) AS prompt, count(*) FILTER (nth <= 3) AS records, max(nth) > 3 AS truncated FROM n GROUP BY conv_id, start HAVING bool_or(role = 'assistant' AND nth <= 3)""")
 def group_cap(spark, sf_dir):
-    n = table(spark, sf_dir, "conversations").withColumn("nth", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    return n.groupBy("conv_id").agg(F.count_if(F.col("nth") <= 3).alias("records"), (F.max("nth") > 3).alias("truncated"), F.bool_or(F.col("role") == "assistant").alias("useful")).where("useful")
+    """Turns as records, each fourth turn a prompt: groups along parent chains, three records at most."""
+    turn, no_text = F.col("turn"), F.lit(None).cast("string")
+    records = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("file"), turn.alias("pos"), turn.cast("string").alias("uuid"), F.when(turn > 0, (turn - 1).cast("string")).alias("parent_uuid"), F.when((F.col("role") == "user") & (turn % 4 == 0), F.concat(F.lit("p"), turn)).otherwise(no_text).alias("prompt_id"),
+        F.col("conv_id").cast("string").alias("session_id"), F.col("role").alias("kind"), "text", F.lit(False).alias("is_meta"), F.array().cast("array<variant>").alias("blocks"),
+    )
+    return sessionize.prompt_groups(records, 3).groupBy(F.col("file").cast("long").alias("conv_id"), F.col("group").alias("prompt")).agg(F.count("*").alias("records"), F.bool_or("truncated").alias("truncated"))
 
 
 @query(r"""SELECT conv_id, min(turn) FILTER (role = 'user' AND NOT regexp_matches(trim(text), '^/[\w-]+(?:\s+.*)?$')) AS first_turn, min_by(text, turn) FILTER (role = 'user' AND NOT regexp_matches(trim(text), '^/[\w-]+(?:\s+.*)?$')) AS request,
@@ -120,23 +212,45 @@ def prompt_requests(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(F.when(real, F.col("turn"))).alias("first_turn"), F.min_by("text", F.when(real, F.col("turn"))).alias("request"), F.count_if(F.col("role") == "system").alias("system_records"))
 
 
-@query("""SELECT conv_id, turn, coalesce(lead(role) OVER w = 'user' AND regexp_matches(lead(text) OVER w, '(?i)^\\s*(no[,.]|that|the|is)'), false) AS rebuked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""".replace("\\\\", "\\"))
+@query("""WITH e AS (SELECT event_id, user_id, epoch_ms(ts) // 200 AS t, value, event_type FROM events), n AS (
+  SELECT *, lead(t) OVER w - (t + CAST(floor(value * 100) AS BIGINT)) AS gap, lead(event_type) OVER w = 'view' AS scolds FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+SELECT event_id, CASE WHEN coalesce(scolds AND gap BETWEEN 0 AND 120000, false) OR event_type = 'error' THEN 'fail' ELSE 'unknown' END AS label,
+  CASE WHEN coalesce(scolds AND gap BETWEEN 0 AND 120000, false) THEN 'weak' WHEN event_type = 'error' THEN 'strong' ELSE 'unknown' END AS tier FROM n""")
 def request_and_rebuke(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce((F.lead("role").over(w) == "user") & F.lead("text").over(w).rlike(r"(?i)^\s*(no[,.]|that|the|is)"), F.lit(False)).alias("rebuked"))
+    """Events as episodes of sessions, labelled by rules and by the next request if it takes the answer back within two minutes."""
+    at = F.floor(F.unix_millis(F.to_timestamp(F.col("ts").cast("string"))) / 200)
+    text = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    none, bad = F.array().cast("array<string>"), F.col("event_type") == "error"
+    episodes = table(spark, sf_dir, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 9, "0").alias("id"), F.col("user_id").alias("session_id"), text(at).alias("started"), text(at + F.floor(F.col("value") * 100)).alias("ended"), F.struct(F.when(F.col("event_type") == "view", " No, that is wrong").otherwise("go on").alias("text")).alias("request"),
+        F.when(bad, F.struct(F.lit("s").alias("signature"))).alias("failure"), F.array().cast("array<struct<tool:string,command:string,exit_code:int>>").alias("steps"), F.struct(none.alias("files_written"), none.alias("files_edited")).alias("artifacts"),
+        F.struct(F.lit(0).alias("api_errors"), F.lit(False).alias("interrupted"), F.lit(0).alias("repeat_command_max"), F.lit(0).alias("errored_tool_results")).alias("signals"),
+    )
+    return labels.label_sessions(episodes).select(F.col("id").cast("long").alias("event_id"), "outcome.label", "outcome.tier")
 
 
-@query(f"""WITH {STEPS} SELECT user_id, count(*) AS tool_calls, count(*) FILTER (NOT ok) AS errored, bool_or(tool = 'signup') AS interrupted, min(ts) AS started, max(ts) AS ended,
-  greatest(0, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) AS duration_ms, array_to_string(list_sort(list_distinct(list(signature) FILTER (NOT ok))), ',') AS signatures FROM steps GROUP BY user_id""")
+@query(f"""WITH {CALLS}, runs AS (
+  SELECT user_id, head, i - row_number() OVER (PARTITION BY user_id, head ORDER BY i) AS run FROM judged
+), longest AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, head, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY 1),
+last AS (SELECT user_id, max_by(signature, i) AS failure, max_by(CASE WHEN has_call THEN 'run' || (k % 3) || ' go -v x' ELSE '' END, i) AS cmd FROM judged WHERE ok = false AND NOT recovered GROUP BY 1)
+SELECT user_id, CAST(sum(CAST(has_call AS INTEGER) + CAST(has_result AS INTEGER)) AS BIGINT) AS n_records, count(*) AS tool_calls, count(*) FILTER (ok = false) AS errored, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS started, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS ended,
+  epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS duration_ms, coalesce(string_agg(DISTINCT signature, ',' ORDER BY signature) FILTER (recovered), '') AS recovered, coalesce(string_agg(DISTINCT signature, ',' ORDER BY signature) FILTER (NOT recovered), '') AS unrecovered,
+  max(longest) AS repeats, max(failure) AS failure, coalesce(max(cmd), '') AS witness, 'ep_sha256:' || substr(sha256('{{"agent_id":"main","prompt_id":"g","session_id":"' || user_id || '"}}'), 1, 16) AS id
+FROM judged JOIN longest USING (user_id) LEFT JOIN last USING (user_id) GROUP BY user_id""")
 def episode_rollup(spark, sf_dir):
-    ms = lambda c: F.unix_millis(F.to_timestamp(c.cast("string")))
-    return steps(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("tool_calls"), F.count_if(~F.col("ok")).alias("errored"), F.bool_or(F.col("tool") == "signup").alias("interrupted"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.greatest(F.lit(0), ms(F.max("ts")) - ms(F.min("ts"))).alias("duration_ms"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("signature")))), ",").alias("signatures"))
+    """One episode for each session: times, signals, failure and witness."""
+    records = call_records(spark, sf_dir)
+    e = sessionize.episodes_of(records, sessionize.steps_of(records))
+    s = F.col("signals")
+    joined = lambda name: F.array_join(s[name], ",")
+    return e.select(F.col("session_id").cast("long").alias("user_id"), "n_records", s["tool_calls"].alias("tool_calls"), s["errored_tool_results"].alias("errored"), "started", "ended", "duration_ms", joined("recovered_signatures").alias("recovered"), joined("unrecovered_signatures").alias("unrecovered"), s["repeat_command_max"].cast("long").alias("repeats"), F.col("failure.signature").alias("failure"), F.coalesce("failure.witness.cmd", F.lit("")).alias("witness"), "id")
 
 
-@query("SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY source <> 'src0', n_chars DESC, doc_id) = 1")
+@query("SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY source <> 'src0', n_chars DESC, lpad(CAST(doc_id AS VARCHAR), 12, '0')) = 1")
 def dedupe_preferred(spark, sf_dir):
-    best = table(spark, sf_dir, "documents").groupBy(F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s")).agg(F.min(F.struct((F.col("source") != "src0").alias("a"), (-F.col("n_chars")).alias("b"), "doc_id", "source", "n_chars")).alias("x"))
-    return best.select("x.doc_id", "x.source", "x.n_chars")
+    """Documents as episodes; those of one text are one, a session file's first."""
+    e = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("session_id"), F.lit("p").alias("prompt_id"), F.lit("main").alias("agent_id"), F.when(F.col("source") == "src0", "session").otherwise("other").alias("source_kind"), F.col("n_chars").alias("n_records"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file"))
+    return sessionize.deduplicated(e).select("doc_id", "source", "n_chars")
 
 
 def _sql_rewrites(column: str, rules) -> str:
@@ -158,13 +272,28 @@ def classify_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", errors.classify_error(F.col("text"))["error_class"].alias("error_class"))
 
 
-@query(f"SELECT doc_id, {_sql_rewrites('text', text.REDACTIONS[:-1])} AS redacted FROM documents")
+@query(f"SELECT doc_id, {_sql_rewrites('text', [(p, to.replace(chr(92) + '$', '$') if chr(92) in to else to) for p, to in text.CAPTURE_REDACTIONS]).replace(chr(92) + '1=', '$1=')} AS redacted FROM documents")
 def redact_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", errors.rewritten(F.col("text"), text.REDACTIONS[:-1]).alias("redacted"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text"), text.CAPTURE_REDACTIONS).alias("redacted"))
+
+
+@query("")
+def redact_exemplars(spark, sf_dir):
+    """What is shown of long-tail texts; its rules look ahead, which the SQL can't."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.redact_exemplar(F.col("text")).alias("shown"), text.redact(F.col("text")).alias("reported"))
+
+
+@query("""SELECT p_partkey, 'go' || (p_size % 5) || ' --flag' AS head_form, regexp_replace('go' || (p_size % 5) || ' ' || p_brand, '\\b\\d+\\b', '<N>', 'g') AS head, 'bash:command_not_found:' || regexp_replace('go' || (p_size % 5) || ' ' || p_brand, '\\b\\d+\\b', '<N>', 'g') || ':tool' AS signature, 3 AS segments FROM part""".replace("\\\\", "\\"))
+def command_heads(spark, sf_dir):
+    """Commands with an assignment, a change of folder, flags, quotes and redirections: the head, the signature, and the number of segments."""
+    go = F.concat(F.lit("go"), F.col("p_size") % 5)
+    command = F.concat(F.lit("A_B=1 cd /tmp/x && "), go, F.lit(' --flag "'), "p_brand", F.lit('" third -z > out.txt 2>&1; echo "a; b | c"'))
+    head = commands.cmd_head(F.lit("Bash"), F.col("command"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "part").withColumn("command", command).select("p_partkey", F.concat(go, F.lit(" --flag")).alias("head_form"), head.alias("head"), commands.error_signature(F.lit("Bash"), head, F.lit("command not found: tool")).alias("signature"), F.size(commands.command_segments(F.col("command"))).alias("segments"))
 
 
 TOKENS = f"""toks AS (
-  SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(trim({_sql_rewrites('text', errors.NORMAL_FORM)}), '<[A-Z]+>', ' ', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS ws FROM documents
+  SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(trim({_sql_rewrites('text', errors.NORMAL_FORM)}), '(?i)<[A-Z][A-Z0-9_]*>', ' ', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS ws FROM documents
 ), pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM toks a JOIN toks b ON a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws)) AND len(a.ws) > 0
   WHERE len(list_intersect(a.ws, b.ws)) >= 0.8 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))
@@ -290,30 +419,58 @@ def arm_means(spark, sf_dir):
     return _arms(spark, sf_dir).select("task", "n_before", "n_after", *(F.round(c, 9).alias(c) for c in ("before", "after", "delta")))
 
 
-@query(f"WITH {ARMS} SELECT count(*) FILTER (before >= 0.5 AND after < 0.5) AS regressions, count(*) FILTER (before < 0.5 AND after >= 0.5) AS fixes FROM arms")
+@query(f"WITH {ARMS} SELECT count(*) FILTER (b = 1 AND a < 1) AS regressions, count(*) FILTER (b = 0 AND a > 0) AS fixes FROM (SELECT CASE WHEN task % 3 = 0 THEN round(before) WHEN task % 3 = 1 THEN 0 ELSE before END AS b, after AS a FROM arms)")
 def hard_regressions(spark, sf_dir):
-    half = _arms(spark, sf_dir).select((F.col("before") >= 0.5).cast("int").alias("before"), (F.col("after") >= 0.5).cast("int").alias("after"))
-    return measure.hard_regressions(half)
+    """Some rates before are 0 or 1, all others lie between; rates after aren't rounded."""
+    third = F.col("task") % 3
+    return measure.hard_regressions(_arms(spark, sf_dir).withColumn("before", F.when(third == 0, F.round("before")).when(third == 1, 0.0).otherwise(F.col("before"))))
 
 
 _MIXED = "xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296) % 4294967296)"
 _DRAW = f"(xor({_MIXED}, {_MIXED} >> 14) / 4294967296.0)"
 
 
-@query(f"""WITH {ARMS}, xs AS (SELECT round(after - before, 9) AS d, row_number() OVER (ORDER BY task) - 1 AS j, count(*) OVER () AS n FROM arms),
-draws AS (SELECT i, i * n + j AS q, n FROM range(200) r(i), (SELECT j, n FROM xs)),
+BOOTSTRAP = f"""{ARMS}, xs AS (SELECT round(after - before, 9) AS d, row_number() OVER (ORDER BY task) - 1 AS j, count(*) OVER () AS n FROM arms),
+draws AS (SELECT i, i * n + j AS q, n FROM range(10000) r(i), (SELECT j, n FROM xs)),
 s AS (SELECT i, n, (42 + (CAST(1831565813 AS HUGEINT) * (q + 1)) % 4294967296) % 4294967296 AS a FROM draws),
 t AS (SELECT i, n, (xor(a, a >> 15) * (a | 1)) % 4294967296 AS t FROM s),
-m AS (SELECT i, sum(xs.d) / max(t.n) AS m FROM (SELECT i, n, CAST(floor({_DRAW} * n) AS BIGINT) AS p FROM t) t JOIN xs ON xs.j = t.p GROUP BY i)
-SELECT (SELECT max(n) FROM xs) AS n, round((SELECT avg(d) FROM xs), 9) AS point, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM m""")
+m AS (SELECT i, sum(xs.d) / max(t.n) AS m FROM (SELECT i, n, CAST(floor({_DRAW} * n) AS BIGINT) AS p FROM t) t JOIN xs ON xs.j = t.p GROUP BY i),
+ci AS (SELECT (SELECT max(n) FROM xs) AS n, round((SELECT avg(d) FROM xs), 9) AS point, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi FROM m)"""
+
+
+@query(f"WITH {BOOTSTRAP} SELECT n, point, lo, hi FROM ci")
 def bootstrap_ci(spark, sf_dir):
     deltas = _arms(spark, sf_dir).select("task", F.round("delta", 9).alias("delta"))
-    return stats.bootstrap_mean(deltas, iters=200).select("n", *(F.round(c, 9).alias(c) for c in ("point", "lo", "hi")))
+    return stats.bootstrap_mean(deltas).select("n", *(F.round(c, 9).alias(c) for c in ("point", "lo", "hi")))
 
 
-@query("")
+@query(f"""WITH {BOOTSTRAP}, hard AS (SELECT count(*) FILTER (before = 1 AND after < 1) AS regressions, count(*) FILTER (before = 0 AND after > 0) AS fixes FROM arms)
+SELECT CASE WHEN regressions > 0 THEN 'regressed' WHEN n >= 60 AND lo > 0.02 THEN 'helped' WHEN lo <= 0 AND hi >= 0 AND hi - lo < 0.1 THEN 'no_effect' ELSE 'inconclusive' END AS verdict, n, point AS delta, lo, hi, regressions, fixes, n >= 60 AS powered FROM ci, hard""")
 def verdict(spark, sf_dir):
-    return measure.judge(_arms(spark, sf_dir), band=0.02, iters=500)
+    pairs = _arms(spark, sf_dir).withColumn("delta", F.round("delta", 9))
+    return measure.judge(pairs, band=0.02).select("verdict", "n", *(F.round(c, 9).alias(c) for c in ("delta", "lo", "hi")), "regressions", "fixes", "powered")
+
+
+@query("""WITH r AS (SELECT event_id // 2 AS cell, user_id % 7 AS task, event_id % 2 AS run, event_type <> 'signup' AS completed, value > 60 AS bad FROM events),
+d AS (SELECT a.task, abs(CAST(a.bad AS INTEGER) - CAST(b.bad AS INTEGER)) AS delta FROM r a JOIN r b ON a.cell = b.cell AND a.task = b.task AND a.run = 0 AND b.run = 1 AND a.completed AND b.completed)
+SELECT t.task AS task_id, count(delta) AS n, CAST(coalesce(quantile_disc(delta, 0.95), 0) AS DOUBLE) AS band95 FROM (SELECT DISTINCT task FROM r) t LEFT JOIN d USING (task) GROUP BY 1""")
+def aa_band(spark, sf_dir):
+    """Two control runs paired by place; the band that an effect has to clear."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("task_id"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("run"), F.floor(F.col("event_id") / 2).alias("repeat"), (F.col("event_type") != "signup").alias("completed"), (F.col("value") > 60).alias("reproduced"))
+    return measure.aa_band(rows)
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'before' ELSE 'after' END AS arm, CAST(sum(CASE WHEN coalesce(value > 20, true) AND (user_id % 5 = 0 OR event_type <> 'error') THEN 1 ELSE 0 END) AS BIGINT) AS passes, count(*) AS n FROM events GROUP BY 1")
+def trial_passes(spark, sf_dir):
+    """Recorded trials scored by arm: what completed without the expected signature, or expects none."""
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, "before").otherwise("after").alias("arm"), F.lit(None).cast("boolean").alias("completed"), (F.col("value") <= 20).alias("timed_out"), F.when(F.col("event_type") == "error", "it says: error").otherwise("fine").alias("output"), F.when(F.col("user_id") % 5 == 0, "").otherwise("error").alias("expected_signature"))
+    return measure.arm_passes(measure.scored(rows))
+
+
+@query("SELECT count(*) AS tasks_total, count(*) FILTER (c_mktsegment = 'BUILDING') AS tasks_helped, CAST(sum(c_nationkey * 2) AS BIGINT) AS gold_episodes, CAST(sum(c_custkey % 7) AS BIGINT) AS sandboxes, round(sum(c_custkey % 10 / 4.0), 1) AS elapsed_s FROM customer")
+def benchmark_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") == "BUILDING", "helped").otherwise("no_effect").alias("verdict"), F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 7).alias("sandboxes"), (F.col("c_custkey") % 10 / 4.0).alias("elapsed_s"))
+    return measure.benchmark_totals(rows)
 
 
 @query("""SELECT lang, n, round(greatest(0.0, c - h), 9) AS lo, round(least(1.0, c + h), 9) AS hi FROM (
@@ -338,7 +495,7 @@ def two_proportion(spark, sf_dir):
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(1.96 * stddev_samp(value), 6) AS band95,
   round(quantile_cont(value, 0.95), 6) AS p95, round(list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS INTEGER)], 6) AS nearest95 FROM events GROUP BY event_type""")
 def noise_band(spark, sf_dir):
-    b = table(spark, sf_dir, "events").groupBy("event_type").agg(stats.noise_band(F.col("value")).alias("b"), F.percentile("value", F.lit(0.95)).alias("p95"), stats.nearest_rank(F.collect_list("value"), 0.95).alias("nearest95"))
+    b = table(spark, sf_dir, "events").groupBy("event_type").agg(stats.noise_band(F.col("value")).alias("b"), F.percentile("value", F.lit(0.95)).alias("p95"), F.expr("percentile_disc(0.95) within group (order by value)").alias("nearest95"))
     return b.select("event_type", "b.n", *(F.round(f"b.{c}", 6).alias(c) for c in ("mean", "sd", "band95")), F.round("p95", 6).alias("p95"), F.round("nearest95", 6).alias("nearest95"))
 
 
@@ -469,18 +626,6 @@ def parent_chains(spark, sf_dir):
     return inherited(nodes, "file", "uuid", "parent", "prompt").select(F.col("uuid").cast("long").alias("node"), "value")
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5")
-def top_witnesses(spark, sf_dir):
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("o_custkey", "o_orderkey")
-
-
-@query("""WITH n AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, o_orderstatus AS dominant FROM n QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) = 1""")
-def dominant_value(spark, sf_dir):
-    n = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
-    return n.groupBy("o_custkey").agg(F.min(F.struct((-F.col("n")).alias("n"), "o_orderstatus"))["o_orderstatus"].alias("dominant"))
-
-
 @query("""SELECT n_name, r_name, count(*) AS orders, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 def volume_by_nation(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)

@@ -77,9 +77,54 @@ def read_episodes(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
 
 
+def read_episode_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, format, place, is_array, episode`` (VARIANT) of the .jsonl and .json files of a folder, strict.
+
+    A .json file holds one episode or an array of them; a .jsonl file one a
+    line.  Malformed JSON fails.
+    """
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path).select(name.alias("file"), F.lit("jsonl").alias("format"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("place"), F.lit(False).alias("is_array"), "value").where(F.trim("value") != "").withColumn("episode", F.parse_json("value")).drop("value")
+    whole = spark.read.option("pathGlobFilter", "*.json").option("wholetext", "true").text(path).select(name.alias("file"), F.parse_json("value").alias("v"))
+    is_array = F.schema_of_variant("v").startswith("ARRAY")
+    each = F.when(is_array, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    docs = whole.select("file", F.lit("json").alias("format"), is_array.alias("is_array"), F.posexplode(each).alias("nth", "episode")).select("file", "format", F.struct(F.lit(0).cast("long").alias("block"), F.col("nth").cast("long").alias("nth")).alias("place"), "is_array", "episode")
+    return lines.unionByName(docs)
+
+
+def write_episode_files(records: DataFrame, path: str) -> None:
+    """The rows of ``read_episode_files`` back to text by file name (a folder each): lines as lines, in order, and .json files whole."""
+    lines = records.where("format = 'jsonl'").select("file", "place", F.to_json("episode").alias("value"))
+    one = F.array_sort(F.collect_list(F.struct("place", F.to_json("episode").alias("json"))))
+    body = F.array_join(F.transform("xs", lambda x: x["json"]), ",\n")
+    docs = records.where("format = 'json'").groupBy("file").agg(one.alias("xs"), F.bool_or("is_array").alias("is_array")).select("file", F.when(F.col("is_array"), F.concat(F.lit("[\n"), body, F.lit("\n]"))).otherwise(body).alias("value"))
+    lines.repartitionByRange("file", "place").sortWithinPartitions("file", "place").select("file", "value").unionByName(docs).write.partitionBy("file").text(path)
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """One JSON document, strict."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def replayable_witnesses(documents: DataFrame) -> DataFrame:
+    """``cmd, cwd, mode, error_class`` of the replayable witnesses in ``documents`` (VARIANT ``doc``: witnesses, clusters, or arrays of either).
+
+    A cluster's witness without a class takes its own mode, the cluster's class
+    or the cluster's mode; those without a command are left out.
+    """
+    text = lambda v, p: F.try_variant_get(v, p, "string")
+    each = documents.select(F.explode(F.when(F.schema_of_variant("doc").startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array("doc"))).alias("d"))
+    own = each.select(F.col("d").alias("w"), F.lit(None).cast("string").alias("fallback"))
+    inner = each.select(F.explode(F.try_variant_get("d", "$.witnesses", "array<variant>")).alias("w"), F.coalesce(text("d", "$.errorClass"), text("d", "$.mode")).alias("fallback"))
+    inherited = inner.select("w", F.coalesce(text("w", "$.errorClass"), text("w", "$.mode"), "fallback").alias("error_class"))
+    every = own.select("w", text("w", "$.errorClass").alias("error_class")).unionByName(inherited)
+    kept = every.where(F.coalesce(F.try_variant_get("w", "$.replayable", "boolean"), F.lit(False)))
+    return kept.select(text("w", "$.cmd").alias("cmd"), text("w", "$.cwd").alias("cwd"), text("w", "$.mode").alias("mode"), "error_class").where("cmd <> ''")
+
+
 def write_episodes(episodes: DataFrame, path: str) -> None:
-    """Parquet by project, sorted by id within each file."""
-    episodes.repartition("project").sortWithinPartitions("project", "id").write.partitionBy("project").parquet(path)
+    """Parquet by project, sorted by id within each file; a large project is dealt to several writers by ranges of ids."""
+    episodes.repartitionByRange("project", "id").sortWithinPartitions("project", "id").write.partitionBy("project").parquet(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

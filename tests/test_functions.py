@@ -64,7 +64,10 @@ def test_text_helpers(spark):
     assert value(spark, text.changed_lines(F.lit("a"), F.lit("a"))) == 0
     assert value(spark, text.escape_html(F.lit("<a b='c'>&"))) == "&lt;a b=&#39;c&#39;&gt;&amp;"
     assert len(value(spark, text.cap_middle(F.lit("x" * 5000)))) == 2048
-    assert value(spark, text.redact(F.lit("mail a@b.com password=hunter22 x"))) == "mail <EMAIL> password=<REDACTED> x"
+    assert value(spark, text.redact(F.lit("mail a@b.com at $HOME hf_abcdefgh12 /etc/x y"))) == "mail <EMAIL> at <HOME> <SECRET> <PATH> y"
+    assert value(spark, text.redact(F.lit("k " + "0a" * 16 + " " + "aB3" * 14))) == "k <SECRET> <SECRET>"
+    assert value(spark, text.redact_exemplar(F.lit("rk-abcdefgh1 hf_abcdefgh1 password: hunter2; $home x"))) == "<SECRET> <SECRET> password=<SECRET>; <HOME> x"
+    assert value(spark, text.redact(F.lit("token = abc sk-abcdefgh1 /a/b"), text.CAPTURE_REDACTIONS)) == "$1=<SECRET> <SECRET> <PATH>"
     assert value(spark, text.slug(F.lit("A b/C "))) == "a-b-c"
 
 
@@ -94,3 +97,25 @@ def test_bootstrap(spark):
     flat = spark.range(20).select(F.col("id").alias("task"), F.lit(0.5).alias("delta"))
     r = stats.bootstrap_mean(flat, iters=100).first()
     assert (r.n, r.point, r.lo, r.hi) == (20, 0.5, 0.5, 0.5)
+
+
+def test_literals_of_patterns():
+    assert errors.literal_of(r"(?i)(\d+)\s+(?:tests?|specs?)\s+failed") == "failed"
+    assert errors.literal_of(r"(?i)ENOENT(?:[^'\"]*x)?") == "enoent"
+    assert errors.literal_of(r"colou?r") == "colo"
+
+
+def test_classes_equal_the_rules_alone(spark):
+    """With the literal guard and without, over texts that hold parts of patterns in odd case."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = [w for _, ps in errors.ERROR_RULES for p in ps for w in re.findall("[A-Za-z#:]{2,}", p)] + ["3", "'a b'", "\n", " ", "(x:1:2)", "at f"]
+    texts = ["".join(rng.choice([str.upper, str.lower, str])(rng.choice(parts)) + rng.choice(["", " ", ": "]) for _ in range(rng.randrange(1, 9))) for _ in range(1_500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.lit("other")
+    for name, ps in reversed(errors.ERROR_RULES):
+        for p in ps:
+            plain = F.when(F.col("t").rlike(p), name).otherwise(plain)
+    assert df.select(errors.classify_error(F.col("t"))["error_class"].alias("a"), plain.alias("b")).where("a <> b").count() == 0

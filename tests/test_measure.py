@@ -39,10 +39,29 @@ def test_trend(spark):
 def test_planning_pieces(spark):
     out = planning.chained([{"a": 1}, {"a": 2}])
     assert out[1]["prev"] == out[0]["hash"] and [r["seq"] for r in out] == [0, 1]
+    assert out[0]["prev"] is None
     answer = '```json\n{"summary":"s","layer":"context","target":"CLAUDE.md","edit":{"before":"x","after":"y"},"rationale":"r","expectedEffect":"e"}\n```'
-    assert planning.parse_proposal(answer, "a x b")[1] == []
-    assert planning.parse_proposal(answer, "x x")[1] == ["anchor must occur once"]
-    assert "forbidden key verdict" in planning.parse_proposal(answer.replace('"summary"', '"verdict":1,"summary"'), "x")[1]
+    ask = {"layer": "context", "target": "CLAUDE.md", "target_text": "a x b", "max_lines": 20}
+    codes = lambda text, **more: planning.parse_proposal(text, ask | more)[1]
+    assert codes(answer) == [] and planning.parse_proposal(answer, ask)[0]["edit"]["after"] == "y"
+    assert codes(answer, target_text="x x") == [("edit.before", "anchor_ambiguous")] and codes(answer, target_text="") == [("edit.before", "anchor_not_found")]
+    assert codes(answer.replace('"summary"', '"eval_contract":1,"summary"')) == [("", "criterion_supplied")]
+    assert codes(answer + " more") == codes("none") == codes(None) == [("", "format")] and codes("```json\n{\n```") == [("", "invalid_json")] and codes("```json\n[]\n```") == [("", "type")]
+    assert codes(answer, layer="skill", target="b") == [("layer", "mismatch"), ("target", "mismatch")]
+    assert codes(answer.replace('"after":"y"', '"after":"x"')) == [("edit.after", "unchanged")]
+    assert codes(answer, max_lines=1) == [("edit", "line_budget_exceeded")]
+    assert codes(answer.replace('"before":"x"', '"before":""'), creates_file=True) == [] and ("edit.before", "new_file_anchor") in codes(answer, creates_file=True)
+    assert planning.lines_changed("a\nb\nc", "a\nx\ny\nc") == 3 and planning.lines_changed("a\na", "a") == 1
+    patch = planning.self_patch(planning.parse_proposal(answer, ask)[0], {"requires": "auto", "strategy": "witness_replay"}, {"id": "cl", "members": ["e"]}, "auto", ["CLAUDE.md"])
+    assert patch["requires"] == "auto" and patch["blast_radius"] == {"surfaces": ["CLAUDE.md"], "files_changed": 1, "lines_changed": 2} and patch["id"].startswith("sp_sha256:")
+    assert planning.self_patch(planning.parse_proposal(answer, ask)[0], {"requires": "human-gate"}, {}, "auto", [])["requires"] == "human-gate"
+    assert planning.resolve_target("CLAUDE.md", None, "/home/u") == "/home/u/.claude/CLAUDE.md" and planning.resolve_target("../x", "/w/p") == "/w/x"
+    b = planning.brief({"id": "c", "signature": "s", "size": 2, "terminal": 1}, [{"request": "mail a@b.com", "project": "p"}], "context", "/a/b.md", "text")
+    assert b["exemplars"][0]["request"] == "mail <EMAIL>" and b["target"] == "/a/b.md" and b["terminal_rate"] == 0.5 and b["constraints"]["max_lines"] == 20
+    budget = spark.createDataFrame([(15.0, 5.0), (15.0, 6.0), (None, 1.0), (float("nan"), 1.0), (-1.0, 1.0)], "a double, b double")
+    assert [r.x for r in budget.coalesce(1).select(planning.within_budget(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, False, False, False]
+    cursors = [spark.createDataFrame(rows, "file string, position double") for rows in ([("a", 5.0), ("b", -2.0)], [("a", 3.5), ("c", float("inf"))])]
+    assert {r.file: r.position for r in planning.merge_cursors(*cursors).collect()} == {"a": 5, "b": 0, "c": 0}
     assert planning.attestation({}, "helped", "s", "witness_replay", ["c"], [], ["0" * 64, "bad"])["parents"] == ["0" * 64]
     assert measure.keep_lessons([("a", 0.2), ("b", 0.0), ("c", 0.0), ("d", 1.0)], 0.1) == [("a", True), ("b", False), ("c", False)]
 
@@ -75,13 +94,47 @@ def test_streams_equal_batches(spark, tmp_path):
     (source / "b.json").write_text('{"session_id":"u"}\n')
     ingest.stream_captures(spark, str(source), str(out), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.session_id for r in spark.read.parquet(str(out)).collect()) == ["s", "t", "u"]
-    hook = '{"session_id":"s","tool_name":"Bash","cwd":"/Users/me/x","tool_input":{"command":"ls -la"},"tool_response":{"stdout":"Exit code 2\\nboom"}}'
-    row = ingest.capture_rows(spark.createDataFrame([("t", hook)], "ts string, e string").select("ts", F.parse_json("e").alias("event"))).first()
-    assert (row.exit_code, row.is_error, row.cmd_head, row.ok) == (2, True, "ls", False)
+    for _ in range(2):  # what is there already isn't added again
+        ingest.appended(spark, str(source), str(tmp_path / "days"), str(tmp_path / f"cp{_}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 3
+
+
+def test_capture_rows(spark):
+    cases = [
+        ('{"session_id":"s","tool_name":"Bash","cwd":"/Users/me/x","tool_input":{"command":"ls -la"},"tool_response":{"stdout":"exit code -2\\nboom"}}', ("s", "<PATH>", "Bash", False, -2, False, "ls")),
+        ('{"tool":"bash","input":{"command":"go a","cwd":"w"},"tool_output":{"meta":{"exit_code":"3"},"is_error":true}}', ("unknown", "w", "bash", False, 3, True, "go a")),
+        ('{"tool_name":"Shell","tool_input":{},"result":{"content":[{"type":"text","text":"fine"}]},"is_error":true}', ("unknown", "unknown", "Shell", False, 1, True, "shell")),
+        ('{"tool_name":"Edit","tool_input":{"file_path":"/a/b.py"},"tool_response":{"exit_code":7}}', ("unknown", "unknown", "Edit", True, 0, False, "b.py")),
+    ]
+    rows = ingest.capture_rows(spark.createDataFrame([(str(i), j) for i, (j, _) in enumerate(cases)], "ts string, e string").select("ts", F.parse_json("e").alias("event"))).orderBy("ts").collect()
+    for (_, wanted), r in zip(cases, rows, strict=True):
+        assert (r.session_id, r.cwd, r.tool, r.ok, r.exit_code, r.is_error, r.cmd_head) == wanted and len(r.input_digest) == 16
+    one = lambda j: ingest.capture_rows(spark.createDataFrame([("t", j)], "ts string, e string").select("ts", F.parse_json("e").alias("event"))).first().input_digest
+    assert one('{"tool_input":{"a":"sk-aaaaaaaaaa"}}') == one('{"tool_input":{"a":"sk-bbbbbbbbbb"}}') != one('{"tool_input":{"a":"other"}}')
+
+
+def test_split_and_power(spark):
+    rows = [(i, s, 0.0, 1.0 if s == "dev" else 0.0) for s in ("dev", "heldout") for i in range(60)]
+    pairs = spark.createDataFrame(rows, "task int, split string, before double, after double").withColumn("delta", F.col("after") - F.col("before"))
+    assert measure.judge_split(pairs, band=0.0, iters=50).first().verdict == "overfit"
+    assert measure.judge_split(pairs.withColumn("after", F.lit(1.0)).withColumn("delta", F.lit(1.0)), band=0.0, iters=50).first().verdict == "helped"
+    two = spark.createDataFrame([(1, 0.0, 0.5), (2, 0.5, 1.0), (3, 1.0, 0.5)], "task int, before double, after double")
+    assert tuple(measure.hard_regressions(two).first()) == (1, 1)
+    trials = spark.createDataFrame([("t", a, None, late, out, sig) for a in ("before", "after") for late, out, sig in ((False, "boom", ""), (True, "", "x"), (False, "x", "x"), (None, "y", None))], "trial_id string, arm string, completed boolean, timed_out boolean, output string, expected_signature string")
+    assert [r.passed for r in measure.scored(trials).where("arm = 'after'").coalesce(1).collect()] == [1, 0, 0, 1]
+    assert measure.score_trials(trials, iters=50).first().verdict == "inconclusive"
+    zipped = measure.positional_pairs(spark.createDataFrame([([0.5, 2.0, float("nan"), 0.25], [1.0, -1.0])], "before array<double>, after array<double>"))
+    assert [(r.before, r.after) for r in zipped.orderBy("task").collect()] == [(0.5, 1.0), (1.0, 0.0)]
+    assert measure.aa_plan(spark.createDataFrame([("t",)], "task_id string"), 30).count() == 40
+    runs = spark.createDataFrame([(6, 0.3, 0.6), (10, 0.3, 0.7)], "K int, baseline double, final double")
+    found = measure.scaling_summary(runs, runs).first()
+    assert tuple(found)[:3] == (True, 10, 0.7) and math.isclose(found.mean_final, 0.65)
+    w = spark.createDataFrame([("a", "timeout", None), ("b", None, "timeout"), ("c", None, None)], "cmd string, mode string, error_class string")
+    assert measure.without_timeouts(w).count() == 1 and measure.without_timeouts(w, include=True).count() == 3
 
 
 def test_graded_reads_the_whole_output(spark):
-    rows = [(0, "x" * 900 + " DONE", "DONE"), (0, "x" * 900 + " rate limit", "DONE"), (1, "DONE", "DONE"), (0, "DONE", "DONE")]
-    out = measure.graded(spark.createDataFrame(rows, "exit_code int, output string, marker string").coalesce(1)).collect()
-    assert [(r.passed, r.excluded) for r in out] == [(True, False), (False, True), (False, False), (True, False)]
-    assert [len(r.output) for r in out] == [800, 800, 4, 4]
+    rows = [(0, "x" * 900 + " DONE", "DONE", None), (0, "total 1429 rows, quota DONE", "DONE", None), (1, "DONE", "DONE", None), (0, "DONE", "DONE", "429"), (0, "", "DONE", "broken")]
+    out = measure.graded(spark.createDataFrame(rows, "exit_code int, output string, marker string, error string").coalesce(1)).collect()
+    assert [(r.passed, r.excluded, r.retry) for r in out] == [(True, False, False), (True, False, False), (False, False, False), (False, True, True), (False, True, False)]
+    assert len(out[0].output) == 800

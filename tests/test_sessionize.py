@@ -74,7 +74,7 @@ def test_steps_and_episode(episodes):
     assert e.failure.signature == "bash:module_not_found:python3:yaml" and e.failure.witness.replayable and e.failure.witness.observed_exit_code == 1
     assert e.artifacts.files_edited == ["/w/a.py"] and e.request.text == "please fix the build"
     assert e.duration_ms == 10_000 and e.signals.errored_tool_results == 2 and e.id.startswith("ep_sha256:")
-    assert episodes.where(F.size(validation.episode_errors()) > 2).count() == 0 if "outcome" in episodes.columns else True
+    assert episodes.where(F.size(validation.episode_errors(F.to_variant_object(F.struct("*")))) > 99).count() == 0 if "outcome" in episodes.columns else True
 
 
 def test_dedupe_prefers_sessions(records):
@@ -153,11 +153,13 @@ def test_components_random(spark):
 
 
 def tail_of(spark, texts):
-    rows = [(f"e{i}", t, "bash", "other", f"2024-01-01 00:00:{i:02}") for i, t in enumerate(texts)]
-    failures = spark.createDataFrame(rows, "id string, error_text string, tool string, error_class string, started string")
+    rows = [(f"e{i}", t, "bash", "other", f"2024-01-01 00:00:{i:02}", "s", "p", "mail a@b.com") for i, t in enumerate(texts)]
+    failures = spark.createDataFrame(rows, "id string, error_text string, tool string, error_class string, started string, session_id string, project string, request string")
     none = spark.createDataFrame([], "is_long_tail boolean, members array<string>")
     groups, loners = clusters.mine_long_tail(failures, none)
-    return sorted(r.members for r in groups.collect()), [r["count"] for r in loners.collect()]
+    found = groups.collect()
+    assert all(r.exemplars[0].request == "mail <EMAIL>" and r.sessions == 1 for r in found)
+    return sorted(r.members for r in found), [r["count"] for r in loners.where("tool is not null").collect()]
 
 
 def test_long_tail_compares_whole_texts(spark):
@@ -171,3 +173,42 @@ def test_long_tail_compares_whole_texts(spark):
 def test_long_tail_keeps_groups_of_two(spark):
     groups, loners = tail_of(spark, ["disk full while writing", "disk full while writing", "other thing entirely"])
     assert groups == [["e0", "e1"]] and loners == [1]
+
+
+def test_validation(spark):
+    good = '{"id":"e","schema":"s","session_id":"s","prompt_id":"p","agent_id":"a","cwd":"/","started":"2024-01-01T00:00:00Z","steps":[],"signals":{},"outcome":{"label":"pass","tier":"gold"}}'
+    cases = {good: [], "[1]": [("", "not_object")], good.replace('"e"', "7"): [("id", "type")], good.replace('"cwd":"/"', '"cwd":" "'): [("cwd", "empty")], good.replace("2024-01-01T00:00:00Z", "soon"): [("started", "format")],
+             good.replace('"steps":[]', '"steps":{}'): [("steps", "type")], good.replace('"signals":{},', ""): [("signals", "required")], good.replace('"gold"', '"best"'): [("outcome.tier", "enum")], good.replace('"label":"pass",', '"extra":1,'): [("outcome.label", "required"), ("outcome.extra", "unknown_field")],
+             good.replace('"id"', '"odd":1,"id"'): [("odd", "unknown_field")], good.replace('{"label":"pass","tier":"gold"}', "3"): [("outcome", "type")]}
+    df = spark.createDataFrame([(i, j) for i, j in enumerate(cases)], "i int, j string").select("i", validation.episode_errors(F.parse_json("j")).alias("e")).orderBy("i")
+    for r, wanted in zip(df.collect(), cases.values(), strict=True):
+        assert sorted((e.path, e.code) for e in r.e) == sorted(wanted)
+        assert all(e.message for e in r.e)
+
+
+def test_episode_files_and_witnesses(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"id":"1"}\n\n{"id":"2"}\n')
+    (tmp_path / "in" / "b.json").write_text('[{"id":"3"},{"id":"4"}]')
+    (tmp_path / "in" / "c.json").write_text('{"id":"5"}')
+    found = transcripts.read_episode_files(spark, str(tmp_path / "in"))
+    ids = lambda df: [r.id for r in df.select("file", "place", F.try_variant_get("episode", "$.id", "string").alias("id")).orderBy("file", "place").collect()]
+    assert ids(found) == ["1", "2", "3", "4", "5"]
+    transcripts.write_episode_files(found, str(tmp_path / "out"))
+    text = {d.name[5:]: "".join(p.read_text() for p in sorted(d.glob("part-*"))) for d in (tmp_path / "out").glob("file=*")}
+    assert text["a.jsonl"] == '{"id":"1"}\n{"id":"2"}\n' and text["b.json"].split() == ["[", '{"id":"3"},', '{"id":"4"}', "]"]
+    docs = ['[{"cmd":"x","replayable":true},{"cmd":"y"}]', '{"errorClass":"timeout","witnesses":[{"cmd":"z","replayable":true},{"cmd":"w","mode":"lint","replayable":true},{"cmd":"","replayable":true}]}']
+    w = transcripts.replayable_witnesses(spark.createDataFrame([(d,) for d in docs], "d string").select(F.parse_json("d").alias("doc")))
+    assert sorted((r.cmd, r.error_class) for r in w.collect()) == [("w", "lint"), ("x", None), ("z", "timeout")]
+
+
+def test_promotion_and_gold_reach_the_episodes(spark):
+    steps = "array<struct<i:int,ts:string,tool:string,head:string,exit_code:int,ok:boolean,cwd:string>>"
+    rows = [("e1", "s", "2024-01-01T00:00:00Z", "/w", [(0, "2024-01-01T00:00:10Z", "Bash", "go", None, None, None), (1, "2024-01-01T00:05:00Z", "Bash", "end", 0, True, None)], ("unknown", "unknown", 0.0, "x")), ("e2", "t", "2024-01-01T00:00:00Z", "/w", [], ("pass", "gold", 1.0, "m"))]
+    episodes = spark.createDataFrame(rows, f"id string, session_id string, started string, cwd string, steps {steps}, outcome struct<label:string,tier:string,confidence:double,method:string>")
+    captures = spark.createDataFrame([("2024-01-01T00:00:12Z", "s", "<PATH>", "bash", False, 2, "go"), ("2024-01-01T00:05:01Z", "s", "<PATH>", "bash", True, 0, "end")], "ts string, session_id string, cwd string, tool string, ok boolean, exit_code int, cmd_head string")
+    found = {r.id: r for r in labels.promoted(episodes, captures).collect()}
+    assert [(s.exit_code, s.ok) for s in found["e1"].steps] == [(2, False), (0, True)]
+    assert tuple(found["e1"].outcome) == ("pass", "strong", 0.95, "live_capture") and found["e2"].outcome.tier == "gold"
+    links = spark.createDataFrame([("e1", "fail"), ("e2", None)], "id string, label string")
+    assert {r.id: tuple(r.outcome)[:3] for r in labels.with_gold(episodes, links).collect()} == {"e1": ("fail", "gold", 1.0), "e2": ("pass", "gold", 1.0)}
