@@ -560,7 +560,7 @@ def test_token_files(spark, docs, rows, monkeypatch):
 
 
 def test_tool_calls(spark):
-    call = json.dumps({"tool_calls": [{"id": "c1", "name": "find", "arguments": {"q": "x", "n": "3"}}, {"id": "c2", "name": "find", "arguments": {"n": "x", "zzz": "1"}}, {"id": "c9", "name": "nope", "arguments": {}}]})
+    call = json.dumps({"tool_calls": [{"id": "c1", "name": "find", "arguments": {"q": "x", "n": 3}}, {"id": "c2", "name": "find", "arguments": {"n": "x", "zzz": "1"}}, {"id": "c9", "name": "nope", "arguments": {}}]})
     rows = [(1, 0, "system", "rules"), (1, 1, "user", "hi"), (1, 2, "assistant", call), (1, 3, "tool", json.dumps({"tool_call_id": "c1", "content": "found"})), (1, 4, "tool", json.dumps({"tool_call_id": "lost", "content": "?"})), (1, 4, "tool", json.dumps({"tool_call_id": "c1", "content": "again"})), (2, 0, "user", ""), (2, 1, "assistant", "ok"), (2, 1, "assistant", "ok"), (None, 5, "user", "x"), (3, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("call_id", F.lit("clash")).withColumn("level", F.lit(1))
     schemas = tool_calls.REPLY | {"find": {"q": {"type": "string", "required": True}, "n": {"type": "integer"}}}
@@ -574,6 +574,31 @@ def test_tool_calls(spark):
     assert of[(2, 1, "2:turn-0", "result", "ok")].copies == 2 and of[(2, 0, "2:turn-0", "call", None)].errors == "short text"
     assert of[(2, 0, "2:turn-0", "call", None)].record == '{"arguments":{"text":""},"id":"2:turn-0","kind":"call","linked":true,"role":"user","tool":"reply","turn":0}'
     assert len(out) == 12 and tool_calls.linked_events(df.limit(0)).count() == 0
+    assert sorted(r.position for r in out) == list(range(12))
+
+
+def test_tool_call_arguments_keep_types(spark):
+    """Types, nested values, arguments in strings, white space, repeated keys and hot identifiers."""
+    one = lambda arguments: ' \n{"tool_calls":[{"id":"c","name":"f","arguments":' + arguments + "}]}"
+    cases = [
+        ('{"n":5,"b":{"z":1,"a":[1,"1",null]}}', "", '{"b":{"a":[1,"1",null],"z":1},"n":5}'), ('{"n":"5"}', "type n", '{"n":"5"}'), ('{"n":5.5}', "type n", '{"n":5.5}'), ('{"n":1,"x":"no","y":true}', "type x", '{"n":1,"x":"no","y":true}'),
+        ('{"n":null}', "missing n", '{"n":null}'), ('"{\\"n\\": 7}"', "", '{"n":7}'), ('"not json"', "not an object", None), ("[1]", "not an object", "[1]"), ('{"n":1,"o":1}', "unknown o", '{"n":1,"o":1}'),
+    ]
+    schemas = {"f": {"n": {"type": "integer", "required": True}, "b": {"type": "object"}, "x": {"type": "number"}, "y": {"type": "boolean"}}}
+    rows = [(i, 0, "assistant", one(a)) for i, (a, _, _) in enumerate(cases)]
+    rows += [(100, 0, "assistant", '{"tool_calls":[{"id":"c","type":"function","function":{"name":"f","arguments":"{\\"n\\":1}"}}]}'), (101, 0, "assistant", one('{"n":1,"n":2}'))]
+    rows += [(200, 0, "assistant", one('{"n":1}'))] + [(200, 1, "tool", json.dumps({"tool_call_id": "c", "content": {"k": i}})) for i in range(300)] + [(None, None, "system", f"{i}") for i in range(300)]
+    out = tool_calls.linked_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()
+    of = {r.conv_id: r for r in out if r.kind == "call"}
+    for i, (_, errors, canonical) in enumerate(cases):
+        assert of[i].errors == errors, i
+        assert (f'"arguments":{canonical},' in of[i].record) if canonical else "arguments" not in of[i].record
+    assert of[100].errors == "" and '"arguments":{"n":1}' in of[100].record
+    assert [r.kind for r in out if r.conv_id == 101] == ["result"]  # JSON that repeats a key is plain text
+    tools = [r for r in out if r.conv_id == 200 and r.role == "tool"]
+    assert sum(r.linked for r in tools) == 1 and all(r.level == 1 for r in tools) and json.loads(min(r.record for r in tools if r.linked))["content"] == '{"k":0}'
+    place = {(r.conv_id, r.level): r.position for r in out}
+    assert place[200, 0] < min(r.position for r in tools) and sorted(r.position for r in out) == list(range(len(out)))
 
 
 def test_levels(spark):
