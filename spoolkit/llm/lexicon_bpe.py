@@ -22,6 +22,7 @@ import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -97,26 +98,36 @@ class Vocabulary:
         self.byte_ids = np.array(self.of_byte, np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        ids, merges = [self.of_byte[b] for b in piece], self.merges
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, pair = found, (ids[i], ids[i + 1])
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        """Ids of a piece: the lowest-ranked adjacent pair, leftmost first, until none is left.
+
+        A heap holds the pairs that can merge, and links skip what has been merged,
+        so a piece of n bytes takes n log n steps.
+        """
+        ids = [self.of_byte[b] for b in piece]
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (found := self.merges.get((ids[i], ids[j]))):
+                heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, left, right, new = heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # one of the two has merged since
+            ids[i], ids[j] = new, -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x in ids if x >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit integers; words of one length are merged in step."""

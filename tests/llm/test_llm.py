@@ -626,3 +626,13 @@ def test_pipeline(spark, tmp_path):
     assert ids == {i for i, (_, c) in brute.items() if i == c}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in packed} == ids
+
+
+def test_merging_a_long_piece():
+    """An unbroken megabyte-like piece takes time in proportion (nearly), and equals the library."""
+    v = lexicon_bpe.Vocabulary(open(BYTES).read())
+    rng = random.Random(6)
+    library = Tokenizer.from_file(BYTES)
+    for n in (1, 2, 50, 5_000, 200_000):
+        piece = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        assert v.merge(piece.encode()) == library.encode(piece, add_special_tokens=False).ids
