@@ -3,12 +3,13 @@
 Sizes fall into bands whose ends differ by the similarity's ratio, so similar
 sets lie in one band or in neighbouring ones, and each set signs for its own
 band and the next.  Similar sets of a band differ in at most k elements.  The
-feature domain is dealt into k + 1 + s parts; at most k of them can differ, so
-similar sets agree in at least s + 1 parts.  A signature is the projection of
-the set on one part (subsets of n2 = 1 part are enough here, as each has
-several elements).  Empty projections say little: a set with at most s empty
-parts doesn't sign with them, and as similar sets agree in s + 1 parts, one
-full part is still shared.  Only sets with more empty parts sign with all.
+feature domain is dealt into k // 2 + 1 + s parts, so at least s + 1 of them
+hold at most one differing element.  Each part is dealt into three again, and
+every subset of two of the three signs: the one that leaves the differing
+element out is equal in both sets.  A signature is the projection of the set on
+such a subset.  Empty projections say little: a set with at most s parts that
+have one doesn't sign with them, and as similar sets agree in s + 1 parts, a
+full projection is still shared.  Only sets with more such parts sign with all.
 
 Equal sets share one 64-bit name from the start.  Sets that share a signature
 are compared in rounds so that large groups of near copies cost no pairs:
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spoolkit.llm.batches import bounded_batches, texts_of
 from spoolkit.llm.shingles import mix, set_hash, shingle_set
@@ -60,9 +62,10 @@ def bands(percent: int) -> tuple[tuple[int, int, int, int], ...]:
         k = 2 * high * (100 - percent) // (100 + percent)
         s = 0
         if k:
-            for _ in range(8):  # as many as leave few sets with more empty parts than that
-                empty = (k + 1 + s) * math.exp(-low / (k + 1 + s))
-                s = min(2 * k, math.ceil(empty + 2.5 * math.sqrt(empty)))
+            for _ in range(8):  # as many as leave few sets with more parts with an empty projection than that
+                parts = k // 2 + 1 + s
+                empty = parts * min(1.0, 3 * math.exp(-2 * low / (3 * parts)))
+                s = min(k, math.ceil(empty + 2.5 * math.sqrt(empty)))
         out.append((low, high, k, s))
         low = high + 1
     return tuple(out)
@@ -83,13 +86,20 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     mixed, dealt = mix(elements), mix(elements + _U(77))
     for band in (own, own + 1):
         k, s = bands(percent)[band][2:]
-        parts = k + 1 + s
-        part = (dealt % _U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        held, first = np.unique(part[order], return_index=True)
-        sums = np.zeros(parts, np.uint64)
+        parts, thirds = (k // 2 + 1 + s, 3) if k else (1, 1)
+        slots = parts * thirds
+        slot = (dealt % _U(slots)).astype(np.min_scalar_type(slots))
+        order = np.argsort(slot, kind="stable")
+        held, first = np.unique(slot[order], return_index=True)
+        sums, counts = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
         sums[held] = np.add.reduceat(mixed[order], first)
-        which = held if parts - len(held) <= s else np.arange(parts)
+        counts[held] = np.diff(first, append=len(elements))
+        if thirds > 1:  # each subset of two is a part without one of its thirds
+            sums = (sums.reshape(parts, 3).sum(axis=1, dtype=np.uint64)[:, None] - sums.reshape(parts, 3)).ravel()
+            counts = (counts.reshape(parts, 3).sum(axis=1)[:, None] - counts.reshape(parts, 3)).ravel()
+        full = counts > 0
+        bare = int((~full).reshape(parts, thirds).any(axis=1).sum())
+        which = np.flatnonzero(full) if bare <= s else np.arange(slots)
         out.append(mix(sums[which] + mix(which.astype(np.uint64) + _U(band << 32))))
     return np.concatenate(out).view(np.int64)
 
@@ -278,16 +288,8 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataF
     return tiles.repartition("low", "x", "y").sortWithinPartitions("low", "x", "y", "name").mapInArrow(work, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text).
-
-    Two documents are linked when 100 * intersection >= ``percent`` * union of
-    their sets of ``width``-word shingles; a component is named by its
-    smallest doc_id.  A null or wordless text has an empty set and is linked
-    with nothing.  A row with a null doc_id is linked with nothing and has a
-    null component.  Rows with the same id and different texts share a
-    component.  An empty table gives no rows; other columns are ignored.
-    """
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, name, sketch of every row; doc_id, name, component of the rows with an id and words)."""
     bounded_batches(docs.sparkSession)
     every = stored(_sets(docs, width, percent), "documents")
     full = every.where("n > 0 and doc_id is not null")
@@ -313,7 +315,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             links = links.unionByName(new)
             labels = stored(connected_components(links, "a", "b").withColumnRenamed("vertex", "name"), "labels")
 
-    named = full.select("doc_id", "name").join(labels, "name", "left").select("doc_id", F.coalesce("component", "name").alias("component"))
+    return every, full.select("doc_id", "name").join(labels, "name", "left").select("doc_id", "name", F.coalesce("component", "name").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text).
+
+    Two documents are linked when 100 * intersection >= ``percent`` * union of
+    their sets of ``width``-word shingles; a component is named by its
+    smallest doc_id.  A null or wordless text has an empty set and is linked
+    with nothing.  A row with a null doc_id is linked with nothing and has a
+    null component.  Rows with the same id and different texts share a
+    component.  An empty table gives no rows; other columns are ignored.
+    """
+    every, named = _classes(docs, width, percent)
     heads = named.groupBy("component").agg(F.min("doc_id").alias("head"))
     of_id = stored(named.join(heads, "component").select("doc_id", "head").distinct(), "heads")
     again = of_id.groupBy("doc_id").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("low", "high")
@@ -323,17 +338,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return every.join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("head", "doc_id").alias("component_id"))
 
 
+def _named(docs: DataFrame, column: str, width: int) -> DataFrame:
+    """``docs`` with the name of each text's set, 0 without words, in ``column``."""
+    at, names = docs.columns.index("text"), [*docs.columns, column]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([set_hash(shingle_set(t, width)) for t in texts_of(batch.column(at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
+
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(column, LongType())]))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id.
+    """``docs`` with one row of each group of linked texts: that of its smallest doc_id.
 
-    Rows without an id stay.  Of several rows with one id, one stays.
+    Rows without an id and texts without words are linked with nothing and
+    stay.  Rows of one id with different texts are texts of their own, each
+    kept or not by its own group; of rows of one id whose texts have equal sets
+    one stays.  An empty table gives no rows; all columns are kept as they are.
     """
-    found = stored(jaccard_components(docs, width, percent), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = stored(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    every, named = _classes(docs, width, percent)
+    named = stored(named, "named")
+    heads = named.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("head")).select("component", "head.doc_id", "head.name")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = stored(named.join(heads.select("component", F.col("doc_id").alias("head")), "component").where(F.col("doc_id") != F.col("head")).select("doc_id"), "gone")
+        if gone.count() <= BROADCAST_ROWS:
+            gone = F.broadcast(gone)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    column = next(f"set_{i}" for i in range(len(docs.columns) + 1) if f"set_{i}" not in {c.lower() for c in docs.columns})
+    marked = stored(_named(docs, column, width), "named")
+    free = (F.col(column) == 0) | F.col("doc_id").isNull()
+    kept = marked.where(~free).join(heads.select("doc_id", F.col("name").alias(column)), ["doc_id", column], "left_semi").dropDuplicates(["doc_id", column])
+    return kept.unionByName(marked.where(free)).select(*docs.columns)

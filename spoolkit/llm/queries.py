@@ -23,6 +23,26 @@ from spoolkit.llm.weak_quality import classify
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
+#: Components by reachability along ``sym`` (a, b), symmetric.
+_REACH = "reach AS (SELECT a AS v, a AS r FROM sym UNION SELECT reach.v, sym.b FROM reach JOIN sym ON sym.a = reach.r), components AS (SELECT v, min(r) AS c FROM reach GROUP BY v)"
+
+PARTENUM_SQL = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM words
+), sized AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sized x JOIN sized y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), {_REACH}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id) USING (doc_id) LEFT JOIN components ON v = doc_id"""
+
+EMBEDDING_SQL = f"""WITH RECURSIVE sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), sym AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9), {_REACH}
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM sym GROUP BY a) ON a = vec_id LEFT JOIN components ON v = vec_id"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL}
+    return {"op1_partenum_join": PARTENUM_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL}

@@ -150,8 +150,8 @@ def test_jaccard_edges(spark, docs):
     assert len(out) == 6 and {r.component_id for r in out if r.doc_id in (7, 9)} == {7}
     assert [r.component_id for r in out if r.doc_id is None] == [None]
     assert partenum_join.jaccard_components(docs.limit(0), 3, 90).count() == 0
-    kept = partenum_join.one_of_each(odd(spark))
-    assert kept.columns == odd(spark).columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 7, 8]
+    kept = partenum_join.one_of_each(odd(spark))  # the two texts of id 7 are unlike, so both stay
+    assert kept.columns == odd(spark).columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 7, 7, 8]
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
@@ -167,6 +167,30 @@ def test_signatures_lose_no_pair(percent):
             assert np.intersect1d(partenum_join.signatures(a, percent), partenum_join.signatures(b, percent)).size
 
 
+def test_signatures_enumerate_subsets():
+    """One differing element in a part leaves exactly the subset without its third; sets of a band share as many parts as are spared."""
+    a = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 30, dtype=np.uint64))
+    k = partenum_join.bands(90)[partenum_join.band_of(len(a), 90)][2]
+    assert k > 1
+    b = np.concatenate([a[1:], [np.uint64(5)]])
+    b.sort()
+    one, other = partenum_join.signatures(a, 90), partenum_join.signatures(b, 90)
+    assert len(np.unique(one)) == len(one) and 0 < np.intersect1d(one, other).size < len(one)
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    """Rows of one id with different texts are kept or not by their own groups."""
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "last"])
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (5, " ".join(other)), (6, " ".join(other)), (7, near), (3, near), (8, "alone " * 9), (5, None), (9, ""), (9, ""), (None, near)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, set_0 string").repartition(4)
+    kept = partenum_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id or -1), (r.text or "")[:2], (r.text or "")[-4:]) for r in kept.collect())
+    assert found == [(-1, "w0", "last"), (3, "w0", "last"), (5, "", ""), (5, "v0", " v59"), (8, "al", "one "), (9, "", ""), (9, "", "")]
+
+
 def test_word_hashes(rows):
     for t in rows.values():
         w = words_of(t)
