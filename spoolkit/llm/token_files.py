@@ -123,10 +123,12 @@ class Segment:
         return self.ids[self.offset(i) : self.ends.select(i)].astype("<u4")
 
     def rows(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        ends = self.ends.values().astype(np.int64)
-        names = [None] * self.nulls + [self.first + int(x) for x in self.doc_ids.values()]
-        for doc, a, b in zip(names, np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            yield doc, int(a), self.ids[a:b].astype("<u4")
+        at = 0
+        for i in range(self.docs):
+            end = self.ends.select(i)
+            doc = self.first + self.doc_ids.select(i - self.nulls) if i >= self.nulls else None
+            yield doc, at, self.ids[at:end].astype("<u4")
+            at = end
 
 
 def make_segment(docs: list[int | None], arrays: list[np.ndarray], width: int) -> bytes:
