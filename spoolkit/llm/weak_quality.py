@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from spoolkit.llm.batches import bounded_batches, texts_of
 from spoolkit.llm.shingles import mix, word_hashes
+from spoolkit.storage import stored
 
-#: Texts of each class on which the scorer is fitted, at most.
+#: Different texts of each class on which the scorer is fitted, at most.
 SAMPLE = 3_000
 #: Hashed features: pairs of bytes, then steps of measures.
 PAIR_SLOTS, STEP_SLOTS = 4_096, 1_024
@@ -180,7 +181,7 @@ def _patterns(docs: DataFrame) -> dict[tuple[int, ...], int]:
 
 
 def train(docs: DataFrame) -> tuple[LabelModel, Scorer]:
-    """The label model of all texts of ``docs`` (text), and the scorer fitted on at most ``SAMPLE`` texts of each class."""
+    """The label model of all texts of ``docs`` (text), and the scorer fitted on at most ``SAMPLE`` different texts of each class."""
     bounded_batches(docs.sparkSession)
     patterns = _patterns(docs)
     labels = LabelModel.fit(patterns)
@@ -191,21 +192,23 @@ def train(docs: DataFrame) -> tuple[LabelModel, Scorer]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for draw, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            for draw, copy, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                 m = measures(text)
                 p = labels.posterior(votes(m))
                 if draw < share[p >= 0.5]:
                     slots, weights = features(text, m)
-                    rows.append((draw, p, slots.astype("<i4").tobytes(), weights.astype("<f8").tobytes()))
+                    rows.append((draw, copy, p, slots.astype("<i4").tobytes(), weights.astype("<f8").tobytes()))
             if rows:
-                kinds = (pa.int64(), pa.float64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["draw", "p", "slots", "weights"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["draw", "copy", "p", "slots", "weights"])
 
-    draw = F.pmod(F.xxhash64("text"), F.lit(space)).alias("draw")
-    sampled = docs.select(draw, "text").where(F.col("draw") < max(share.values())).mapInArrow(work, "draw long, p double, slots binary, weights binary")
+    # texts are drawn by their hash, so copies are drawn together, and count once
+    whole = F.coalesce("text", F.lit(""))
+    draw = F.pmod(F.xxhash64(whole), F.lit(space)).alias("draw")
+    sampled = stored(docs.select(draw, F.xxhash64(whole, F.lit(1)).alias("copy"), "text").where(F.col("draw") < max(share.values())).mapInArrow(work, "draw long, copy long, p double, slots binary, weights binary").dropDuplicates(["draw", "copy"]), "sample")
     rows = []
     for good in (True, False):
-        part = sampled.where((F.col("p") >= 0.5) == F.lit(good)).limit(SAMPLE).collect() if share[good] else []
+        part = sampled.where((F.col("p") >= 0.5) == F.lit(good)).orderBy("draw", "copy").limit(SAMPLE).collect()
         rows += sorted(part, key=lambda r: (r.draw, bytes(r.slots)))
     scorer = Scorer()
     p = np.array([r.p for r in rows])

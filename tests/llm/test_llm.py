@@ -415,6 +415,25 @@ def test_quality(spark):
     assert weak_quality.classify(docs.limit(0)).count() == 0
 
 
+def test_quality_by_hand(spark):
+    """All votes, one fit on the different texts, and a score for each text, without Spark."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("aeionrst", k=rng.randrange(2, 8))) for _ in range(300)]
+    texts = [". ".join(" ".join(rng.choices(vocab, k=9)).capitalize() for _ in range(rng.randrange(3, 12))) + "." for _ in range(40)]
+    texts += [" ".join(w.upper() + "!!" for w in rng.choices(vocab, k=60)) for _ in range(12)] + [texts[0]] * 30 + [None, "", "One two three."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = [t or "" for t in texts]
+    labels = weak_quality.LabelModel.fit(Counter(weak_quality.votes(weak_quality.measures(t)) for t in held))
+    once = sorted(set(held))
+    p = np.array([labels.posterior(weak_quality.votes(weak_quality.measures(t))) for t in once])
+    scorer = weak_quality.Scorer()
+    scorer.fit([weak_quality.features(t, weak_quality.measures(t)) for t in once], p, np.where(p >= 0.5, 1 / (p >= 0.5).sum(), 1 / (p < 0.5).sum()))
+    want = {i: weak_quality.judge(t, labels, scorer) for i, t in enumerate(held)}
+    for r in weak_quality.classify(docs).collect():
+        posterior, score, n = want[r.doc_id]
+        assert (r.n_votes, r.posterior, r.score) == (n, pytest.approx(posterior), pytest.approx(score, abs=1e-6)) and r.kept == (score >= 0.5)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(4)
     y = rng.random(20_000) < 0.8
@@ -443,6 +462,20 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_base_secrets_by_hand(spark):
+    """The fixed patterns, matched anew on random texts."""
+    rng = random.Random(21)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", '"', "'", " ", "  ", ":", "=", "\n", "é", "AKIA", "AKIA" + "Z9" * 6, "AKIA" + "Q" * 30, "deadbeef" * 4, "0f" * 15, "abc123" * 3, "x", "hunter22", "+/_.=-", "Zz9" * 9]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 60))) for _ in range(300)] + [None, ""]
+    kinds = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in secret_scan.scan(docs).collect():
+        found = [[(m.start(), i, m.end(), k) for m in p.finditer(texts[r.doc_id] or "") if len(m[g]) >= n] for i, (k, p, g, n) in enumerate(kinds)]
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(x for xs in found for x in xs))
+        assert [r.n_assign, r.n_access, r.n_hex] == list(map(len, found)) and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+
+
 def test_secrets_within_runs(spark):
     rng = random.Random(11)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
