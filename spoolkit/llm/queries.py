@@ -14,6 +14,8 @@ from spoolkit.llm.block_max_search import search
 from spoolkit.llm.embedding_dedup import near_duplicates
 from spoolkit.llm.harmonic_packing import pack
 from spoolkit.llm.lexicon_bpe import encode_decode
+from spoolkit.llm.merkle_manifest import ORACLE_SQL as MERKLE_SQL
+from spoolkit.llm.merkle_manifest import document_manifest, proof_hash
 from spoolkit.llm.partenum_join import jaccard_components
 from spoolkit.llm.secret_scan import scan
 from spoolkit.llm.token_files import token_files
@@ -90,10 +92,15 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_events(table(spark, sf_dir, "conversations"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = document_manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_partenum_join": PARTENUM_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL}
+    return {"op1_partenum_join": PARTENUM_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL, "op13_merkle_manifest": MERKLE_SQL}
