@@ -21,6 +21,8 @@ from spoolkit.llm.secret_scan import scan
 from spoolkit.llm.token_files import token_files
 from spoolkit.llm.tool_calls import ORACLE_SQL as TOOL_CALLS_SQL
 from spoolkit.llm.tool_calls import linked_events
+from spoolkit.llm.turn_repair import ORACLE_SQL as REPAIR_SQL
+from spoolkit.llm.turn_repair import damaged, repair
 from spoolkit.llm.weak_quality import classify
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -92,15 +94,19 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_events(table(spark, sf_dir, "conversations"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_manifest(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls, op13_merkle_manifest)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls, op11_turn_repair, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_partenum_join": PARTENUM_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL, "op13_merkle_manifest": MERKLE_SQL}
+    return {"op1_partenum_join": PARTENUM_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op7_block_max_search": SEARCH_SQL, "op10_tool_calls": TOOL_CALLS_SQL, "op11_turn_repair": REPAIR_SQL, "op13_merkle_manifest": MERKLE_SQL}
