@@ -21,6 +21,7 @@ from spoolkit.llm.secret_scan import scan
 from spoolkit.llm.token_files import token_files
 from spoolkit.llm.tool_calls import ORACLE_SQL as TOOL_CALLS_SQL
 from spoolkit.llm.tool_calls import linked_events
+from spoolkit.llm.toxic_lexicon import toxicity
 from spoolkit.llm.turn_repair import ORACLE_SQL as REPAIR_SQL
 from spoolkit.llm.turn_repair import damaged, repair
 from spoolkit.llm.weak_quality import classify
@@ -98,13 +99,17 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = document_manifest(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls, op11_turn_repair, op13_merkle_manifest)
+    found = (op1_partenum_join, op2_embedding_dedup, op3_lexicon_bpe, op4_attention_lm, op5_weak_quality, op6_secret_scan, op7_block_max_search, op8_harmonic_packing, op9_token_files, op10_tool_calls, op11_turn_repair, op12_toxic_lexicon, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
