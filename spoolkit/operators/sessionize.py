@@ -29,6 +29,11 @@ def is_useful(kind: Column, body: Column, blocks: Column) -> Column:
     return F.exists(blocks, lambda b: F.coalesce(_of(b, "$.type") == "tool_use", F.lit(False))) | ((kind == "assistant") & (F.length(F.trim(F.coalesce(body, F.lit("")))) > 0))
 
 
+def orphans(session: Column) -> Column:
+    """The group of a session's records that belong to no prompt."""
+    return F.concat(F.lit("_orphan:"), F.coalesce(session, F.lit("unknown")))
+
+
 def prompt_groups(records: DataFrame, most: int = 5000) -> DataFrame:
     """``records`` with their ``group``, its ``truncated`` flag, and noisy or useless groups left out.
 
@@ -37,12 +42,17 @@ def prompt_groups(records: DataFrame, most: int = 5000) -> DataFrame:
     of a group are kept, in file order.
     """
     found = inherited(records, "file", "uuid", "parent_uuid", "prompt_id").withColumnRenamed("value", "resolved")
-    joined = records.join(found, ["file", "uuid"], "left").withColumn("group", F.coalesce("prompt_id", "resolved", F.concat(F.lit("_orphan:"), F.coalesce("session_id", F.lit("unknown")))))
+    joined = records.join(found, ["file", "uuid"], "left").withColumn("group", F.coalesce("prompt_id", "resolved", orphans(F.col("session_id"))))
+    return kept_groups(joined.drop("resolved"), most)
+
+
+def kept_groups(grouped: DataFrame, most: int = 5000) -> DataFrame:
+    """``grouped`` records with ``truncated``, at most ``most`` of a group, without noisy and useless groups."""
     group = W.partitionBy("file", "group")
-    numbered = joined.withColumn("nth", F.row_number().over(group.orderBy("pos")))
+    numbered = grouped.withColumn("nth", F.row_number().over(group.orderBy("pos")))
     kept = numbered.where(F.col("nth") <= most + 1).withColumn("truncated", F.max(F.col("nth") > most).over(group)).where(F.col("nth") <= most)
     noise, useful = is_noise(F.col("kind"), F.col("text"), F.col("is_meta")), is_useful(F.col("kind"), F.col("text"), F.col("blocks"))
-    return kept.withColumn("all_noise", F.bool_and(noise).over(group)).withColumn("any_useful", F.bool_or(useful).over(group)).where("any_useful and not all_noise").drop("all_noise", "any_useful", "resolved")
+    return kept.withColumn("all_noise", F.bool_and(noise).over(group)).withColumn("any_useful", F.bool_or(useful).over(group)).where("any_useful and not all_noise").drop("all_noise", "any_useful")
 
 
 def content_text(content: Column) -> Column:

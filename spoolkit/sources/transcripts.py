@@ -22,13 +22,25 @@ def path_parts(path: Column, root: str) -> dict[str, Column]:
     return {"project": F.when(F.size(below) > 1, F.element_at(below, 1)).otherwise("unknown"), "source_kind": kind, "agent_id": F.when((agent != "") & parent.startswith("wf_"), F.concat_ws("/", parent, agent)).when(agent != "", agent).otherwise("main")}
 
 
+#: A transcript that grows may come as chunks ``name.part-<number>.jsonl``, which are one file in the order of their numbers.
+CHUNK = r"[.]part-(\d+)[.]jsonl$"
+
+
+def whole_file(path: Column) -> Column:
+    return F.regexp_replace(path, CHUNK, ".jsonl")
+
+
+def chunk_of(path: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(path, CHUNK, 1), F.lit("")).try_cast("int"), F.lit(0))
+
+
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """``file, block, line_no, line, parsed, is_record``: every non-blank line of the .jsonl files below ``root``."""
+    """``file, chunk, block, line_no, line, parsed, is_record``: every non-blank line of the .jsonl files below ``root``; lines of a file are in order of chunk, block and line_no."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
     line = F.regexp_replace("value", "^﻿", "")
     parsed = F.try_parse_json("line")
     return (
-        lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), line.alias("line"))
+        lines.select(whole_file(F.col("_metadata.file_path")).alias("file"), chunk_of(F.col("_metadata.file_path")).alias("chunk"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), line.alias("line"))
         .where(F.trim("line") != "")
         .withColumn("parsed", parsed)
         .withColumn("is_record", F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False)))
@@ -41,13 +53,19 @@ def _text(v: Column, path: str) -> Column:
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """One row for each record; ``pos`` orders the records of a file."""
+    lines = read_lines(spark, root).where("is_record")
+    return records_of(lines.select("file", F.struct("chunk", "block", "line_no").alias("pos"), "parsed"), root)
+
+
+def records_of(lines: DataFrame, root: str, *others: str) -> DataFrame:
+    """Records of ``file, pos, parsed`` (VARIANT objects) below ``root``; ``others`` are columns that stay."""
     v = F.col("parsed")
     raw = F.coalesce(_text(v, "$.type"), _text(v, "$.message.role"))
     content = F.try_variant_get(v, "$.message.content", "variant")
     is_text = F.schema_of_variant(content) == "STRING"
     blocks = F.coalesce(F.when(~is_text, F.try_variant_get(content, "$", "array<variant>")), F.array().cast("array<variant>"))
-    kept = read_lines(spark, root).where("is_record").select(
-        "file", F.struct("block", "line_no").alias("pos"),
+    kept = lines.select(
+        "file", "pos", *others,
         _text(v, "$.uuid").alias("uuid"), _text(v, "$.parentUuid").alias("parent_uuid"), _text(v, "$.promptId").alias("prompt_id"),
         _text(v, "$.sessionId").alias("session_id"), F.when(raw.isin(*KINDS), raw).otherwise("other").alias("kind"),
         _text(v, "$.timestamp").alias("ts"), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
