@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spoolkit.functions.text import first_of
+from spoolkit.operators.scan import neighbours
+from spoolkit.storage import stored
 
 LABELS, TIERS = ("pass", "fail", "unknown"), ("gold", "strong", "weak", "unknown")
 # Requests that take the last answer back, and commands that verify.
@@ -169,14 +171,56 @@ def captured_cwd(cwd: Column) -> Column:
     return F.regexp_replace(F.coalesce(cwd, F.lit("")), r"(?:/[A-Za-z0-9_.@%+,:=~-]+)+", "<PATH>")
 
 
+_CAPTURE_KEYS = ["session_id", "cwd", "head", "tool"]
+
+
 def promotions(episodes: DataFrame, captures: DataFrame) -> DataFrame:
-    """``id, i, exit_code, good, captured, distance``: the live captures that settle a step's exit code; gold episodes are left out."""
+    """``id, i, exit_code, good, captured, distance``: the live captures that settle a step's exit code; gold episodes are left out.
+
+    A step and a capture of equal session, folder, head and tool match if each is
+    the other's only nearest within ``CAPTURE_SECONDS``; captures look among the
+    steps of one episode.  A step stands at its time, or without one anywhere
+    from its episode's start to its end: a capture in between is at distance 0,
+    any other at the distance of the nearer end.  ``captured`` and ``distance``
+    are in microseconds.
+
+    Both sides find their nearest by an ordered scan over all rows, so neither a
+    session with most of the rows nor a long episode is one task's work.
+    """
     micros = lambda c: F.unix_micros(F.try_to_timestamp(c))
-    step = episodes.where("outcome.tier <> 'gold'").select("id", "session_id", "started", F.col("cwd").alias("ep_cwd"), F.explode("steps").alias("s"))
-    left = step.select("id", F.struct("id", "s.i").alias("step_id"), "session_id", captured_cwd(F.coalesce("s.cwd", "ep_cwd") if "cwd" in _fields(episodes, "steps") else F.col("ep_cwd")).alias("cwd"), F.col("s.head").alias("head"), F.lower("s.tool").alias("tool"), F.coalesce(micros("s.ts"), micros("started")).alias("at")).where("head <> '' and at is not null")
-    right = captures.where("exit_code is not null and cmd_head <> ''").select(F.sha2(F.to_json(F.struct(*captures.columns)), 256).alias("row_id"), "session_id", captured_cwd(F.col("cwd")).alias("cwd"), F.col("cmd_head").alias("head"), F.lower("tool").alias("tool"), micros("ts").alias("at"), "exit_code", (F.coalesce("ok", F.col("exit_code") == 0) & (F.col("exit_code") == 0)).alias("good"))
-    found = mutual_nearest(left, right, ["session_id", "cwd", "head", "tool"], scope=("id",))
-    return found.join(right.select("row_id", "exit_code", "good", F.col("at").alias("captured")).dropDuplicates(["row_id"]), "row_id").select("id", "step_id.i", "exit_code", "good", "captured", "distance")
+    near = CAPTURE_SECONDS * 1_000_000
+    keys = _CAPTURE_KEYS
+    step = episodes.where("coalesce(outcome.tier, '') <> 'gold'").select("id", "session_id", micros("started").alias("from"), micros("ended" if "ended" in episodes.columns else "started").alias("to"), F.col("cwd").alias("ep_cwd"), F.explode("steps").alias("s"))
+    own, start, end = micros("s.ts"), F.coalesce("from", "to"), F.coalesce("to", "from")
+    steps = stored(step.select(
+        "id", F.col("s.i").alias("i"), "session_id", captured_cwd(F.coalesce("s.cwd", "ep_cwd") if "cwd" in _fields(episodes, "steps") else F.col("ep_cwd")).alias("cwd"), F.col("s.head").alias("head"), F.lower("s.tool").alias("tool"),
+        F.coalesce(own, start).alias("at"), F.coalesce(own, end).alias("to"), own.isNotNull().alias("timed"),
+    ).where("head <> '' and at is not null"), "steps")
+    rows = captures.where("exit_code is not null and cmd_head <> ''").select("session_id", captured_cwd(F.col("cwd")).alias("cwd"), F.col("cmd_head").alias("head"), F.lower("tool").alias("tool"), micros("ts").alias("at"), "exit_code", (F.coalesce("ok", F.lit(False)) & (F.col("exit_code") == 0)).alias("good")).where("at is not null")
+    points = stored(rows.groupBy(*keys, "at").agg(F.count("*").alias("n"), F.min(F.struct("exit_code", "good")).alias("what")), "captures")
+    # the next capture of the key, so that a second one inside a step's interval is seen
+    following = neighbours(points.select(*keys, "at"), points.withColumn("at", F.col("at") + 1), keys, "at").withColumn("at", F.col("at") - 1).select(*keys, "at", "n", "what", F.col("after.at").alias("next"))
+    found = neighbours(following, steps, keys, "at")
+    b, a = F.col("before"), F.col("after")
+    inside = F.coalesce(a["at"] <= F.col("to"), F.lit(False))
+    to_b, to_a = F.col("at") - b["at"], F.when(inside, 0).otherwise(a["at"] - F.col("to"))
+    take_b = F.coalesce(to_b < to_a, to_a.isNull())
+    only = F.when(inside, (a["n"] == 1) & F.coalesce(a["next"] > F.col("to"), F.lit(True))).when(take_b, b["n"] == 1).otherwise((a["n"] == 1) & F.coalesce(to_a < to_b, F.lit(True)))
+    chosen, distance = F.when(take_b & ~inside, F.struct(b["at"].alias("at"), b["what"].alias("what"))).otherwise(F.struct(a["at"].alias("at"), a["what"].alias("what"))), F.when(inside, F.lit(0)).otherwise(F.least(to_b, to_a))
+    nearest = found.withColumn("chosen", chosen).withColumn("distance", distance.cast("long")).where(only & (F.col("distance") <= near)).select("id", "i", *keys, F.col("chosen.at").alias("at"), F.col("chosen.what").alias("what"), "distance")
+    proposed = stored(nearest, "proposed")
+
+    # the other way round: how far the nearest steps of the episode are from the capture, and how many they are
+    scope = ["id", *keys]
+    timed = steps.where("timed").groupBy(*scope, "at").agg(F.count("*").alias("n"))
+    untimed = steps.where("not timed").groupBy(*scope).agg(F.count("*").alias("loose"), F.first("at").alias("from"), F.first("to").alias("until"))
+    back = neighbours(timed, proposed, scope, "at").join(untimed, scope, "left")
+    gaps = F.array(F.col("at") - F.col("before.at"), F.col("after.at") - F.col("at"), F.greatest(F.lit(0), F.col("from") - F.col("at"), F.col("at") - F.col("until")))
+    gaps = F.when(F.col("loose").isNotNull(), gaps).otherwise(F.slice(gaps, 1, 2))
+    least = F.array_min(gaps)
+    many = lambda gap, n: F.when(F.coalesce(gap == least, F.lit(False)), n).otherwise(0)
+    rivals = many(F.col("at") - F.col("before.at"), F.col("before.n")) + many(F.col("after.at") - F.col("at"), F.col("after.n")) + many(F.when(F.col("loose").isNotNull(), F.greatest(F.lit(0), F.col("from") - F.col("at"), F.col("at") - F.col("until"))), F.col("loose"))
+    return back.where((F.col("distance") == least) & (rivals == 1)).select("id", "i", "what.exit_code", "what.good", F.col("at").alias("captured"), "distance")
 
 
 def _fields(rows: DataFrame, name: str) -> list[str]:
@@ -185,11 +229,21 @@ def _fields(rows: DataFrame, name: str) -> list[str]:
 
 
 def promoted(episodes: DataFrame, captures: DataFrame) -> DataFrame:
-    """``episodes`` whose matched steps have the captured exit code and ``ok``, and whose outcome is that of the latest capture: strong, confidence 0.95."""
-    steps = promotions(episodes, captures).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("exit_code", "good")))).alias("live"), F.max(F.struct("captured", "i", "good"))["good"].alias("live_good"))
-    names = _fields(episodes, "steps")
+    """``episodes`` with what live captures say (``promotions``).
+
+    Matched steps have the captured ``exit_code`` and ``ok``, and
+    ``outcome_confidence`` strong.  The outcome is that of the latest match (of
+    several the last step): strong, confidence 0.95, with ``evidence`` (step,
+    why); it is an empty list for other episodes.
+    """
+    found = promotions(episodes, captures)
+    latest = F.max(F.struct("captured", "i", "exit_code", "good"))
+    steps = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("exit_code", "good")))).alias("live"), latest.alias("latest"))
+    names = [n for n in _fields(episodes, "steps") if n != "outcome_confidence"]
     live = lambda s: F.try_element_at("live", s["i"])
-    fixed = lambda s: F.struct(*(F.coalesce(live(s)["exit_code"] if n == "exit_code" else live(s)["good"], s[n]).alias(n) if n in ("exit_code", "ok") else s[n].alias(n) for n in names))
-    label = F.when(F.col("live_good"), outcome("pass", "strong", 0.95, "live_capture")).when(F.col("live_good") == F.lit(False), outcome("fail", "strong", 0.95, "live_capture"))
-    matched = F.col("live").isNotNull()
-    return episodes.join(steps, "id", "left").withColumn("steps", F.when(matched, F.transform("steps", fixed)).otherwise(F.col("steps"))).withColumn("outcome", F.coalesce(label, "outcome")).drop("live", "live_good")
+    fixed = lambda s: F.struct(*(F.coalesce(live(s)["exit_code"] if n == "exit_code" else live(s)["good"], s[n]).alias(n) if n in ("exit_code", "ok") else s[n].alias(n) for n in names), F.when(live(s).isNotNull(), "strong").alias("outcome_confidence"))
+    good = F.col("latest.good")
+    label = F.when(good, outcome("pass", "strong", 0.95, "live_capture")).when(good == F.lit(False), outcome("fail", "strong", 0.95, "live_capture"))
+    why = F.concat(F.lit("live PostToolUse exit code "), F.col("latest.exit_code").cast("string"))
+    evidence = F.when(F.col("latest").isNotNull(), F.array(F.struct(F.col("latest.i").alias("step"), why.alias("why")))).otherwise(F.array().cast("array<struct<step:int,why:string>>"))
+    return episodes.join(steps, "id", "left").withColumn("steps", F.transform("steps", fixed)).withColumn("outcome", F.coalesce(label, "outcome")).withColumn("evidence", evidence).drop("live", "latest")

@@ -168,11 +168,13 @@ def episodes_of(records: DataFrame, steps: DataFrame) -> DataFrame:
     first = lambda c, cond=None: F.min_by(c, F.when(cond if cond is not None else F.col(c).isNotNull(), F.col("pos")))
     head = records.groupBy(*key).agg(
         first("session_id").alias("session_id"), F.first("project").alias("project"), F.first("agent_id").alias("agent_id"), F.first("source_kind").alias("source_kind"), first("cwd").alias("cwd"), first("git_branch").alias("git_branch"),
-        F.min(valid_ts).alias("started"), F.max(valid_ts).alias("ended"), F.bool_or("is_sidechain").alias("is_sidechain"), F.bool_or("truncated").alias("truncated"), F.count("*").alias("n_records"),
+        F.min(valid_ts).alias("first_ts"), F.max(valid_ts).alias("last_ts"), F.coalesce(F.min_by("ts", "pos"), F.lit("1970-01-01T00:00:00.000Z")).alias("raw_ts"), (F.bool_or("is_sidechain") | (F.first("source_kind") == "subagent")).alias("is_sidechain"), F.bool_or("truncated").alias("truncated"), F.count("*").alias("n_records"),
         first("text", (F.col("kind") == "user") & (F.trim("text") != "")).alias("request"),
         F.bool_or((F.col("kind") == "system") & (F.col("subtype") == "compact_boundary")).alias("compacted"), F.count_if((F.col("kind") == "system") & (F.col("subtype") == "api_error")).alias("api_errors"),
     )
     millis = lambda c: F.unix_millis(F.try_to_timestamp(c))
+    # without any valid time the first record's text stands, or the epoch
+    head = head.withColumn("started", F.coalesce("first_ts", "raw_ts")).withColumn("ended", F.coalesce("last_ts", "first_ts", "raw_ts"))
     e = head.join(rolled, key, "left").withColumn("session_id", F.coalesce("session_id", F.lit("unknown"))).withColumn("prompt_id", F.col("group"))
     last, zero = F.col("last"), F.lit(0)
     bashlike = F.coalesce(F.lower(last["tool"]).isin("bash", "shell", "terminal"), F.lit(False))
@@ -180,7 +182,7 @@ def episodes_of(records: DataFrame, steps: DataFrame) -> DataFrame:
         F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("cmd"), F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("int").alias("observed_exit_code"), F.lit(False).alias("replayable")))
     return e.select(
         text.content_id("ep", {"agent_id": F.col("agent_id"), "prompt_id": F.col("prompt_id"), "session_id": F.col("session_id")}).alias("id"), "session_id", "prompt_id", "agent_id", "project", "source_kind", "file",
-        F.coalesce("cwd", F.lit("unknown")).alias("cwd"), F.coalesce("git_branch", F.lit("")).alias("git_branch"), "started", F.coalesce("ended", "started").alias("ended"),
+        F.coalesce("cwd", F.lit("unknown")).alias("cwd"), F.coalesce("git_branch", F.lit("")).alias("git_branch"), "started", "ended",
         F.greatest(zero, F.coalesce(millis("ended") - millis("started"), zero)).alias("duration_ms"), "is_sidechain", "n_records",
         F.struct(text.cap_head(F.col("request")).alias("text"), F.length(text.cap_head(F.col("request"))).alias("chars")).alias("request"), "steps",
         F.struct("files_written", "files_edited", F.coalesce("lines_changed", zero).alias("lines_changed")).alias("artifacts"),

@@ -1,0 +1,162 @@
+"""Queries over transcripts and streams: harvests, live captures, late results.
+
+They are registered next to those of ``catalog``, whose conventions hold here.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spoolkit.operators import labels, sessionize
+from spoolkit.plans.catalog import query, table
+from spoolkit.sources import transcripts
+from spoolkit.storage import new_path
+from spoolkit.streaming import harvest, ingest, upsert
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """The one file in ``source`` to ``target``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, at = hadoop.Path(source), hadoop.Path(target)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at.getParent())
+    for f in fs.listStatus(folder):
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), at)
+
+
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file, chunk, line``: conversations as lines of transcripts, eight sessions' files in three chunks each.
+
+    Each fourth turn, if a user's, is a prompt; others follow the turn before.  Of
+    each tenth conversation a subagent has a copy, and of each tenth there is a copy
+    outside the sessions' folder that has all turns from the first chunk on.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    session, turn = F.concat(F.lit("s"), "conv_id"), F.col("turn")
+    uuid = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    prompt = F.when((F.col("role") == "user") & (turn % 4 == 0), F.concat(F.lit("p"), uuid(turn)))
+    record = F.to_json(F.struct(
+        uuid(turn).alias("uuid"), F.when(turn > 0, uuid(turn - 1)).alias("parentUuid"), prompt.alias("promptId"), session.alias("sessionId"), F.col("role").alias("type"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad(turn.cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
+        F.lit("/w").alias("cwd"), F.struct(F.col("role").alias("role"), F.col("text").alias("content")).alias("message"),
+    ))
+    kind = F.col("conv_id") % 10
+    own = F.struct(F.concat(F.lit("proj/f"), F.col("conv_id") % 8).alias("name"), F.least(F.lit(2), F.floor(turn / 3)).cast("int").alias("chunk"))
+    copy = F.when(kind == 3, F.struct(F.lit("proj/subagents/agent-7").alias("name"), own["chunk"].alias("chunk"))).when(kind == 5, F.struct(F.lit("proj/deep/copy").alias("name"), F.lit(0).alias("chunk")))
+    places = F.array_compact(F.array(F.when(~((kind == 5) & (turn > 5)), own), copy))
+    return c.select("conv_id", "turn", record.alias("line"), F.explode(places).alias("at")).select(F.col("at.name").alias("file"), F.col("at.chunk").alias("chunk"), "conv_id", "turn", "line")
+
+
+def _written(spark: SparkSession, lines: DataFrame) -> dict[int, list[tuple[str, str]]]:
+    """Chunk to (file as written, name that it should have)."""
+    out = new_path(spark, "chunks")
+    named = lines.withColumn("name", F.concat_ws("@", F.regexp_replace("file", "/", "."), F.col("chunk").cast("string")))
+    named.repartition("name").sortWithinPartitions("name", "conv_id", "turn").select("name", "line").write.partitionBy("name").text(out)
+    names = [r.name for r in named.select("name").distinct().collect()]  # eight files and two copies
+    found: dict[int, list[tuple[str, str]]] = {}
+    for n in sorted(names):
+        file, chunk = n.split("@")
+        found.setdefault(int(chunk), []).append((f"{out}/name={n}", f"{file.replace('.', '/')}.part-{chunk}.jsonl"))
+    return found
+
+
+_GROUPS = """WITH p AS (SELECT *, max(CASE WHEN role = 'user' AND turn % 4 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS start FROM conversations),
+g AS (SELECT conv_id, start, count(*) AS n, count(*) FILTER (conv_id % 10 <> 5 OR turn <= 5) AS n_own, min(turn) FILTER (conv_id % 10 <> 5 OR turn <= 5) AS low, max(turn) FILTER (conv_id % 10 <> 5 OR turn <= 5) AS high, bool_or(role = 'assistant' AND trim(text) <> '') AS good,
+  bool_or(role = 'assistant' AND trim(text) <> '' AND (conv_id % 10 <> 5 OR turn <= 5)) AS good_own, min(turn) AS low_all, max(turn) AS high_all FROM p GROUP BY conv_id, start),
+e AS (SELECT conv_id, start, CASE WHEN good_own THEN 'session' ELSE 'other' END AS source_kind, 'main' AS agent_id, CASE WHEN good_own THEN n_own ELSE n END AS n_records, CASE WHEN good_own THEN low ELSE low_all END AS a, CASE WHEN good_own THEN high ELSE high_all END AS b, false AS is_sidechain FROM g WHERE good_own OR (conv_id % 10 = 5 AND good)
+UNION ALL SELECT conv_id, start, 'subagent', '7', n, low_all, high_all, true FROM g WHERE conv_id % 10 = 3 AND good)
+SELECT 's' || conv_id AS session_id, CASE WHEN start IS NULL THEN '_orphan:s' || conv_id ELSE 'p' || conv_id || '-' || start END AS prompt_id, agent_id, source_kind, n_records, '2024-01-01T00:00:' || lpad(CAST(a AS VARCHAR), 2, '0') || 'Z' AS started, '2024-01-01T00:00:' || lpad(CAST(b AS VARCHAR), 2, '0') || 'Z' AS ended, is_sidechain FROM e"""
+
+_SHOWN = ("session_id", "prompt_id", "agent_id", "source_kind", "n_records", "started", "ended", "is_sidechain")
+
+
+@query(_GROUPS)
+def streamed_harvest(spark, sf_dir):
+    """Transcripts that arrive in three parts, harvested as a stream: the table after the last."""
+    chunks = _written(spark, conversation_lines(spark, sf_dir))
+    root, out, at = new_path(spark, "transcripts"), new_path(spark, "episodes"), new_path(spark, "progress")
+    for k in sorted(chunks):
+        for source, name in chunks[k]:
+            _move(spark, source, f"{root}/{name}")
+        harvest.harvest_stream(spark, root, out, at).awaitTermination()
+    schema = sessionize.harvest(transcripts.read_records(spark, root)).schema
+    return upsert.read_table(spark, out, schema).select(*_SHOWN)
+
+
+@query(f"SELECT * FROM ({_GROUPS}) WHERE NOT is_sidechain")
+def harvested_episodes(spark, sf_dir):
+    """The same transcripts harvested at once, without the episodes of subagents' files."""
+    root = new_path(spark, "transcripts")
+    for files in _written(spark, conversation_lines(spark, sf_dir)).values():
+        for source, name in files:
+            _move(spark, source, f"{root}/{name}")
+    return sessionize.harvest(transcripts.read_records(spark, root)).select(*_SHOWN)
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, CAST(ts AS DATE) AS day, event_type, {_K} AS k FROM events),
+s AS (SELECT user_id || ':' || day AS id, user_id, event_id, CASE WHEN event_id % 4 <> 0 THEN t END AS at, min(t) OVER w AS a, max(t) OVER w AS b, k % 2 AS head FROM e WHERE event_type IN ('purchase', 'view') WINDOW w AS (PARTITION BY user_id, day)),
+c AS (SELECT event_id AS row_id, user_id, t + k * 1000000 AS t, k % 2 AS head, k % 3 AS code, event_id % 7 > 1 AS ok FROM e WHERE event_type <> 'error' AND k % 5 <> 0),
+near AS (SELECT s.id, s.event_id, c.row_id, c.t, c.code, coalesce(c.ok, false) AND c.code = 0 AS good, greatest(0, coalesce(s.at, s.a) - c.t, c.t - coalesce(s.at, s.b)) AS d FROM s JOIN c ON s.user_id = c.user_id AND s.head = c.head WHERE greatest(0, coalesce(s.at, s.a) - c.t, c.t - coalesce(s.at, s.b)) <= 300000000),
+sides AS (SELECT *, min(d) OVER (PARTITION BY id, event_id) AS ds, min(d) OVER (PARTITION BY id, row_id) AS dr FROM near),
+ties AS (SELECT *, count(*) FILTER (d = ds) OVER (PARTITION BY id, event_id) AS ns, count(*) FILTER (d = dr) OVER (PARTITION BY id, row_id) AS nr FROM sides),
+m AS (SELECT * FROM ties WHERE d = ds AND d = dr AND ns = 1 AND nr = 1),
+latest AS (SELECT id, arg_max(struct_pack(i := event_id, code := code, good := good), (t, event_id)) AS x, count(*) AS matched, count(*) FILTER (good) AS fixed FROM m GROUP BY id)
+SELECT i.id, coalesce(matched, 0) AS matched, coalesce(fixed, 0) AS fixed, CASE WHEN x.good THEN 'pass' WHEN x.good IS NULL THEN 'unknown' ELSE 'fail' END AS label, CASE WHEN x IS NULL THEN 'unknown' ELSE 'strong' END AS tier,
+  CASE WHEN x IS NULL THEN '' ELSE x.i || ':live PostToolUse exit code ' || x.code END AS evidence FROM (SELECT DISTINCT id FROM s) i LEFT JOIN latest ON latest.id = i.id""")
+def promoted_episodes(spark, sf_dir):
+    """Users' days as episodes, a fourth of the steps without a time, and what captured calls make of them."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("ts", F.col("ts").cast("timestamp"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    head = F.concat(F.lit("go"), F.col("k") % 2)
+    step = F.struct(F.col("event_id").cast("int").alias("i"), F.when(F.col("event_id") % 4 != 0, shown(F.col("ts"))).alias("ts"), F.lit("Bash").alias("tool"), head.alias("head"), F.lit(None).cast("int").alias("exit_code"), F.lit(None).cast("boolean").alias("ok"))
+    own = e.where("event_type in ('purchase', 'view')").withColumn("day", F.to_date("ts"))
+    episodes = own.groupBy("user_id", "day").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.array_sort(F.collect_list(step)).alias("steps")).select(
+        F.concat_ws(":", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("id"), F.col("user_id").cast("string").alias("session_id"), F.lit("/home/w").alias("cwd"), shown(F.col("a")).alias("started"), shown(F.col("b")).alias("ended"), "steps",
+        labels.outcome("unknown", "unknown", 0, "transcript.insufficient").alias("outcome"),
+    )
+    captured = e.where("event_type <> 'error'").select(
+        F.col("user_id").cast("string").alias("session_id"), F.lit("<PATH>").alias("cwd"), F.lit("bash").alias("tool"), head.alias("cmd_head"), shown(F.timestamp_micros(F.unix_micros("ts") + F.col("k") * 1_000_000)).alias("ts"),
+        F.when(F.col("k") % 5 != 0, F.col("k") % 3).cast("int").alias("exit_code"), (F.col("event_id") % 7 > 1).alias("ok"),
+    )
+    found = labels.promoted(episodes, captured)
+    hit = F.filter("steps", lambda s: s["outcome_confidence"] == "strong")
+    said = F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["step"].cast("string"), x["why"])), ",")
+    return found.select("id", F.size(hit).cast("long").alias("matched"), F.size(F.filter(hit, lambda s: s["ok"])).cast("long").alias("fixed"), "outcome.label", "outcome.tier", said.alias("evidence"))
+
+
+_LATE = f"""WITH e AS (SELECT event_id, epoch_us(ts) AS t, {_K} AS k FROM events WHERE event_type = 'purchase'), b AS (SELECT min(t) AS low, max(t) AS high FROM e),
+p AS (SELECT event_id, k, least(2, CAST(floor((t - low) * 3.0 / (high - low)) AS BIGINT)) AS part, event_id % 11 <> 0 AS called FROM e, b),
+x AS (SELECT *, event_id % 7 <> 0 AND NOT (event_id % 13 = 0 AND part = 0) AS answered FROM p)"""
+
+
+@query(f"""{_LATE} SELECT event_id, 'paired' AS what, k AS minutes FROM x WHERE called AND answered AND k <= 10
+UNION ALL SELECT event_id, 'call', NULL FROM x WHERE called AND NOT (answered AND k <= 10)
+UNION ALL SELECT event_id, 'result', k FROM x WHERE answered AND NOT (called AND k <= 10)""")
+def late_results(spark, sf_dir):
+    """Calls and results as two streams that arrive in three parts: pairs within ten minutes, and what has no partner, once.
+
+    Of each 13th call of the first part the result comes with the last one,
+    behind the watermark: it is dropped, and its call is given out alone.
+    """
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    t = F.unix_micros("ts")
+    low, high = e.agg(F.min(t), F.max(t)).first()
+    part = F.least(F.lit(2), F.floor((t - low) * 3.0 / max(1, (high or 0) - (low or 0)))).cast("int")
+    after = F.col("ts") + F.make_dt_interval(mins=F.col("k").cast("int"))
+    late = (F.col("call_id") % 13 == 0) & (F.col("part") == 0)
+    parted = e.withColumn("part", part)
+    calls = parted.where("call_id % 11 <> 0").select("call_id", "ts", "part")
+    results = parted.where("call_id % 7 <> 0").select("call_id", after.alias("ts"), "k", F.when(late, 2).otherwise(F.col("part")).alias("part"))
+    ends = spark.createDataFrame([(3,)], "part int").select(F.lit(None).cast("long").alias("call_id"), F.timestamp_micros(F.lit((high or 0) + 30 * 86_400_000_000)).alias("ts"), F.lit(None).cast("long").alias("k"), "part")  # moves the watermark past all others
+    inputs, out, at = (new_path(spark, "calls"), new_path(spark, "results")), new_path(spark, "paired"), new_path(spark, "progress")
+    for k in range(4):
+        for path, rows in zip(inputs, (calls.unionByName(ends.drop("k")), results.unionByName(ends)), strict=True):
+            rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(path)
+        a, b = (spark.readStream.schema(s).parquet(p) for s, p in zip(("call_id long, ts timestamp", "call_id long, ts timestamp, k long"), inputs, strict=True))
+        ingest.append_stream(ingest.paired_stream(a, b), out, at).awaitTermination()
+    found = spark.read.parquet(out)
+    return found.select("call_id", "call_ts", "k", "what").where("call_id is not null").select(F.col("call_id").alias("event_id"), "what", F.col("k").alias("minutes"))

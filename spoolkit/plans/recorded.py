@@ -225,11 +225,3 @@ def streamed_captures(spark, sf_dir):
 def daily_counts(spark, sf_dir):
     """Events by day and type, as the stream counts them."""
     return ingest.daily_counts(table(spark, sf_dir, "events")).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "event_type", "n")
-
-
-@query(f"SELECT event_id, CASE WHEN {_SQL_K} BETWEEN 0 AND 10 THEN {_SQL_K} END AS minutes FROM events WHERE event_type = 'purchase'")
-def late_results(spark, sf_dir):
-    """Calls with their results, if these come within ten minutes."""
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("call_id"), "ts", _k().alias("k"))
-    later = e.select("call_id", (F.col("ts") + F.make_dt_interval(mins=F.col("k").cast("int"))).alias("ts"), "k")
-    return ingest.paired_stream(e.select("call_id", "ts"), later).select(F.col("c.call_id").alias("event_id"), F.col("r.k").alias("minutes"))

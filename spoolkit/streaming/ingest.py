@@ -93,15 +93,30 @@ def appended(spark: SparkSession, source: str, table: str, checkpoint: str, keys
 
 def stream_captures(spark: SparkSession, source: str, table: str, checkpoint: str):
     """Append what has arrived in ``source`` (JSON lines of capture rows) to Parquet files in ``table``."""
-    rows = spark.readStream.schema(CAPTURE_SCHEMA).json(source)
-    return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return append_stream(spark.readStream.schema(CAPTURE_SCHEMA).json(source), table, checkpoint)
 
 
 def paired_stream(calls: DataFrame, results: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Calls (call_id, ts, ...) left-joined with results (call_id, ts, ...) within a watermark."""
-    a = calls.withWatermark("ts", late).alias("c")
-    b = results.withWatermark("ts", late).alias("r")
-    return a.join(b, F.expr(f"c.call_id = r.call_id and r.ts >= c.ts and r.ts <= c.ts + interval {late}"), "leftOuter")
+    """``call_id, what, call_ts, result_ts`` and the results' other columns: each call with its results within ``late`` after it, and each of either without a partner.
+
+    ``what`` is paired, call or result.  Two streams (call_id, ts, ...) meet in a
+    full outer join under their watermarks: a row without a partner is given out
+    once, when the watermark has passed the time in which one could come, so the
+    last ones wait for later rows.  A row that comes behind the watermark is
+    dropped; its partner then is given out alone.  On batches it is a plain join,
+    and nothing is late.
+    """
+    others = [c for c in results.columns if c not in ("call_id", "ts")]
+    a = calls.select("call_id", F.col("ts").alias("call_ts")).withWatermark("call_ts", late).alias("c")
+    b = results.select(F.col("call_id").alias("result_id"), F.col("ts").alias("result_ts"), *others).withWatermark("result_ts", late).alias("r")
+    met = a.join(b, F.expr(f"call_id = result_id and result_ts >= call_ts and result_ts <= call_ts + interval {late}"), "fullOuter")
+    what = F.when(F.col("call_ts").isNull(), "result").when(F.col("result_ts").isNull(), "call").otherwise("paired")
+    return met.select(F.coalesce("call_id", "result_id").alias("call_id"), what.alias("what"), "call_ts", "result_ts", *others)
+
+
+def append_stream(rows: DataFrame, table: str, checkpoint: str):
+    """Append what a stream gives out now to Parquet files in ``table``, each row once, and stop."""
+    return rows.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from spoolkit.plans import catalog, recorded  # noqa: F401  (registers its queries with those of the catalog)
+from spoolkit.plans import catalog, harvested, recorded  # noqa: F401  (registers its queries with those of the catalog)
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
