@@ -56,8 +56,9 @@ def neighbours(points: DataFrame, asked: DataFrame, keys: list[str], at: str) ->
     ends = placed.groupBy("part").agg(F.max_by("point", F.when(there, F.col("nth"))).alias("last"), F.min_by("point", F.when(there, F.col("nth"))).alias("first"))
     up, down = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.orderBy("part").rowsBetween(1, W.unboundedFollowing)  # a row for each range
     carried = ends.select("part", F.last("last", True).over(up).alias("earlier"), F.first("first", True).over(down).alias("later"))
-    mine = W.partitionBy("part").orderBy("nth")
-    found = placed.withColumn("b", F.last("point", True).over(mine.rowsBetween(W.unboundedPreceding, 0))).withColumn("a", F.first("point", True).over(mine.rowsBetween(0, W.unboundedFollowing)))
+    # both look back in an order of their own: a frame that ends at the partition's end is worked out anew for each row
+    so_far = lambda order: F.last("point", True).over(W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    found = placed.withColumn("b", so_far(F.col("nth"))).withColumn("a", so_far(F.col("nth").desc()))
     found = found.where("asked is not null").join(F.broadcast(carried), "part")
     same = lambda x: F.when(F.lit(True) if not keys else _all(F.col(x)[k] == F.col(k) for k in keys), F.col(x))
     full = found.withColumn("b", F.coalesce("b", "earlier")).withColumn("a", F.coalesce("a", "later")).withColumn("before", same("b")).withColumn("after", same("a"))
