@@ -33,7 +33,9 @@ from spoolkit.storage import stored
 #: Classes on which centroids are fitted, at most.
 SAMPLE = 16_384
 #: Classes of a unit: at least, at most, and about this share of all; cells at most (units take what this leaves).
-LEAST_UNIT, MOST_UNIT, SHARE, MAX_CELLS = 512, 16_384, 12, 4_096
+LEAST_UNIT, MOST_UNIT, SHARE, MAX_CELLS = 64, 16_384, 12, 4_096
+#: Lengths of vectors, by frequency, that get centroids; units of others visit each other all.
+LENGTHS = 16
 #: Units whose members visit together, and visitors that are compared together.
 VISITING, BLOCK = 2, 1_024
 #: Slack of the bound, for rounding.
@@ -100,39 +102,71 @@ def may_visit(cos: np.ndarray, home: np.ndarray, gaps: np.ndarray, least: float)
 
 
 def _placed(homes: DataFrame, centroids, units: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
-    """A row for each class and each tile in which it is compared; ``units``: the first unit of each cell, and how many it has."""
+    """A row for each class and each tile in which it is compared; ``units``: the first unit of each cell, and how many it has.
+
+    A first pass finds which groups of units visit which unit; the classes at
+    home in a unit then go to those groups (and their own) alone, so copies of
+    a class are as many as its unit has visiting groups, not as there are groups.
+    """
     held = homes.sparkSession.sparkContext.broadcast((units, VISITING))  # at most MAX_CELLS numbers for each number of dimensions
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, visiting = held.value
-        gaps = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in centroids.value.items()}
+    def located(batch: pa.RecordBatch, gaps: dict[int, np.ndarray]) -> Iterator[tuple[tuple, int, list[int]]]:
+        """Each class, its unit, and the units that it visits."""
+        units, _ = held.value
+        names, sizes, dims, vectors, home = (c.to_pylist() for c in batch.columns)
+        may = {}
+        for d in set(dims) & set(gaps):
+            at = [i for i, x in enumerate(dims) if x == d]
+            cos = unit(np.frombuffer(b"".join(vectors[i] for i in at)).reshape(len(at), d)) @ centroids.value[d].T
+            may |= dict(zip(at, may_visit(cos, np.array(home)[at], gaps[d], least), strict=True))
+        for i, (name, size, d, vector, h) in enumerate(zip(names, sizes, dims, vectors, home, strict=True)):
+            first, count = units.get(d, (np.zeros(1, np.int64), np.ones(1, np.int64)))
+            mine = int(first[h]) + (name * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % int(count[h])
+            cells = np.flatnonzero(may[i]) if i in may else np.zeros(1, np.int64)
+            yield (d, name, size, vector), mine, [u for c in cells[first[cells] < mine].tolist() for u in range(int(first[c]), min(mine, int(first[c] + count[c])))]
+
+    def gaps_of() -> dict[int, np.ndarray]:
+        return {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in centroids.value.items()}
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps, visiting = gaps_of(), held.value[1]
+        for batch in batches:
+            seen = set()
+            for (d, *_), mine, to in located(batch, gaps):
+                seen.add((d, mine, mine // visiting))
+                seen.update((d, u, mine // visiting) for u in to)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*sorted(seen), strict=True)], ["dims", "unit", "other"])
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = gaps_of()
+        for batch in batches:
+            rows = [(d, mine, mine, name, size, vector) for (d, name, size, vector), mine, _ in located(batch, gaps)]
+            if rows:
+                yield batch_of(rows, ("dims", "unit", "mine", "name", "size", "vector"))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps, visiting = gaps_of(), held.value[1]
+        names = ("dims", "unit", "other", "visits", "mine", "name", "size", "vector")
         for batch in batches:
-            names, sizes, dims, vectors, home = (c.to_pylist() for c in batch.columns)
-            may = {}
-            for d in set(dims) & set(gaps):
-                at = [i for i, x in enumerate(dims) if x == d]
-                cos = unit(np.frombuffer(b"".join(vectors[i] for i in at)).reshape(len(at), d)) @ centroids.value[d].T
-                may |= dict(zip(at, may_visit(cos, np.array(home)[at], gaps[d], least), strict=True))
             out: list[tuple] = []
-            for i, (name, size, d, vector, h) in enumerate(zip(names, sizes, dims, vectors, home, strict=True)):
-                first, count = units.get(d, (np.zeros(1, np.int64), np.ones(1, np.int64)))
-                total = int(first[-1] + count[-1])
-                mine = int(first[h]) + (name * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % int(count[h])
-                for group in range(mine // visiting, (total - 1) // visiting + 1):
-                    out.append((d, mine, group, 0, mine, name, size, vector))
-                cells = np.flatnonzero(may[i]) if i in may else np.zeros(1, np.int64)
-                out += [(d, u, mine // visiting, 1, mine, name, size, vector) for c in cells[first[cells] < mine].tolist() for u in range(int(first[c]), min(mine, int(first[c] + count[c])))]
+            for (d, name, size, vector), mine, to in located(batch, gaps):
+                out += [(d, u, mine // visiting, 1, mine, name, size, vector) for u in to]
                 if len(out) >= 20_000:
-                    yield batch_of(out)
+                    yield batch_of(out, names)
                     out = []
             if out:
-                yield batch_of(out)
+                yield batch_of(out, names)
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["dims", "unit", "other", "visits", "mine", "name", "size", "vector"])
+    def batch_of(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+        kinds = {"name": pa.int64(), "size": pa.int64(), "vector": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int32())) for c, n in zip(zip(*rows, strict=True), names, strict=True)], list(names))
 
-    return homes.mapInArrow(work, "dims int, unit int, other int, visits int, mine int, name long, size long, vector binary")
+    groups = homes.mapInArrow(asked, "dims int, unit int, other int").groupBy("dims", "unit").agg(F.collect_set("other").alias("others"))
+    residents = homes.mapInArrow(at_home, "dims int, unit int, mine int, name long, size long, vector binary").join(groups, ["dims", "unit"])
+    columns = ("dims", "unit", "other", "visits", "mine", "name", "size", "vector")
+    residents = residents.select("*", F.explode("others").alias("other"), F.lit(0).alias("visits")).select(*columns)
+    return residents.unionByName(homes.mapInArrow(visits, "dims int, unit int, other int, visits int, mine int, name long, size long, vector binary"))
 
 
 def _tile(names: np.ndarray, sizes: np.ndarray, link: np.ndarray, n: int) -> list[tuple]:
@@ -233,10 +267,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, id_column: str = "vec_i
     classes = stored(every.where("name <> 0").groupBy("name").agg(F.count("*").alias("size"), F.first("dims").alias("dims"), F.first("vector").alias("vector")), "classes")
     centroids: dict[int, np.ndarray] = {}
     each: dict[int, int] = {}
-    for r in classes.groupBy("dims").count().orderBy(F.desc("count")).limit(16).collect():
+    lengths = classes.groupBy("dims").count().where(F.col("count") > LEAST_UNIT).orderBy(F.desc("count"), "dims").collect()  # less common lengths are one unit
+    for place, r in enumerate(lengths):
         each[r.dims] = min(MOST_UNIT, max(LEAST_UNIT, r["count"] // SHARE))
         k = min(MAX_CELLS, -(-r["count"] // each[r.dims]))
-        if k < 2:
+        if k < 2 or place >= LENGTHS:
             continue
         # names are hashes, so a range of them is a sample; its size is bounded whatever the table's
         span = min((1 << 63) - 1, int(min(1.0, 0.9 * SAMPLE / r["count"]) * float(1 << 63)))
