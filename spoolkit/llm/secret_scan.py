@@ -35,8 +35,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +150,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def all_spans(text: str, thresholds: list[int]) -> tuple[list, list]:
     """The base spans, and these with what the battery adds; an added one overlaps no base span and no other added one."""
     base = base_spans(text)
+    starts = [x for x, _, _ in base]
+    reach = list(accumulate((y for _, y, _ in base), max))  # how far the base spans up to each one reach
     added: list[tuple[int, int, str]] = []
     for a, b, band, step in tested(text):  # by start
-        if step >= thresholds[band] and not any(x < b and a < y for x, y, _ in base):
+        before = bisect_left(starts, b)
+        if step >= thresholds[band] and not (before and reach[before - 1] > a):
             if added and a < added[-1][1]:
                 a, b = added[-1][0], max(b, added.pop()[1])
             added.append((a, b, "random"))
