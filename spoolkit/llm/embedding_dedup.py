@@ -51,8 +51,20 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids; ``rows`` are unit vectors in a fixed order."""
-    centroids = rows[np.linspace(0, len(rows) - 1, k).astype(int)].copy()
+    """Unit centroids; ``rows`` are unit vectors in a fixed order.
+
+    Seeds are drawn far from those before (by squared distance, with a fixed
+    random state), so that clusters seldom share a centroid.
+    """
+    draw = np.random.default_rng(0)
+    seeds = [0]
+    far = np.maximum(0, 2 - 2 * rows @ rows[0])
+    for _ in range(1, k):
+        total = float(far.sum())
+        seeds.append(int(np.searchsorted(np.cumsum(far), draw.random() * total)) if total > 1e-9 else int(draw.integers(len(rows))))
+        seeds[-1] = min(seeds[-1], len(rows) - 1)
+        far = np.minimum(far, np.maximum(0, 2 - 2 * rows @ rows[seeds[-1]]))
+    centroids = rows[seeds].copy()
     for _ in range(rounds):
         nearest = np.concatenate([(rows[i : i + 2048] @ centroids.T).argmax(axis=1) for i in range(0, len(rows), 2048)])
         sums = np.zeros_like(centroids)

@@ -80,7 +80,7 @@ def _letters(word: re.Match) -> str:
     """Stand-ins between letters become letters; those at a word's end, and numbers, become blanks."""
     w = word.group()
     core = w.rstrip("!|")
-    if sum(map(str.isalpha, core)) * 2 < len(core):
+    if sum(map(str.isalpha, core)) * 3 < len(core):
         return "".join(c if c.isalpha() else " " for c in w)
     return core.translate(_STAND_INS).translate(_BLANKS) + " " * (len(w) - len(core))
 
@@ -231,22 +231,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
         # one that is as sure as what it begins says it all
         odds = {e: w for e, w in odds.items() if not any(s in odds and odds[s] >= w - 0.7 for s in starts_of[e])}
         lexicon.weights = {e: w for e, w in odds.items() if w > 0}
-        lexicon.exceptions = _exceptions(contexts, lexicon.weights)
+        lexicon.exceptions = _exceptions(sample, lexicon)
     lexicon.curve = _curve(sample, lexicon, weight)
     return lexicon
 
 
-def _exceptions(contexts: DataFrame, weights: dict[str, float]) -> frozenset[str]:
-    """Phrases of two words that hold an entry and that other texts have in several contexts of their own."""
-    if not weights:
-        return frozenset()
-    session = contexts.sparkSession
-    entries = session.createDataFrame([(e,) for e in weights], "e string")
-    long = F.length("w")
-    starts = F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), long - 1))), lambda n: F.concat(F.lit(" "), F.substring("w", F.lit(1), n)))
-    held = contexts.select("w").distinct().withColumn("e", F.explode(F.array_append(starts, F.concat(F.lit(" "), "w", F.lit(" "))))).join(F.broadcast(entries), "e", "left_semi").select("w").distinct()
-    of = contexts.join(held, "w", "left_semi")
-    phrases = of.where("l <> ''").select(F.concat_ws(" ", "l", "w").alias("phrase"), F.col("r").alias("other"), "toxic").unionByName(of.where("r <> ''").select(F.concat_ws(" ", "w", "r").alias("phrase"), F.col("l").alias("other"), "toxic"))
+def _exceptions(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
+    """Phrases of two words that hold an entry and that other texts have between several pairs of words, toxic ones seldom."""
+    held = sample.sparkSession.sparkContext.broadcast(lexicon)  # ENTRIES entries at most
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for start, end, word, _ in held.value._found(text):
+                    before, after = text[max(0, start - 4 * WORD) : start].split()[-2:], text[end : end + 4 * WORD].split()[:2]
+                    l2, l1 = (["", ""] + before)[-2:]
+                    r1, r2 = (after + ["", ""])[:2]
+                    rows += [(toxic, f"{l1} {word}", f"{l2} {r1}")] * (l1 != "") + [(toxic, f"{word} {r1}", f"{l1} {r2}")] * (r1 != "")
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True)], ["toxic", "phrase", "around"])
+
+    phrases = sample.select("toxic", "text").mapInArrow(work, "toxic int, phrase string, around string").distinct()
     counted = phrases.groupBy("phrase").agg(F.count_if(F.col("toxic") == 0).alias("b"), F.count("*").alias("n")).where((F.col("b") >= EXCEPT) & (F.col("n") - F.col("b") <= EXCEPT_SHARE * F.col("n")))
     return frozenset(r.phrase for r in counted.orderBy(F.desc("b"), "phrase").limit(ENTRIES).collect())
 
