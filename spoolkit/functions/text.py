@@ -54,8 +54,9 @@ def cap_head(text: Column, size: int = CAP) -> Column:
 
 
 def shorten(text: Column, size: int = 240) -> Column:
+    """The text, or its beginning without trailing blanks and an ellipsis."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size - 1), F.lit("…")))
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, size - 1), r"\s+\z", ""), F.lit("…")))
 
 
 def redact(text: Column, rules: tuple[tuple[str, str], ...] = REPORT_REDACTIONS) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spoolkit.functions import stats
+from spoolkit.operators.scan import positions, prefix_sums
+from spoolkit.storage import stored
 
 
 def heldout_bucket(key: Column, salt: str = "") -> Column:
@@ -33,14 +35,14 @@ def plan_trials(suite: DataFrame, repeats: int = 12) -> DataFrame:
 
 
 def budgeted(plan: DataFrame, order: list[str], cost: str, most: int, budget: float) -> DataFrame:
-    """The first cells that stay within a count and a budget; nothing after the first that doesn't fit.
+    """The first cells that stay within a count and a budget, with what is ``spent`` so far; nothing after the first that doesn't fit.
 
-    Only the first ``most`` cells can be among them, so those are taken first and
-    the window runs over no more.
+    ``order`` decides between any two cells.  A null cost is none.
     """
-    w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    fits = F.sum(cost).over(w) <= budget
-    return plan.orderBy(*order).limit(most).withColumn("spent", F.sum(cost).over(w)).withColumn("fits", F.min(fits.cast("int")).over(w) == 1).where("fits").drop("fits")
+    summed = stored(prefix_sums(plan, [cost], *order).withColumn("spent", F.col(f"{cost}_before") + F.coalesce(F.col(cost), F.lit(0))), "spent")
+    first = summed.where(F.col("spent") > budget).agg(F.min("n_before").alias("cut"))  # one row
+    kept = summed.crossJoin(F.broadcast(first)).where((F.col("n_before") < most) & F.coalesce(F.col("n_before") < F.col("cut"), F.lit(True)))
+    return kept.select(*plan.columns, "spent")
 
 
 def transcript(results: DataFrame) -> Column:
@@ -222,6 +224,19 @@ def keep_lessons(rounds: list[tuple[str, float]], band: float) -> list[tuple[str
     return out
 
 
+def gated_rounds(rounds: DataFrame, run: str, order: list[str], gain: str, band: float) -> DataFrame:
+    """``rounds`` of many learning runs with ``kept``: a gain above the band is kept, and two rejections in a row are a run's last rounds.
+
+    A null gain is a rejection; ``run`` has no nulls and ``order`` decides between
+    any two rounds of one.
+    """
+    kept = F.coalesce(F.col(gain) > band, F.lit(False))
+    placed = stored(positions(rounds, run, *order).withColumn("kept", kept), "rounds")
+    missed = placed.where("not kept").select(run, "pos")
+    ends = missed.join(missed.select(run, (F.col("pos") + 1).alias("pos")), [run, "pos"], "left_semi").groupBy(run).agg(F.min("pos").alias("end"))
+    return placed.join(ends, run, "left").where(F.coalesce(F.col("pos") <= F.col("end"), F.lit(True))).drop("pos", "end")
+
+
 def gold_episodes(results: DataFrame) -> DataFrame:
     """Completed trials as gold outcomes, others unknown."""
     return results.select("trial_id", "arm", "repeat", F.when(~F.coalesce(F.col("completed"), F.lit(False)), "unknown").when(F.col("passed") == 1, "pass").otherwise("fail").alias("label"), F.when(F.coalesce(F.col("completed"), F.lit(False)), "gold").otherwise("unknown").alias("tier"))

@@ -1,8 +1,8 @@
 """From ranked clusters to gated, recorded decisions.
 
-Plans, ledgers and proposals concern a few dozen clusters; what is sequential
-by nature (budgets with a stop, hash chains, parsing one answer) is a fold on
-the driver or over one array, and says so.
+Plans are prefix sums over ranges of ranks; ledgers are in ``operators.ledger``.
+What concerns a single answer or patch (its attestation, the text of a brief) is a
+small function, and says so.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from spoolkit.functions.text import REPORT_REDACTIONS, slug
 from spoolkit.operators.clusters import is_proposable, is_reviewable
+from spoolkit.operators.scan import prefix_sums
+from spoolkit.storage import stored
 
 LINE_BUDGET = 20
 # Where a class of errors is dealt with, and who decides.
@@ -63,11 +65,11 @@ def eval_contract(witnesses: Column, size: Column, replayable: bool = False) ->
 
 
 def plan(ranked: DataFrame, lines: str = "lines_added", most: int = 1 << 30, spent: int = 0, review: bool = False) -> DataFrame:
-    """``ranked`` (in ``rank`` order) with ``action`` or ``reason``.
+    """``ranked`` (in ``rank`` order, without ties) with ``action`` or ``reason``.
 
     Context patches share a budget of lines; once one doesn't fit, none after it
-    does.  The scan ends with the ``most``-th action.  Both are one fold over the
-    ordered array of ranked clusters.
+    does.  The scan ends with the ``most``-th action.  Both cut-offs are prefix
+    sums over ranges of ranks, so the plan may be of any length.
     """
     routed = ranked.withColumn("route", route(F.col("error_class"), F.col("tool")))
     layer = F.col("route.layer")
@@ -76,20 +78,19 @@ def plan(ranked: DataFrame, lines: str = "lines_added", most: int = 1 << 30, spe
         .when((F.size("witnesses") == 0) & is_reviewable(), "no_causal_witness").when(~is_proposable(), "not_proposable")
     )
     action = F.when(reason.isNull(), F.when(F.lit(review) & is_reviewable(), "review").otherwise("auto_apply"))
-    cost = F.when((action == "auto_apply") & (layer == "context"), F.greatest(F.lit(0), F.coalesce(F.col(lines), F.lit(0)))).otherwise(0)
-    rows = routed.select("rank", "root", "signature", layer.alias("layer"), F.col("route.surface").alias("target"), action.alias("action"), reason.alias("reason"), cost.cast("int").alias("cost"))
-    one = rows.agg(F.array_sort(F.collect_list(F.struct("rank", "root", "signature", "layer", "target", "action", "reason", "cost"))).alias("xs"))
-    empty = F.struct(F.lit(int(spent)).alias("spent"), F.lit(spent > LINE_BUDGET).alias("over"), F.lit(0).alias("n"), F.array().cast("array<struct<rank:int,root:string,signature:string,layer:string,target:string,action:string,reason:string,cost:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        priced = (x["action"] == "auto_apply") & (x["layer"] == "context")
-        over = F.coalesce(priced & (s["over"] | (s["spent"] + x["cost"] > LINE_BUDGET)), F.lit(False))
-        done = s["n"] >= most
-        act = x["action"].isNotNull() & ~over
-        y = F.struct(x["rank"].cast("int").alias("rank"), x["root"].alias("root"), x["signature"].alias("signature"), x["layer"].alias("layer"), x["target"].alias("target"), F.when(act, x["action"]).alias("action"), F.when(over, "budget_exceeded").otherwise(x["reason"]).alias("reason"), x["cost"].alias("cost"))
-        return F.struct((s["spent"] + F.when(act & ~done, x["cost"]).otherwise(0)).alias("spent"), (s["over"] | (over & ~done)).alias("over"), (s["n"] + F.when(act & ~done, 1).otherwise(0)).alias("n"), F.when(done, s["out"]).otherwise(F.concat(s["out"], F.array(y))).alias("out"))
-
-    return one.select(F.explode(F.aggregate("xs", empty, step, lambda s: s["out"])).alias("p")).select("p.*")
+    priced = F.coalesce((F.col("action") == "auto_apply") & (F.col("layer") == "context"), F.lit(False))
+    cost = F.when(priced, F.greatest(F.lit(0), F.coalesce(F.col(lines), F.lit(0)))).otherwise(0)
+    rows = routed.withColumn("layer", layer).withColumn("action", action).withColumn("cost", cost.cast("long"))
+    rows = rows.select("rank", "root", "signature", "layer", F.col("route.surface").alias("target"), "action", reason.alias("reason"), "cost")
+    summed = stored(prefix_sums(rows, ["cost"], "rank").withColumnRenamed("n_before", "place"), "plan")
+    first = summed.where(priced & (F.col("cost_before") + F.col("cost") + spent > LINE_BUDGET)).agg(F.min("place").alias("cut"))  # one row
+    over = priced & F.coalesce(F.col("place") >= F.col("cut"), F.lit(False))
+    settled = summed.crossJoin(F.broadcast(first)).withColumn("over", over).withColumn("acts", (F.col("action").isNotNull() & ~F.col("over")).cast("long"))
+    counted = prefix_sums(settled, ["acts"], "rank").where(F.col("acts_before") < most)
+    return counted.select(
+        F.col("rank").cast("int").alias("rank"), "root", "signature", "layer", "target", F.when(F.col("acts") == 1, F.col("action")).alias("action"),
+        F.when(F.col("over"), "budget_exceeded").otherwise(F.col("reason")).alias("reason"), F.col("cost").cast("int").alias("cost"),
+    )
 
 
 def gate(target: Column, surfaces: Column, files: Column, lines: Column, requires: Column, layer: Column) -> Column:
@@ -120,7 +121,7 @@ def canonical(value: object) -> str:
 
 
 def chained(decisions: list[dict], entries: int = 0, last: str | None = None) -> list[dict]:
-    """Ledger rows, each with its number and the hash of the row before, null in the first.  (Driver-side: a chain has no parallel form.)"""
+    """The rows of a single run's ledger, each with its number and the hash of the row before, null in the first.  (``ledger.appended`` chains tables.)"""
     out = []
     for d in decisions:
         row = d | {"seq": entries, "prev": last}

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spoolkit.functions.text import redact, shorten, sparkline
-from spoolkit.operators.clusters import is_proposable
+from spoolkit.operators.clusters import error_text_of, is_proposable
 from spoolkit.operators.labels import TIERS
 
 
@@ -78,11 +78,13 @@ def trend_summary(points: DataFrame) -> DataFrame:
 
 
 def cluster_exemplars(clusters: DataFrame, episodes: DataFrame, per_cluster: int = 2, top: int = 15) -> DataFrame:
-    """The leading clusters' first members, in order: request, error and signature, redacted and in 240 characters."""
+    """The leading clusters' first members, in order: request, error and signature, redacted and in 240 characters.
+
+    The error is the failure's text, or that of the last step that isn't ok, or the outcome's reason.
+    """
     shown = lambda c: shorten(redact(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
-    failing = F.filter("steps", lambda s: s["signature"] == F.col("failure.signature"))
     lead = clusters.orderBy(F.desc("priority"), F.desc("size"), "signature", "root").limit(top).select("root", F.posexplode(F.slice("members", 1, per_cluster)).alias("nth", "id"))
-    texts = episodes.select("id", shown(F.col("request.text")).alias("request"), shown(F.try_element_at(failing, F.lit(-1))["error_text"]).alias("error"), F.col("failure.signature").alias("signature"))
+    texts = episodes.select("id", shown(F.col("request.text")).alias("request"), shown(error_text_of(episodes)).alias("error"), F.col("failure.signature").alias("signature"))
     return lead.join(texts, "id").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("nth", "id", "request", "error", "signature"))).alias("exemplars"))
 
 

@@ -72,3 +72,23 @@ def _all(conditions) -> Column:
     for c in conditions:
         out = out & c
     return out
+
+
+def positions(rows: DataFrame, group: str, *order: str | Column) -> DataFrame:
+    """``rows`` with ``pos``: each one's place in its ``group`` (not null) by ``order``, from 0."""
+    placed = in_ranges(rows, group, *order)
+    counts = placed.groupBy(group, "part").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
+    earlier = W.partitionBy(group).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range that holds the group
+    shifts = counts.select(group, "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return placed.join(shifts, [group, "part"]).withColumn("pos", F.col("nth") + F.col("shift")).drop("part", "nth", "shift")
+
+
+def leading(rows: DataFrame, group: str, most: int, *order: str) -> DataFrame:
+    """``rows`` among the first ``most`` of their ``group`` by ``order``, with ``nth`` from 1.
+
+    In two stages: each range of the whole order gives its first rows of a
+    group, so a group with most of the rows ends as a few for each range.
+    """
+    near = in_ranges(rows, group, *order)
+    first = near.withColumn("_n", F.row_number().over(W.partitionBy(group, "part").orderBy("nth"))).where(F.col("_n") <= most).drop("_n", "part")
+    return first.withColumn("nth", F.row_number().over(W.partitionBy(group).orderBy("nth"))).where(F.col("nth") <= most)

@@ -319,7 +319,9 @@ def token_jaccard_pairs(spark, sf_dir):
 @query(f"""WITH RECURSIVE {TOKENS}, sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS v, a AS r FROM sym UNION SELECT reach.v, sym.b FROM reach JOIN sym ON sym.a = reach.r)
 SELECT v AS vertex, min(r) AS component FROM reach GROUP BY v""")
 def components(spark, sf_dir):
-    return connected_components(_token_pairs(spark, sf_dir), "a", "b")
+    """Texts of one language tied together by like words; equal sets hang on one of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("words"))
+    return connected_components(clusters.similar_forest(d, ["lang"], "doc_id", "words", 0.8), "a", "b")
 
 
 @query("""SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS label_pass, count(*) FILTER (quality = 0) AS label_fail, count(*) FILTER (quality = 1 AND toxic = 1) AS label_unknown,

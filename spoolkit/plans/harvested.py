@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolkit.operators import labels, sessionize
+from spoolkit.operators import labels, ledger, measure, planning, reports, sessionize
 from spoolkit.plans.catalog import query, table
 from spoolkit.sources import transcripts
-from spoolkit.storage import new_path
+from spoolkit.storage import new_path, stored
 from spoolkit.streaming import harvest, ingest, upsert
 
 
@@ -160,3 +160,85 @@ def late_results(spark, sf_dir):
         ingest.append_stream(ingest.paired_stream(a, b), out, at).awaitTermination()
     found = spark.read.parquet(out)
     return found.select("call_id", "call_ts", "k", "what").where("call_id is not null").select(F.col("call_id").alias("event_id"), "what", F.col("k").alias("minutes"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (ORDER BY o_orderpriority, o_orderkey) AS spent, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS n, sum(CAST(floor(o_totalprice) AS BIGINT)) OVER () AS whole FROM orders)
+SELECT o_orderkey, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= whole // 3""")
+def budget_over_orders(spark, sf_dir):
+    """Orders by priority and key, as far as a third of all their value goes."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.floor("o_totalprice").cast("long").alias("cost"))
+    whole = o.agg(F.sum("cost")).first()[0] or 0
+    return measure.budgeted(o, ["o_orderpriority", "o_orderkey"], "cost", 1 << 40, whole // 3).select("o_orderkey", "spent")
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS rank, CASE WHEN p_partkey % 7 = 0 THEN 'usage_error' ELSE 'command_not_found' END AS cls, p_partkey % 5 > 0 AS seen, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size % 2 END AS lines FROM part),
+l AS (SELECT *, CASE WHEN cls IN {tuple(planning.CONTEXT)!r} THEN 'context' WHEN cls IN {tuple(planning.SKILL)!r} THEN 'skill' WHEN cls IN {tuple(planning.SCAFFOLDING)!r} THEN 'scaffolding' ELSE 'context' END AS layer FROM r),
+a AS (SELECT *, CASE WHEN layer = 'scaffolding' THEN 'layer_gated' WHEN NOT seen THEN 'no_causal_witness' END AS why FROM l),
+c AS (SELECT *, CASE WHEN why IS NULL AND layer = 'context' THEN lines ELSE 0 END AS cost, why IS NULL AND layer = 'context' AS priced FROM a),
+s AS (SELECT *, sum(cost) OVER (ORDER BY rank) AS spent FROM c), f AS (SELECT min(rank) AS cut FROM s WHERE priced AND spent > {planning.LINE_BUDGET}),
+d AS (SELECT *, priced AND coalesce(rank >= cut, false) AS over FROM s, f), n AS (SELECT *, coalesce(sum(CAST(why IS NULL AND NOT over AS INTEGER)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acts FROM d)
+SELECT CAST(rank AS INTEGER) AS rank, layer, CASE WHEN why IS NULL AND NOT over THEN 'auto_apply' END AS action, CASE WHEN over THEN 'budget_exceeded' ELSE why END AS reason FROM n WHERE acts < 150""")
+def plan_cutoffs(spark, sf_dir):
+    """Parts as ranked clusters: context patches until their lines are used up, and no more than 150 actions."""
+    key = F.col("p_partkey")
+    witness = F.array(F.struct(F.lit("make").alias("cmd"), F.lit("/w").alias("cwd"), F.lit(1).alias("code")))
+    ranked = table(spark, sf_dir, "part").select(
+        key.cast("long").alias("rank"), F.concat(F.lit("r"), key).alias("root"), F.col("p_brand").alias("signature"), F.lit("bash").alias("tool"), F.when(key % 7 == 0, "usage_error").otherwise("command_not_found").alias("error_class"),
+        F.when(key % 5 > 0, witness).otherwise(F.slice(witness, 1, 0)).alias("witnesses"), F.lit(9).alias("size"), F.lit(9).alias("tier_gold"), F.lit(0).alias("tier_strong"), F.lit(False).alias("is_long_tail"), F.when(key % 3 == 0, 0).otherwise(F.col("p_size") % 2).alias("lines_added"),
+    )
+    return planning.plan(ranked, most=150).select("rank", "layer", "action", "reason")
+
+
+_ENTRY = """'{"event_id":' || event_id || ',"k":' || coalesce(CAST(k AS VARCHAR), 'null') || ',"prev":' || %s || ',"seq":' || seq || ',"signature":"s-\\"' || (k %% 7) || '\\"","user_id":' || user_id || '}'"""
+_CHAIN = f"""WITH RECURSIVE d AS (SELECT user_id, event_id, {_K} AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+c AS (SELECT *, CAST(NULL AS VARCHAR) AS prev, sha256({_ENTRY % "'null'"}) AS hash FROM d WHERE seq = 0
+UNION ALL SELECT d.*, c.hash, sha256({(_ENTRY % """'"' || c.hash || '"'""").replace("event_id ||", "d.event_id ||").replace("CAST(k ", "CAST(d.k ").replace("(k %", "(d.k %").replace("|| seq ||", "|| d.seq ||").replace("|| user_id ||", "|| d.user_id ||")}) FROM c JOIN d ON d.user_id = c.user_id AND d.seq = c.seq + 1)"""
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decisions in ledgers of their users, appended in two halves."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", k.alias("k"), F.concat(F.lit('s-"'), k % 7, F.lit('"')).alias("signature"))
+    half = F.col("event_id") < (e.agg(F.avg("event_id")).first()[0] or 0)
+    first = stored(ledger.appended(e.where(half), "user_id", ["event_id"]), "ledger")
+    return first.unionByName(ledger.appended(e.where(~half), "user_id", ["event_id"], first))
+
+
+@query(f"{_CHAIN} SELECT user_id, event_id, seq, prev, hash FROM c")
+def ledger_chain(spark, sf_dir):
+    return _ledger(spark, sf_dir).select("user_id", "event_id", "seq", "prev", "hash")
+
+
+@query(f"""{_CHAIN}, b AS (SELECT *, event_id % 97 = 0 AS changed, lag(event_id % 101 = 0 AND event_id % 97 <> 0, 1, false) OVER (PARTITION BY user_id ORDER BY seq) AS after FROM c)
+SELECT user_id, seq, concat_ws(',', CASE WHEN changed THEN 'hash' END, CASE WHEN after THEN 'link' END) AS faults FROM b WHERE changed OR after""")
+def ledger_faults(spark, sf_dir):
+    """Of each 97th row the contents were changed, of each 101st also the hash: the row itself, or the one after it, doesn't verify."""
+    rows = stored(_ledger(spark, sf_dir), "ledger")
+    changed, forged = F.col("event_id") % 97 == 0, (F.col("event_id") % 101 == 0) & (F.col("event_id") % 97 != 0)
+    moved = rows.withColumn("k", F.when(changed | forged, F.col("k") + 1).otherwise(F.col("k")))
+    head, tail = ledger._described(["user_id", "event_id", "k", "signature"])
+    again = F.sha2(F.concat(head, ledger.json_value(F.col("prev")), tail), 256)
+    found = ledger.faults(moved.withColumn("hash", F.when(forged, again).otherwise(F.col("hash"))), "user_id")
+    return found.select("user_id", "seq", F.array_join("faults", ",").alias("faults"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, coalesce(value > 30, false) AS kept, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+m AS (SELECT *, NOT kept AND NOT lag(kept, 1, true) OVER (PARTITION BY user_id ORDER BY n) AS second FROM r), e AS (SELECT user_id, min(n) AS last FROM m WHERE second GROUP BY user_id)
+SELECT m.user_id, event_id, kept FROM m LEFT JOIN e ON e.user_id = m.user_id WHERE last IS NULL OR n <= last""")
+def lesson_gate(spark, sf_dir):
+    """Users' events as rounds of learning runs: what is kept, until two rejections in a row."""
+    return measure.gated_rounds(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", 30).select("user_id", "event_id", "kept")
+
+
+@query(f"""WITH e AS (SELECT event_id, {_K} AS k, lpad(CAST(event_id AS VARCHAR), 9, '0') AS id FROM events WHERE event_type = 'error'), c AS (SELECT *, row_number() OVER (PARTITION BY k % 20 ORDER BY event_id) AS n, 'last ' || k || ' ' || repeat('x', 232 - length(CAST(k AS VARCHAR))) AS said FROM e)
+SELECT 'c' || (k % 20) AS root, CAST(n - 1 AS INTEGER) AS nth, id, 'ask ' || event_id AS request, CASE WHEN event_id % 4 = 0 THEN 'no step failed' WHEN event_id % 4 = 1 THEN 'direct' ELSE said || '…' END AS error FROM c WHERE n <= 2 AND k % 20 >= 5""")
+def atlas_exemplars(spark, sf_dir):
+    """The first two members of the fifteen leading clusters: the failure's own text, the last failing step's (in 240 characters), or the outcome's reason."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", k.alias("k"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("id"))
+    said = F.concat(F.lit("last "), F.col("k"), F.lit(" "), F.expr("repeat('x', 232 - length(cast(k as string)))"), F.lit("   and more that is cut"))
+    step = lambda ok, text: F.struct(F.lit(ok).alias("ok"), text.alias("error_text"), F.lit("s").alias("signature"))
+    steps = F.when(F.col("event_id") % 4 == 0, F.array(step(True, F.lit("fine")))).otherwise(F.array(step(False, F.lit("first")), step(False, said), step(True, F.lit(""))))
+    episodes = e.select("id", F.struct(F.concat(F.lit(" ask  "), "event_id").alias("text")).alias("request"), steps.alias("steps"), F.struct(F.lit("another").alias("signature"), F.when(F.col("event_id") % 4 == 1, "direct").alias("error_text")).alias("failure"), F.struct(F.lit("no step  failed").alias("reason")).alias("outcome"))
+    found = e.groupBy((F.col("k") % 20).alias("priority")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "id"))), lambda x: x["id"]).alias("members"), F.count("*").alias("size")).withColumn("root", F.concat(F.lit("c"), "priority")).withColumn("signature", F.col("root"))
+    return reports.cluster_exemplars(found, episodes).select("root", F.explode("exemplars").alias("x")).select("root", "x.nth", "x.id", "x.request", "x.error")
