@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolkit.operators import labels, ledger, measure, planning, reports, sessionize
+from spoolkit.operators import labels, ledger, measure, planning, proposals, reports, sessionize
 from spoolkit.plans.catalog import query, table
 from spoolkit.sources import transcripts
 from spoolkit.storage import new_path, stored
@@ -242,3 +242,39 @@ def atlas_exemplars(spark, sf_dir):
     episodes = e.select("id", F.struct(F.concat(F.lit(" ask  "), "event_id").alias("text")).alias("request"), steps.alias("steps"), F.struct(F.lit("another").alias("signature"), F.when(F.col("event_id") % 4 == 1, "direct").alias("error_text")).alias("failure"), F.struct(F.lit("no step  failed").alias("reason")).alias("outcome"))
     found = e.groupBy((F.col("k") % 20).alias("priority")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "id"))), lambda x: x["id"]).alias("members"), F.count("*").alias("size")).withColumn("root", F.concat(F.lit("c"), "priority")).withColumn("signature", F.col("root"))
     return reports.cluster_exemplars(found, episodes).select("root", F.explode("exemplars").alias("x")).select("root", "x.nth", "x.id", "x.request", "x.error")
+
+
+_ANSWERS = """WITH a AS (SELECT doc_id, text, split_part(text, ' ', 2) AS before, split_part(text, ' ', 2) || repeat(chr(10) || 'add', CAST(doc_id % 30 AS INTEGER)) AS after FROM documents),
+c AS (SELECT *, CASE WHEN before = '' THEN 0 ELSE (length(text) - length(replace(text, before, ''))) / length(before) END AS times FROM a),
+p AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN ':format' WHEN doc_id % 17 = 0 THEN ':invalid_json' WHEN doc_id % 23 = 0 THEN ':type' ELSE concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'rationale:required' END, CASE WHEN before = '' THEN 'edit.before:required' END, CASE WHEN after = '' THEN 'edit.after:required' END,
+  CASE WHEN doc_id % 11 = 0 THEN ':criterion_supplied' END, CASE WHEN doc_id % 7 = 0 THEN 'layer:mismatch' END, CASE WHEN times > 1 THEN 'edit.before:anchor_ambiguous' END, CASE WHEN before = after THEN 'edit.after:unchanged' END, CASE WHEN doc_id % 30 > 20 THEN 'edit:line_budget_exceeded' END) END AS problems FROM c)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as targets, and answers that edit the second word of each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.split_part("text", F.lit(" "), F.lit(2)).alias("old"))
+    n = F.col("doc_id")
+    new = F.concat("old", F.expr("repeat('\nadd', cast(doc_id % 30 as int))"))
+    said = F.to_json(F.struct(
+        F.lit("one line").alias("summary"), F.when(n % 7 == 0, "skill").otherwise("context").alias("layer"), F.lit("CLAUDE.md").alias("target"), F.when(n % 5 != 0, 'it says "test": so').alias("rationale"), F.lit("fewer").alias("expectedEffect"),
+        F.struct(F.col("old").alias("before"), new.alias("after")).alias("edit"), F.when(n % 11 == 0, F.array(F.struct(F.struct(F.lit(1).alias("my_check")).alias("deep")))).alias("notes"),
+    ))
+    body = F.when(n % 17 == 0, F.concat(F.lit("{"), said)).when(n % 23 == 0, F.concat(F.lit("["), said, F.lit("]"))).otherwise(said)
+    answer = F.concat(F.lit(" \n```json\n"), body, F.lit("\n```\n"), F.when(n % 13 == 0, "Done.").otherwise(""))
+    return d.select("doc_id", answer.alias("answer"), F.lit("context").alias("layer"), F.lit("CLAUDE.md").alias("target"), F.col("text").alias("target_text"), F.lit(20).alias("max_lines"), F.lit(False).alias("creates_file"),
+                    F.concat(F.lit("cl"), n).alias("cluster_id"), F.lit("auto").alias("route_requires"), F.when(n % 3 == 0, "human-gate").otherwise("auto").alias("contract_requires"))
+
+
+@query(f"{_ANSWERS} SELECT doc_id, problems FROM p")
+def checked_proposals(spark, sf_dir):
+    """What is wrong with each answer."""
+    found = proposals.checked(_answers(spark, sf_dir))
+    return found.select("doc_id", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["path"], e["code"])), ",").alias("problems"))
+
+
+@query(f"""{_ANSWERS} SELECT doc_id, 'sp_sha256:' || substr(sha256('{{"after":' || CAST(to_json(after) AS VARCHAR) || ',"before":' || CAST(to_json(before) AS VARCHAR) || ',"clusterId":"cl' || doc_id || '","layer":"context","target":"CLAUDE.md"}}'), 1, 16) AS patch_id,
+  1 AS files_changed, CAST(doc_id % 30 AS INTEGER) AS lines_changed, CASE WHEN doc_id % 3 = 0 THEN 'human-gate' ELSE 'approve' END AS decision FROM p WHERE problems = ''""")
+def proposed_patches(spark, sf_dir):
+    """The patches of the answers that have no fault, with the gate's decision."""
+    found = proposals.patches(proposals.checked(_answers(spark, sf_dir)))
+    return found.select("doc_id", "patch_id", "files_changed", "lines_changed", "decision")

@@ -209,7 +209,7 @@ STEP = "struct<i:int,ts:string,tool:string,head:string,exit_code:int,ok:boolean>
         ("00:00:30", [("00:00:31", 0, None)], "fail"),
         ("00:00:30", [("00:00:29", 1, False), ("00:00:31", 0, True)], None),  # as near
         (None, [("00:00:20", 3, False)], "fail"),  # inside the episode
-        (None, [("00:00:20", 0, True), ("00:00:40", 0, True)], None),  # both inside
+        (None, [("00:00:20", 0, True), ("00:00:25", 0, True)], None),  # both inside
         (None, [("00:05:30", 0, True)], "pass"),  # three hundred seconds from the nearer end
         (None, [("00:05:31", 0, True)], None),
         (None, [("00:00:00", 0, True), ("00:02:00", 1, False)], "pass"),  # at the start
