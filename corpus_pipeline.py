@@ -25,18 +25,39 @@ from spoolkit.storage import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns.
+
+    A null, empty or wordless text scores 0 and goes; very long texts are judged
+    whole, repeated rows alike; an empty table stays empty.
+    """
     return good_only(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id, all its columns as they are.
+
+    Null, empty and wordless texts are like no other and stay; texts of fewer
+    than five words are compared as one sequence.  Equal rows of one id count
+    once, different texts of one id are documents of their own.
+    """
     return one_of_each(docs, width=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets cut out of their texts and other columns as they are.
+
+    Null texts stay null, empty ones empty; whole texts are scanned; repeated
+    rows stay repeated.
+    """
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: where it lies in which sequence.
+
+    A null or empty text is one id, its end; long documents are cut; rows of one
+    id, or none, are documents of their own.  An empty table gives no rows.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
