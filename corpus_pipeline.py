@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets cut out of their texts and other columns as they are.
+    """All documents, with the secrets cut out of their texts; n_chars follows, other columns stay.
 
     Null texts stay null, empty ones empty; whole texts are scanned; repeated
     rows stay repeated.
