@@ -112,13 +112,15 @@ def link_pull_requests(episodes: DataFrame, prs: DataFrame, haystack: str = "hay
     repo, number, headRefName, merged, closedUnmerged.  The branch decides if it
     matches one pull request; if it matches none, so does an issue number in the
     text together with the repository's name.  References are taken out of the
-    text first, so both are equi-joins.  Two matches are ambiguous.
+    text first, so both are equi-joins.  Two matches are ambiguous, also where one
+    pull request is listed twice.
     """
     pr = prs.withColumn("issue", issue_number(F.col("headRefName"), F.col("number"))).withColumn("short", F.lower(F.element_at(F.split(F.regexp_replace("repo", "/+$", ""), "/"), -1)))
-    packed = F.struct("repo", "number", "merged", "closedUnmerged")
+    pr = pr.withColumn("entry", F.monotonically_increasing_id())  # a pull request that is listed twice is two
+    packed = F.struct("repo", "number", "merged", "closedUnmerged", "entry")
     # pull requests are gathered by key before they meet episodes, so an episode meets one row however common its branch
     of_branch = pr.where("headRefName <> ''").groupBy("headRefName").agg(F.array_sort(F.collect_list(packed)).alias("branch_prs"))
-    of_issue = pr.groupBy("short", "issue").agg(F.array_sort(F.collect_set(packed)).alias("prs"))
+    of_issue = pr.groupBy("short", "issue").agg(F.array_sort(F.collect_list(packed)).alias("prs"))
     refs = F.regexp_extract_all(F.lower(haystack), F.lit(r"(?:issue[-_/]?|#)(\d+)(?!\d)"), F.lit(1))
     tail = lambda c: F.lower(F.element_at(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\\/]+$", ""), r"[\\/]"), -1))
     named = episodes.select("id", F.explode(F.array_distinct(F.array(tail(F.col("project")), tail(F.col("cwd"))))).alias("short"), F.array_distinct(refs).alias("refs"))

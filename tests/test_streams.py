@@ -233,3 +233,11 @@ def test_pairs_of_batches(spark):
     results = spark.sql("select * from values (1, timestamp'2024-01-01 00:10:00', 'a'), (2, timestamp'2024-01-01 00:10:01', 'b'), (3, timestamp'2024-01-01 00:00:00', 'c') as t(call_id, ts, k)")
     found = sorted((r.call_id, r.what, r.k or "") for r in ingest.paired_stream(calls, results).collect())
     assert found == [(1, "paired", "a"), (2, "call", ""), (2, "result", "b"), (3, "result", "c")]
+
+
+def test_a_pull_request_that_is_listed_twice_is_ambiguous(spark):
+    """By branch and by issue alike; a text that names an issue twice is not."""
+    prs = spark.createDataFrame([("o/r", 7, "b", True, False), ("o/r", 7, "b", True, False), ("o/r", 8, "c", True, False)], "repo string, number long, headRefName string, merged boolean, closedUnmerged boolean")
+    episodes = spark.createDataFrame([("x", "b", "r", "/w", ""), ("y", None, "r", "/w", "see #7"), ("z", None, "r", "/w/r", "issue 8: #8 and #8")], "id string, git_branch string, project string, cwd string, haystack string")
+    found = {r.id: (r.label, r.reason) for r in lab.link_pull_requests(episodes, prs).collect()}
+    assert found == {"x": (None, "ambiguous_branch"), "y": (None, "ambiguous_issue_repo"), "z": ("pass", None)}
