@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolkit.operators.scan import prefix_sums
+from spoolkit.storage import stored
+
 POWER_FLOOR = 60
+#: Differences of one block, draws of a resample that are made together, and tasks that the resamples are dealt into.
+PLACES, DRAWS, TURNS = 1 << 20, 1 << 16, 64
 # The published rational approximation 7.1.26 of erf.
 _ERF_P, _ERF = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
@@ -135,19 +143,61 @@ def random_draw(index: Column, seed: int = 42) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
 
 
+def _draws(first: int, count: int, seed: int) -> np.ndarray:
+    """``random_draw`` times 2**32 of ``count`` indexes from ``first`` on."""
+    a = np.arange(1, count + 1, dtype=np.uint32)
+    a *= np.uint32(_STEP)
+    a += np.uint32((seed + _STEP * first) & _M32)
+    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return t ^ (t >> np.uint32(14))
+
+
+def _resampled(iters: int, each: int, seed: int, places: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of (turn, n, block, xs) to ``i, part``: what the places of the block add to each resample of the turn."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns, ns, blocks = (batch.column(c).to_pylist() for c in range(3))
+            for row, (turn, n, block) in enumerate(zip(turns, ns, blocks, strict=True)):
+                xs = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                start, whole = block * places, len(xs) == n
+                resamples = range(turn * each, min(iters, (turn + 1) * each))
+                parts = []
+                for i in resamples:
+                    total = 0.0
+                    for j in range(0, n, DRAWS):
+                        place = (_draws(i * n + j, min(DRAWS, n - j), seed) * (n / 4294967296.0)).astype(np.int64)
+                        if not whole:
+                            place = place[(place >= start) & (place < start + len(xs))] - start
+                        total += float(xs[place].sum())
+                    parts.append(total)
+                yield pa.RecordBatch.from_arrays([pa.array(resamples, pa.int64()), pa.array(parts, pa.float64())], ["i", "part"])
+
+    return work
+
+
 def bootstrap_mean(deltas: DataFrame, value: str = "delta", order: str = "task", iters: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """``n, point, lo, hi`` of the mean of paired differences.
 
-    Draw ``i * n + j`` picks the j-th value of resample i, so all resamples run
-    at once.  The differences (one for each task) travel as one array, with each
-    task of ``spark.range`` summing whole resamples.
+    Draw ``i * n + j`` picks the j-th value of resample i, so draws need no
+    order.  The differences lie in blocks of ``PLACES`` by their place; each task
+    makes the draws of some resamples and adds up those that fall into a block.
     """
-    sample = deltas.where(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("xs"), F.count("*").alias("n"))
-    rounds = deltas.sparkSession.range(iters).withColumnRenamed("id", "i").crossJoin(F.broadcast(sample)).where("n > 0")
-    picks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.element_at("xs", F.floor(random_draw(F.col("i") * F.col("n") + j, seed) * F.col("n")).cast("int") + 1))
-    means = rounds.select("xs", "n", (F.aggregate(picks, F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("m"))
-    point = F.first(F.aggregate("xs", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    return means.agg(F.first("n").alias("n"), point.alias("point"), F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    rows = deltas.where(F.col(value).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    placed = prefix_sums(rows, [], F.col("o").isNull(), "o", "x").select("x", F.col("n_before").alias("place"))
+    block = F.floor(F.col("place") / PLACES).cast("long")
+    lists = placed.groupBy(block.alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("xs"))
+    blocks = stored(lists, "blocks")
+    total = blocks.agg(F.sum(F.size("xs")).cast("long").alias("n"), (F.sum(F.aggregate("xs", F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("xs"))).alias("point"))  # one row
+    each = max(1, -(-iters // TURNS))
+    turns = deltas.sparkSession.range(0, -(-iters // each), 1, -(-iters // each)).withColumnRenamed("id", "turn").crossJoin(F.broadcast(total.select("n")))
+    # each pair of a turn and a file of blocks is a task, and nothing is shuffled
+    met = turns.crossJoin(blocks.hint("shuffle_replicate_nl")).select("turn", "n", "block", "xs")
+    sums = met.mapInArrow(_resampled(iters, each, seed, PLACES), "i long, part double").groupBy("i").agg(F.sum("part").alias("part"))
+    means = sums.crossJoin(F.broadcast(total.select("n"))).select((F.col("part") / F.col("n")).alias("m"))
+    bounds = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    return total.crossJoin(bounds).select("n", "point", "lo", "hi")  # one row each
 
 
 def verdict(regressions: Column, n: Column, lo: Column, hi: Column, band: Column, mde: float = 0.05) -> Column:

@@ -99,6 +99,20 @@ def test_bootstrap(spark):
     assert (r.n, r.point, r.lo, r.hi) == (20, 0.5, 0.5, 0.5)
 
 
+def test_bootstrap_in_blocks_of_places(spark, monkeypatch):
+    """Differences in blocks of seven, one task's draws in many parts, equal the draws one by one."""
+    monkeypatch.setattr(stats, "PLACES", 7)
+    n, iters = 50, 70
+    xs = [((j * 37) % 50 - 20) / 16 for j in range(n)]
+    draws = [r.x for r in spark.range(n * iters).select(stats.random_draw(F.col("id")).alias("x")).collect()]
+    means = sorted(sum(xs[int(d * n)] for d in draws[i * n : (i + 1) * n]) / n for i in range(iters))
+    rows = spark.createDataFrame([(j, xs[j]) for j in reversed(range(n))] + [(n, None)], "task long, delta double")
+    r = stats.bootstrap_mean(rows, iters=iters).first()
+    low, high = (means[int(q * (iters - 1))] + (q * (iters - 1) % 1) * (means[int(q * (iters - 1)) + 1] - means[int(q * (iters - 1))]) for q in (0.025, 0.975))
+    assert r.n == n and abs(r.point - sum(xs) / n) < 1e-12 and abs(r.lo - low) < 1e-12 and abs(r.hi - high) < 1e-12
+    assert tuple(stats.bootstrap_mean(rows.where("delta is null"), iters=iters).first()) == (None,) * 4
+
+
 def test_literals_of_patterns():
     assert errors.literal_of(r"(?i)(\d+)\s+(?:tests?|specs?)\s+failed") == "failed"
     assert errors.literal_of(r"(?i)ENOENT(?:[^'\"]*x)?") == "enoent"
