@@ -116,25 +116,33 @@ def link_pull_requests(episodes: DataFrame, prs: DataFrame, haystack: str = "hay
     pull request is listed twice.
     """
     pr = prs.withColumn("issue", issue_number(F.col("headRefName"), F.col("number"))).withColumn("short", F.lower(F.element_at(F.split(F.regexp_replace("repo", "/+$", ""), "/"), -1)))
-    pr = pr.withColumn("entry", F.monotonically_increasing_id())  # a pull request that is listed twice is two
-    packed = F.struct("repo", "number", "merged", "closedUnmerged", "entry")
-    # pull requests are gathered by key before they meet episodes, so an episode meets one row however common its branch
-    of_branch = pr.where("headRefName <> ''").groupBy("headRefName").agg(F.array_sort(F.collect_list(packed)).alias("branch_prs"))
-    of_issue = pr.groupBy("short", "issue").agg(F.array_sort(F.collect_list(packed)).alias("prs"))
+    # by key there is one small row, whatever the number of pull requests: how many there are, and the one if it is alone
+    packed = F.struct("repo", "number", "merged", "closedUnmerged")
+    told = (F.count("*").alias("n"), F.min(packed).alias("one"))
+    names = F.transform(F.array_sort(F.collect_list(packed)), lambda p: F.concat_ws("#", p["repo"], p["number"].cast("string")))
+    of_branch = pr.where("headRefName <> ''").groupBy("headRefName").agg(*told)
     refs = F.regexp_extract_all(F.lower(haystack), F.lit(r"(?:issue[-_/]?|#)(\d+)(?!\d)"), F.lit(1))
     tail = lambda c: F.lower(F.element_at(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\\/]+$", ""), r"[\\/]"), -1))
-    named = episodes.select("id", F.explode(F.array_distinct(F.array(tail(F.col("project")), tail(F.col("cwd"))))).alias("short"), F.array_distinct(refs).alias("refs"))
-    asked = named.select("id", "short", F.explode("refs").alias("issue")).select("id", "short", F.col("issue").try_cast("long").alias("issue")).where("issue is not null")
-    by_issue = asked.join(of_issue, ["short", "issue"]).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("prs")))).alias("issue_prs"))
-    both = episodes.select("id", F.nullif("git_branch", F.lit("")).alias("headRefName")).join(of_branch, "headRefName", "left").join(by_issue, "id", "left")
-    rule = F.when(F.col("branch_prs").isNotNull(), "branch").when(F.col("issue_prs").isNotNull(), "issue_repo")
-    found = both.withColumn("rule", rule).withColumn("prs", F.coalesce("branch_prs", "issue_prs"))
-    one = F.when(F.size("prs") == 1, F.element_at("prs", 1))
+    numbers = F.array_distinct(F.array_compact(F.transform(refs, lambda n: n.try_cast("long"))))
+    named = episodes.select("id", F.explode(F.array_distinct(F.array(tail(F.col("project")), tail(F.col("cwd"))))).alias("short"), numbers.alias("issues"))
+    asked = named.select("id", "short", F.explode("issues").alias("issue"))
+    met = asked.join(pr.groupBy("short", "issue").agg(*told), ["short", "issue"]).dropDuplicates(["id", "short", "issue"])
+    by_issue = met.groupBy("id").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
+    branch = F.nullif("git_branch", F.lit("")).alias("headRefName")
+    both = episodes.select("id", branch).join(of_branch.withColumnsRenamed({"n": "branch_n", "one": "branch_one"}), "headRefName", "left").join(by_issue.withColumnsRenamed({"n": "issue_n", "one": "issue_one"}), "id", "left")
+    rule = F.when(F.col("branch_n").isNotNull(), "branch").when(F.col("issue_n").isNotNull(), "issue_repo")
+    found = both.withColumn("rule", rule).withColumn("n", F.coalesce("branch_n", "issue_n")).withColumn("one", F.when(F.col("n") == 1, F.coalesce("branch_one", "issue_one")))
+    # the lists of candidates come by joins of their own, on a key with one row, so who doesn't read them doesn't make them
+    ambiguous = F.col("n") > 1
+    branch_names = pr.where("headRefName <> ''").groupBy("headRefName").agg(names.alias("branch_names"))
+    issue_names = met.select("id", "short", "issue").join(pr, ["short", "issue"]).groupBy("id").agg(names.alias("issue_names"))
+    found = found.join(branch_names, "headRefName", "left").join(issue_names, "id", "left")
+    one = F.col("one")
     settled = F.coalesce(one["merged"] | one["closedUnmerged"], F.lit(False))
     return found.select(
         "id", F.when(settled, F.col("rule")).alias("rule"), F.when(settled, one["repo"]).alias("repo"), F.when(settled, one["number"]).alias("number"),
-        F.when(settled, F.when(one["merged"], "pass").otherwise("fail")).alias("label"), F.when(F.size("prs") > 1, F.concat(F.lit("ambiguous_"), "rule")).alias("reason"),
-        F.when(F.size("prs") > 1, F.transform("prs", lambda p: F.concat_ws("#", p["repo"], p["number"].cast("string")))).alias("candidates"),
+        F.when(settled, F.when(one["merged"], "pass").otherwise("fail")).alias("label"), F.when(ambiguous, F.concat(F.lit("ambiguous_"), "rule")).alias("reason"),
+        F.when(ambiguous, F.coalesce("branch_names", "issue_names")).alias("candidates"),
     )
 
 

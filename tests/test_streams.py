@@ -241,3 +241,19 @@ def test_a_pull_request_that_is_listed_twice_is_ambiguous(spark):
     episodes = spark.createDataFrame([("x", "b", "r", "/w", ""), ("y", None, "r", "/w", "see #7"), ("z", None, "r", "/w/r", "issue 8: #8 and #8")], "id string, git_branch string, project string, cwd string, haystack string")
     found = {r.id: (r.label, r.reason) for r in lab.link_pull_requests(episodes, prs).collect()}
     assert found == {"x": (None, "ambiguous_branch"), "y": (None, "ambiguous_issue_repo"), "z": ("pass", None)}
+
+
+def test_links_stay_small_where_many_pull_requests_share_a_key(spark):
+    """Who doesn't read the candidates carries none: an episode meets a count and one pull request, not a list."""
+    from spoolkit.operators import labels as lab
+
+    prs = spark.createDataFrame([("o/r", n, "b", True, False) for n in range(1, 41)] + [("o/R", 7, "x", False, True)], "repo string, number long, headRefName string, merged boolean, closedUnmerged boolean")
+    rows = [(1, "b", "", "", ""), (2, "", "r", "/w/r", "#7 and #07"), (3, "", "r", "", "issue-8, #08"), (4, None, "r", "q", "#99"), (5, "none", "r", "", "#7 #8")]
+    links = lab.link_pull_requests(spark.createDataFrame(rows, "id int, git_branch string, project string, cwd string, haystack string"), prs)
+    found = {r.id: (r.rule, r.number, r.label, r.reason, r.candidates) for r in links.collect()}
+    assert found[1] == (None, None, None, "ambiguous_branch", [f"o/r#{n}" for n in range(1, 41)])
+    assert found[2] == (None, None, None, "ambiguous_issue_repo", ["o/R#7", "o/r#7"])
+    assert found[3] == ("issue_repo", 8, "pass", None, None)
+    assert found[4] == (None,) * 5
+    assert found[5] == (None, None, None, "ambiguous_issue_repo", ["o/R#7", "o/r#7", "o/r#8"])
+    assert "collect_list" not in links.drop("candidates")._jdf.queryExecution().optimizedPlan().toString()
