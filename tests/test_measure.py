@@ -138,3 +138,36 @@ def test_graded_reads_the_whole_output(spark):
     out = measure.graded(spark.createDataFrame(rows, "exit_code int, output string, marker string, error string").coalesce(1)).collect()
     assert [(r.passed, r.excluded, r.retry) for r in out] == [(True, False, False), (True, False, False), (False, False, False), (False, True, True), (False, True, False)]
     assert len(out[0].output) == 800
+
+
+def test_similar_sets_meet_as_numbers(spark, monkeypatch):
+    """All pairs of the definition, at several limits, and no set of words is shuffled for each word of its prefix."""
+    import random
+
+    from spoolkit.operators import clusters
+
+    rng = random.Random(5)
+    base = [rng.sample(range(400), rng.choice([3, 10, 60, 150])) for _ in range(12)]
+    rows = [(0, None, ["x"]), (1, "p", []), (2, "p", None)]
+    for n in range(3, 150):
+        own = set(rng.choice(base))
+        for _ in range(rng.randrange(0, max(2, len(own) // 5))):
+            own.discard(rng.choice(sorted(own)))
+            own.add(rng.randrange(400))
+        rows.append((n, rng.choice("pq"), [f"w{x}" for x in sorted(own)]))
+    rows += [(200 + n, k, w) for n, k, w in rows[3:20]]
+    items = spark.createDataFrame(rows, "id long, k string, ws array<string>")
+    joined = []
+    near = clusters.jaccard
+    monkeypatch.setattr(clusters, "jaccard", lambda a, b: joined.append(1) or near(a, b))
+    for least in (0.5, 0.8, 1.0):
+        sets = [(n, k, set(w)) for n, k, w in rows if k is not None and w]
+        want = {(a, b) for a, k, x in sets for b, j, y in sets if a < b and k == j and len(x & y) / len(x | y) >= least}
+        found = clusters.similar_pairs(items, ["k"], "id", "ws", least)
+        assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+        forest = {(r.a, r.b) for r in clusters.similar_forest(items, ["k"], "id", "ws", least).collect()}
+        assert forest <= want
+        reach = lambda edges: {frozenset((r.component,)) | {r.vertex} for r in clusters.connected_components(spark.createDataFrame(sorted(edges), "a long, b long"), "a", "b").collect()} if edges else set()
+        assert reach(forest) == reach(want)
+    # the words of a set are read for pairs that are left, of longs
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString() and len(joined) == 6
