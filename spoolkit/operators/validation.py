@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolkit.operators.labels import LABELS, TIERS
@@ -51,6 +51,17 @@ def episode_errors(document: Column) -> Column:
     return F.when(kind(document).startswith("OBJECT"), found).otherwise(F.array(error("", "not_object", "episode must be a plain object")))
 
 
+def with_episode_errors(rows: DataFrame, document: str) -> DataFrame:
+    """``rows`` with ``errors`` (``episode_errors``) of a VARIANT column.
+
+    The checks name the document many times.  A stage of arrays comes between it
+    and them, which the optimizer doesn't merge with either, so what makes the
+    document runs once for each row.
+    """
+    held = rows.withColumn("_held", F.explode(F.array(document)))
+    return held.withColumn("errors", episode_errors(F.col("_held"))).drop("_held")
+
+
 def unknown_fields(document: Column, known: list[str]) -> Column:
     """Keys of a VARIANT object outside ``known``."""
     return F.array_except(F.map_keys(F.try_variant_get(document, "$", "map<string,variant>")), F.array(*map(F.lit, known)))

@@ -193,8 +193,9 @@ def schema_errors(spark, sf_dir):
     more = F.when(key == 4, ',"zz":1').otherwise("")
     label = F.when(key == 3, "maybe").otherwise("pass")
     whole = F.concat(F.lit('{"id":"e","schema":"s","session_id":"s","prompt_id":"p","agent_id":"main",'), cwd, F.lit('"started":"2024-01-01T00:00:00Z","steps":[],"signals":{},"outcome":{"label":"'), label, F.lit('","tier":"gold"}'), more, F.lit("}"))
-    found = validation.episode_errors(F.parse_json(F.when(F.col("o_orderkey") % 7 == 0, "[1]").otherwise(whole)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(found, lambda e: F.concat_ws(":", e["path"], e["code"])), ",").alias("problems"))
+    documents = table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(F.when(F.col("o_orderkey") % 7 == 0, "[1]").otherwise(whole)).alias("document"))
+    found = validation.with_episode_errors(documents, "document")
+    return found.select("o_orderkey", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["path"], e["code"])), ",").alias("problems"))
 
 
 @query(f"""WITH e AS (SELECT *, {_SQL_K} AS k, event_type = 'error' AS bad FROM events), c AS (

@@ -171,3 +171,15 @@ def test_similar_sets_meet_as_numbers(spark, monkeypatch):
         assert reach(forest) == reach(want)
     # the words of a set are read for pairs that are left, of longs
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString() and len(joined) == 6
+
+
+def test_a_document_is_made_once_for_its_checks(spark):
+    from spoolkit.operators import validation
+
+    rows = spark.range(3).select("id", F.parse_json(F.when(F.col("id") == 0, "[1]").when(F.col("id") == 1, '{"id":"e","zz":1}').otherwise("{}")).alias("document"))
+    found = validation.with_episode_errors(rows, "document")
+    assert found.columns == ["id", "document", "errors"]
+    codes = {r.id: [(e.path, e.code) for e in r.errors] for r in found.collect()}
+    assert codes[0] == [("", "not_object")] and ("zz", "unknown_field") in codes[1] and ("id", "required") in codes[2]
+    # the document is parsed for the checks, and once more at most to drop empty arrays
+    assert found.select("id", "errors")._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") + found.select("id", "errors")._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 2
