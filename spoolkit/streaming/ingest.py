@@ -85,7 +85,8 @@ def appended(spark: SparkSession, source: str, table: str, checkpoint: str, keys
             days = batch.select("day").distinct()
             there = session.read.schema(new.schema).parquet(table).join(F.broadcast(days), "day", "left_semi").select(*keys)  # a batch has few days
             same = [new[k].eqNullSafe(there[k]) for k in keys]
-            new = new.join(there, same, "left_anti")
+            # sorted on both sides: columns of few values make a small file of many rows, which would be sent to every task
+            new = new.join(there.hint("merge"), same, "left_anti")
         new.write.mode("append").partitionBy("day").parquet(table)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

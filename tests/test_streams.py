@@ -257,3 +257,17 @@ def test_links_stay_small_where_many_pull_requests_share_a_key(spark):
     assert found[4] == (None,) * 5
     assert found[5] == (None, None, None, "ambiguous_issue_repo", ["o/R#7", "o/r#7", "o/r#8"])
     assert "collect_list" not in links.drop("candidates")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_a_table_has_is_not_sent_to_every_task(spark, tmp_path, monkeypatch):
+    """A second run adds nothing, null keys included, and sorts both sides instead of broadcasting the table."""
+    frame = type(spark.range(1))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(40).selectExpr("if(id = 7, null, concat('2024-01-0', 1 + id % 2)) as ts", "if(id = 9, null, concat('s', id)) as session_id", "'Bash' as tool", "'d' as input_digest")
+    rows.write.json(source)
+    hints, plain = [], frame.hint
+    monkeypatch.setattr(frame, "hint", lambda self, name, *a: hints.append(name) or plain(self, name, *a))
+    for k in range(2):
+        ingest.appended(spark, source, out, str(tmp_path / f"c{k}")).awaitTermination()
+    assert spark.read.parquet(out).count() == 40
+    assert "merge" in hints
