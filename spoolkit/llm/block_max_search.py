@@ -9,15 +9,16 @@ Queries run in blocks of bounded size, in two waves.  The first wave takes one
 shard in ``WAVES``; the k-th best score that a query finds there is a lower
 bound of its final one, and is where its search of all other shards begins.
 
-In a shard, a query's words stand by falling bound (the largest contribution
-of any posting).  As in WAND, a document that holds none of the leading words
-can't reach the least score wanted once the bounds of the others sum to less;
-so only postings of leading words are added up, down to where the rest sums to
-``DEPTH`` of the least score.  A block whose best document can't reach the least
-score with the block maxima of the remaining words is skipped, and so is the
-shard if all bounds together don't reach it.  The remaining words' postings are
-touched in the blocks that are left.  Ties are kept, for they go to the smaller
-document id.
+A shard meets all queries of a block at once: a posting of a word is added to
+the scores of the queries that hold the word, so what a search costs beside its
+postings is shared by the queries.  Words that many queries hold are rows of a
+matrix of a block's documents, which is multiplied with the queries'.  Of these
+a query's words stand by falling bound (the largest contribution of any posting);
+those whose bounds sum to less than ``DEPTH`` of the least score wanted are left
+out at first.  A block whose best document can't reach the least score with the
+block maxima of the words left out is skipped for that query, and so is the shard
+if all bounds together don't reach it; in the other blocks these words are added
+too.  Ties are kept, for they go to the smaller document id.
 
 Contributions are multiples of 2**-38, so sums below 16,384 are exact whatever
 the order, and equal texts have equal scores in every shard.
@@ -50,6 +51,10 @@ COUNTED_WORDS = 1_000_000
 WAVES = 8
 #: Share of the least score that the words whose postings aren't added up at first may sum to.
 DEPTH = 0.5
+#: A word that one query of a block in so many holds, or more, is frequent; so many words at most.
+OFTEN, ROWS = 8, 256
+#: Blocks whose maxima are added up together; results of a shard after which only the best of each query stay.
+TOGETHER, KEPT = 16, 1_000_000
 #: The grid of contributions.
 GRID = 2.0**38
 
@@ -117,43 +122,113 @@ class Shard:
         self.opened = self.skipped = 0  # blocks whose remaining postings were, or weren't, touched
         return at
 
-    def _slices(self, first: np.ndarray, words: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
-        spans = list(zip(first[words].tolist(), first[words + 1].tolist(), strict=True))
-        return [np.concatenate([x[a:b] for a, b in spans]) for x in arrays]
-
     def search(self, words: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k best of this shard that score ``least`` or more, best first; ``words``: numbers in this shard."""
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        if not len(words):
-            return nothing
-        bound = self.best[words]
-        order = np.argsort(-bound, kind="stable")
-        words = words[order]
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0) * (1 + 1e-12)  # bound of a word and all after it
-        if rest[0] < least:
-            self.skipped += self.blocks
-            return nothing
-        n = max(1, int(np.count_nonzero(rest[:-1] > DEPTH * least)))
-        total = np.bincount(*self._slices(self.first, words[:n], self.doc, self.gain), minlength=self.blocks * BLOCK)
-        if n < len(words):
-            cell = np.concatenate([np.arange(a, b) for a, b in zip(self.first_block[words[n:]].tolist(), self.first_block[words[n:] + 1].tolist(), strict=True)])
-            of = self.block[cell]
-            more = np.bincount(of, weights=self.top[cell], minlength=self.blocks) * (1 + 1e-12)
-            open_ = total.reshape(self.blocks, BLOCK).max(axis=1) + more >= least
-            self.opened += int(np.count_nonzero(open_))
-            self.skipped += self.blocks - int(np.count_nonzero(open_))
-            cell = cell[open_[of]]
-            first = self.first_posting[cell]
-            m = self.first_posting[cell + 1] - first
-            posting = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            total += np.bincount(self.doc[posting], weights=self.gain[posting], minlength=len(total))
-            total = np.where(np.repeat(open_, BLOCK), total, 0)
-        found = np.flatnonzero((total >= least) & (total > 0))
-        if len(found) > k:
-            found = found[total[found] >= np.partition(total[found], len(found) - k)[len(found) - k]]
-        docs, scores = self.docs[found], total[found]
-        best = np.lexsort((docs, -scores))[:k]
-        return docs[best], scores[best]
+        asked = Asked(len(words), np.array([0, len(words)]), np.arange(len(words)))
+        _, docs, scores = self.search_all(words, asked, k, np.zeros((1, k)), np.array([least], np.float64))
+        return docs, scores
+
+    def search_all(self, at: np.ndarray, asked: Asked, k: int, best: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, documents, scores): each query's k best that score what it wants or more, best first.
+
+        ``at``: where the words of ``asked`` are.  ``best`` (the k best scores that
+        a query has seen) and ``least`` are brought up to date.
+        """
+        n, here = asked.n, at >= 0
+        bound = np.zeros(len(at))
+        bound[here] = self.best[at[here]]
+        if not len(self.docs) or not (np.bincount(asked.query, np.repeat(bound, np.diff(asked.first)), n) * (1 + 1e-12) >= least).any():
+            self.skipped += self.blocks * n
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        # frequent words by falling bound: what of each query is added up, and what only where a block's maxima don't rule it out
+        by = np.argsort(-bound[asked.often], kind="stable")
+        often, holds = asked.often[by], asked.holds[by]
+        rest = np.cumsum((holds * bound[often][:, None])[::-1], axis=0)[::-1] * (1 + 1e-12)  # bound of a word and all after it
+        lead = holds * (rest > DEPTH * least)
+        tail = np.ascontiguousarray((holds - lead).T)
+        tops = np.zeros((self.blocks, len(often)))
+        for i, w in enumerate(at[often].tolist()):
+            if w >= 0:
+                cells = slice(self.first_block[w], self.first_block[w + 1])
+                tops[self.block[cells], i] = self.top[cells]
+        # postings of the queries' words by document; of frequent words by row
+        word = np.full(len(self.words), -1)
+        word[at[here]] = np.flatnonzero(here)
+        word = np.repeat(word, np.diff(self.first))
+        mine = np.flatnonzero(word >= 0)
+        mine = mine[np.argsort(self.doc[mine], kind="stable")]
+        word, doc, gain = word[mine], self.doc[mine], self.gain[mine]
+        row = np.full(len(at), -1)
+        row[often] = np.arange(len(often))
+        row = row[word]
+        frequent = row >= 0
+        row, row_doc, row_gain = row[frequent], doc[frequent], gain[frequent]
+        word, doc, gain = word[~frequent], doc[~frequent], gain[~frequent]
+        first, holders = asked.first[word], np.diff(asked.first)[word]
+        ends = np.searchsorted(doc, np.arange(len(self.docs) + 1)).tolist()
+        row_ends = np.searchsorted(row_doc, np.arange(self.blocks + 1) * BLOCK).tolist()
+        found, size = [], 0
+        for j in range(self.blocks):
+            if j % TOGETHER == 0:
+                more = tops[j : j + TOGETHER] @ tail.T * (1 + 1e-12)
+            low = j * BLOCK
+            docs, mine = min(BLOCK, len(self.docs) - low), slice(row_ends[j], row_ends[j + 1])
+            table = np.zeros((docs, len(often)))
+            table[row_doc[mine] - low, row[mine]] = row_gain[mine]
+            total = table @ lead
+            for i in range(docs):
+                a, b = ends[low + i], ends[low + i + 1]
+                if b > a:
+                    m = holders[a:b]
+                    end = np.cumsum(m)
+                    whose = np.arange(end[-1])
+                    whose += np.repeat(first[a:b] - (end - m), m)
+                    total[i] += np.bincount(asked.query.take(whose), np.repeat(gain[a:b], m), n)
+            open_ = np.flatnonzero(total.max(axis=0) + more[j % TOGETHER] >= least)
+            self.opened += len(open_)
+            self.skipped += n - len(open_)
+            score = total[:, open_] + table @ tail[open_].T
+            hit = ((score >= least[open_]) & (score > 0)).any(axis=0)
+            if hit.any():
+                query, score = open_[hit], score[:, hit]
+                best[query] = np.partition(np.concatenate([best[query], score.T], axis=1), docs, axis=1)[:, docs:]
+                least[query] = np.maximum(least[query], best[query].min(axis=1))
+                i, of = np.nonzero((score >= least[query]) & (score > 0))
+                found.append((query[of], self.docs[low + i], score[i, of]))
+                size += len(i)
+                if size > KEPT:
+                    found, size = [_leading(found, k)], 0
+        return _leading(found, k)
+
+
+def _leading(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query of ``found`` (queries, documents, scores), by query, best first."""
+    query, docs, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((docs, -score, query))
+    query, docs, score = query[order], docs[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], docs[keep], score[keep]
+
+
+class Asked:
+    """The queries of a block by word: ``query[first[w] : first[w + 1]]`` are those that hold word w.
+
+    Of the words that are frequent among them (``often``), ``holds`` tells
+    which query holds which.
+    """
+
+    def __init__(self, words: int, first: np.ndarray, held: np.ndarray):
+        """``held[first[i] : first[i + 1]]``: the words of query i, of ``words`` words."""
+        self.n = len(first) - 1
+        query, counts = np.repeat(np.arange(self.n), np.diff(first)), np.bincount(held, minlength=words)
+        self.query, self.first = query[np.argsort(held, kind="stable")], np.append(0, np.cumsum(counts))
+        often = np.flatnonzero((counts * OFTEN >= self.n) & (counts > 0))
+        self.often = often[np.argsort(-counts[often], kind="stable")[:ROWS]]
+        row = np.full(words, -1)
+        row[self.often] = np.arange(len(self.often))
+        self.holds = np.zeros((len(self.often), self.n))
+        row = row[held]
+        self.holds[row[row >= 0], query[row >= 0]] = 1
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -266,22 +341,13 @@ def _searched(index: DataFrame, block: Block, mean: float, k: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        best = np.zeros((len(block.ids), k))  # the k best scores that this task has seen
-        least = block.least.copy()
+        asked = Asked(len(block.known), block.first, block.words)
+        best, least = np.zeros((len(block.ids), k)), block.least.copy()  # the k best scores that this task has seen
         for shard in _one_shard_at_a_time(batches, 0):
-            at = shard.ready(mean, block.known, block.weights)[block.words]
-            ids, docs, scores = [], [], []
-            for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
-                mine = at[a:b]
-                found, score = shard.search(mine[mine >= 0], k, least[i])
-                if len(found):
-                    best[i] = np.sort(np.concatenate([best[i], score]))[-k:]
-                    least[i] = max(least[i], best[i, 0])
-                    ids.append(np.full(len(found), block.ids[i]))
-                    docs.append(found)
-                    scores.append(score)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(scores).astype(np.float64))], ["query_id", "doc_id", "score"])
+            if len(shard.words):
+                query, docs, scores = shard.search_all(shard.ready(mean, block.known, block.weights), asked, k, best, least)
+                if len(query):
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[query].astype(np.int64)), pa.array(docs.astype(np.int64)), pa.array(scores)], ["query_id", "doc_id", "score"])
 
     return index.select("shard").mapInArrow(work, "query_id long, doc_id long, score double")
 

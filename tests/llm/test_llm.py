@@ -551,6 +551,29 @@ def test_search_skips_blocks():
     assert not len(shard.search(words, 10, 1e6)[0])
 
 
+def test_search_meets_all_queries_of_a_block_at_once():
+    """One pass over a shard gives each query what a search of its own does, with thresholds carried from shard to shard and ties."""
+    rng = np.random.default_rng(6)
+    texts = [np.unique(rng.zipf(1.3, 60) % 5_000) for _ in range(900)]
+    texts += texts[:40] * 3  # copies tie
+    known, df = np.unique(np.concatenate(texts), return_counts=True)
+    weights = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    shards = [block_max_search.Shard.build(list(range(a, len(texts), 2)), [60] * len(texts[a::2]), texts[a::2], [np.ones(len(t), np.int64) for t in texts[a::2]]) for a in range(2)]
+    asked = [np.searchsorted(known, texts[q]) for q in range(0, len(texts), 7)]
+    together = block_max_search.Asked(len(known), np.append(0, np.cumsum([len(w) for w in asked])), np.concatenate(asked))
+    assert 0 < len(together.often) < len(known)
+    best, least, found = np.zeros((len(asked), 10)), np.zeros(len(asked)), [[] for _ in asked]
+    alone = [[] for _ in asked]
+    for shard in shards:
+        at = shard.ready(60.0, known, weights)
+        for i, doc, score in zip(*(x.tolist() for x in shard.search_all(at, together, 10, best, least)), strict=True):
+            found[i].append((-score, doc))
+        for i, w in enumerate(asked):
+            alone[i] += [(-s, d) for d, s in zip(*(x.tolist() for x in shard.search(at[w][at[w] >= 0], 10)), strict=True)]
+    assert [sorted(x)[:10] for x in found] == [sorted(x)[:10] for x in alone]
+    assert (least == [-sorted(x)[9][0] for x in alone]).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 20_000))
 def test_cuts(n):
