@@ -3,9 +3,10 @@
 A transcript that grows comes as chunk files (``name.part-<number>.jsonl``); each is
 read whole, so a line's number is its place.  Two stateful operators follow.
 
-- By file: which prompt a record belongs to.  The state maps the records seen to their
-  prompts; a record whose parent hasn't come waits for it, at most ``quiet``, and then
-  is an orphan.
+- By file: which prompt a record belongs to.  The state lists the records seen with their
+  prompts, without their text; a batch appends what it has settled at once, and reads the
+  list once, if at all, so a record costs no call to the state store.  A record whose
+  parent hasn't come waits for it, at most ``quiet``, and then is an orphan.
 - By file and group: the records of a group that is open.  Whenever records come, the
   group is given out as a whole (``most`` records and one more at most, so that it
   shows that it was cut).  A group without news for ``quiet`` is closed: its timer drops
@@ -39,6 +40,8 @@ _GROUPED = "file string, group string, chunk int, line_no int, line string"
 _WAITING = "chunk int, line_no int, uuid string, parent_uuid string, session_id string, line string"
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Records that are added to a state's list in one call.
+APPENDED = 10_000
 
 KEYS = ["session_id", "prompt_id", "agent_id"]
 
@@ -56,7 +59,7 @@ class PromptOfRecord(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getMapState("known", "uuid string", "prompt string")
+        self.known = handle.getListState("known", "uuid string, prompt string")
         self.waiting = handle.getListState("waiting", _WAITING)
 
     @staticmethod
@@ -66,16 +69,25 @@ class PromptOfRecord(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         (file,) = key
         fresh: dict[str, str] = {}
+        before: dict[str, str] | None = None  # what earlier batches settled, read when it is first asked for
+        new: list[tuple[str, str]] = []
 
         def prompt_of(uuid: str) -> str | None:
-            if uuid not in fresh and self.known.containsKey((uuid,)):
-                fresh[uuid] = self.known.getValue((uuid,))[0]
-            return fresh.get(uuid)
+            nonlocal before
+            if fresh.get(uuid):
+                return fresh[uuid]
+            if before is None:
+                before = {}
+                for u, p in map(tuple, self.known.get() if self.known.exists() else ()):
+                    if p or u not in before:
+                        before[u] = p
+            return before.get(uuid) or fresh.get(uuid, before.get(uuid))
 
         def settled(uuid: str | None, prompt: str) -> None:
-            if uuid is not None and not (prompt == "" and prompt_of(uuid)):
-                fresh[uuid] = prompt
-                self.known.updateValue((uuid,), (prompt,))
+            if uuid is not None:
+                new.append((uuid, prompt))
+                if prompt or uuid not in fresh:
+                    fresh[uuid] = prompt
 
         later: dict[str, list[tuple]] = {}
         if self.waiting.exists():
@@ -96,6 +108,8 @@ class PromptOfRecord(StatefulProcessor):
                     yield Row(file=file, group=self._group(prompt, session), chunk=chunk, line_no=line_no, line=line)
                     settled(child, prompt)
                     found.append((child, prompt))
+        for i in range(0, len(new), APPENDED):
+            self.known.appendList(new[i : i + APPENDED])
         left = [x for xs in later.values() for x in xs]
         if left or began_with:
             for t in self.handle.listTimers():
@@ -120,23 +134,24 @@ class OpenGroup(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.records = handle.getListState("records", "chunk int, line_no int, line string")
-        self.count = handle.getValueState("count", "n int")
+        self.count = handle.getValueState("count", "n int, due long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         file, group = key
-        n = self.count.get()[0] if self.count.exists() else 0
-        new = []
+        was, due = self.count.get() or (0, None)
+        n, new = was, []
         for r in rows:
             if n <= self.most:  # one more than is kept shows that the group was cut
                 new.append((r.chunk, r.line_no, r.line))
                 n += 1
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        then = timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(then)
+        self.count.update((n, then))
         if new:
             self.records.appendList(new)
-            self.count.update((n,))
-            for chunk, line_no, line in map(tuple, self.records.get()):
+            for chunk, line_no, line in map(tuple, self.records.get()) if was else new:
                 yield Row(file=file, group=group, chunk=chunk, line_no=line_no, line=line)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

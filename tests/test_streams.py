@@ -131,6 +131,53 @@ def test_timers_of_the_stream():
     assert list(g.handleExpiredTimer(("f", "p"), h, None)) == [] and not h.states["records"].rows and h.states["count"].x is None
 
 
+class Counted(Values):
+    """Counts the calls to states and timers."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("listTimers", "deleteTimer", "registerTimer"):
+            Counted.calls += 1
+        found = super().__getattribute__(name)
+        if name.startswith("get") and name.endswith("State"):
+            return lambda *a: _Counted(found(*a))
+        return found
+
+
+class _Counted:
+    def __init__(self, state):
+        self.state = state
+
+    def __getattr__(self, name):
+        Counted.calls += 1
+        return getattr(self.state, name)
+
+
+def test_state_calls_do_not_grow_with_records():
+    """Records of a file, each after the one before, in two batches: all get the first's prompt, with as many calls for 20 as for 2,000."""
+    from pyspark.sql import Row
+
+    def calls(n):
+        h, p, Counted.calls = Counted(), harvest.PromptOfRecord(500), 0
+        p.init(h)
+        rows = [Row(chunk=0, line_no=i, uuid=f"u{i}", parent_uuid=f"u{i - 1}" if i else None, prompt_id=None if i else "p", session_id="s", line="x") for i in range(n)]
+        rows += [Row(chunk=0, line_no=n, uuid="u1", parent_uuid=None, prompt_id=None, session_id="s", line="x")]  # again, without a prompt: what was known stays
+        rows += [Row(chunk=0, line_no=n + 1, uuid="z", parent_uuid="u1", prompt_id=None, session_id="s", line="x")]
+        out = [r.group for part in (rows[: n // 2], rows[n // 2 :]) for r in p.handleInputRows(("f",), iter(part), h)]
+        assert out == ["p"] * n + ["_orphan:s", "p"]
+        return Counted.calls
+
+    def group_calls(n):
+        h, g, Counted.calls = Counted(), harvest.OpenGroup(5_000, 500), 0
+        g.init(h)
+        assert len(list(g.handleInputRows(("f", "p"), iter([Row(chunk=0, line_no=i, line="x") for i in range(n)]), h))) == n
+        return Counted.calls
+
+    assert calls(20) == calls(2_000) < 10
+    assert group_calls(20) == group_calls(2_000) <= 4
+
+
 def test_merge(spark, tmp_path):
     """Batches in any order, again, and overlapping give what all of them give at once; only touched buckets are rewritten."""
     rng = random.Random(1)
