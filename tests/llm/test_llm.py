@@ -1,5 +1,6 @@
 """Operators for training corpora against brute force, round trips and edge cases."""
 
+import copy
 import hashlib
 import json
 import math
@@ -300,6 +301,20 @@ def test_lm_rounds_learn(spark, monkeypatch):
     assert (one == two).all() and one.sum() > log_sums(*tiny_lm(2)).sum()
 
 
+def test_lm_fit_has_no_switch_by_size(spark, monkeypatch):
+    """One window more than LEAST changes next to nothing, and both steps learn on either side."""
+    classes, _, texts = tiny_lm(1)
+    training = spark.createDataFrame([(i, bytearray(t[1:-1].astype("<u2").tobytes())) for i, t in enumerate(texts * 10)], "key long, ids binary").coalesce(1)
+    fit, alone = attention_lm.fit, []
+    monkeypatch.setattr(attention_lm, "BATCH", 16)
+    monkeypatch.setattr(attention_lm, "LEAST", 100_000)
+    monkeypatch.setattr(attention_lm, "fit", lambda arrays, classes: alone.append(fit(arrays, classes, 30)) or copy.deepcopy(alone[-1]))
+    one, two = (attention_lm.fit_all(training, n, "<u2", classes).p for n in (100_000, 100_001))
+    assert all(np.allclose(one[k], two[k], atol=1e-3) for k in one)
+    assert len(alone) == 2 and all((m.p["g"] != p["g"]).any() for m, p in zip(alone, (one, two), strict=True))
+    assert attention_lm.fit_all(training.limit(0), 0, "<u2", classes).p["g"].shape == one["g"].shape
+
+
 def test_lm_segments_cover_texts():
     ids = np.arange(1_000, dtype=np.int32)
     every = list(attention_lm.segments(5, ids, 1.0))
