@@ -183,3 +183,27 @@ def test_a_document_is_made_once_for_its_checks(spark):
     assert codes[0] == [("", "not_object")] and ("zz", "unknown_field") in codes[1] and ("id", "required") in codes[2]
     # the document is parsed for the checks, and once more at most to drop empty arrays
     assert found.select("id", "errors")._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") + found.select("id", "errors")._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") <= 2
+
+
+def test_unlike_sets_hardly_meet(spark):
+    """Sets that share frequent words but no more: neither their words nor pairs by a single word travel."""
+    import random
+
+    from spoolkit.operators import clusters
+
+    rng = random.Random(5)
+    rows = [(n, "p", [f"w{x}" for x in rng.sample(range(3000), 40)]) for n in range(4000)]
+    rows += [(5000 + n, "p", rows[n][2][:38] + ["x", "y"]) for n in range(20)]
+    context = spark.sparkContext
+    items = spark.createDataFrame(rows, "id long, k string, ws array<string>")
+    items.count()
+
+    def stages() -> dict:
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        found = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._gateway.jvm.double, 0), context._gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    found = clusters.similar_pairs(items, ["k"], "id", "ws", 0.8).collect()
+    assert {(r.a, r.b) for r in found} == {(n, 5000 + n) for n in range(20)}
+    assert sum(n for k, n in stages().items() if k not in before) < 60 * len(rows)
