@@ -207,3 +207,14 @@ def test_unlike_sets_hardly_meet(spark):
     found = clusters.similar_pairs(items, ["k"], "id", "ws", 0.8).collect()
     assert {(r.a, r.b) for r in found} == {(n, 5000 + n) for n in range(20)}
     assert sum(n for k, n in stages().items() if k not in before) < 60 * len(rows)
+
+
+def test_forest_of_a_large_group(spark):
+    """Near copies of one set are tied together by few pairs, not by all of them."""
+    from spoolkit.operators import clusters
+
+    rows = [(n, "p", [f"w{x}" for x in range(40)] + [f"own{n}"]) for n in range(60)]
+    edges = clusters.similar_forest(spark.createDataFrame(rows, "id long, k string, ws array<string>"), ["k"], "id", "ws", 0.8)
+    found = clusters.connected_components(edges, "a", "b").collect()
+    assert {(r.vertex, r.component) for r in found} == {(n, 0) for n in range(60)}
+    assert edges.count() == 59
